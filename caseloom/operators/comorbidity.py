@@ -91,8 +91,8 @@ def _bit(condition: str) -> int:
     return 1 << CONDITIONS.index(condition)
 
 
-def condition_mask(codes: DataFrame, key: str, code: str) -> DataFrame:
-    """``(key, mask)``: one bit per condition found among the codes of a key.
+def condition_mask(codes: DataFrame, key: str, code: str, also: tuple[Column, ...] = ()) -> DataFrame:
+    """``(key, mask)``: one bit per condition found among the codes of a key, plus the aggregates in ``also``.
 
     Two probes of the small rule table per code, then one map-side combined aggregate whose state is a single long, so a
     key with any number of codes stays cheap. No rule is a prefix of another, so at most one probe hits.
@@ -101,11 +101,12 @@ def condition_mask(codes: DataFrame, key: str, code: str) -> DataFrame:
         [(prefix, _bit(condition)) for prefix, condition in rule_rows()], "prefix string, bit long"
     )
     bare = F.upper(F.replace(strip(F.col(code)), F.lit("."), F.lit("")))
-    probes = codes.select(key, F.substring(bare, 1, 3).alias("_p3"), F.substring(bare, 1, 4).alias("_p4"))
+    probes = codes.withColumns({"_p3": F.substring(bare, 1, 3), "_p4": F.substring(bare, 1, 4)})
     short = F.broadcast(rules.select(F.col("prefix").alias("_p3"), F.col("bit").alias("_b3")))
     long = F.broadcast(rules.select(F.col("prefix").alias("_p4"), F.col("bit").alias("_b4")))
     hits = probes.join(long, "_p4", "left").join(short, "_p3", "left")
-    return hits.groupBy(key).agg(F.coalesce(F.bit_or(F.coalesce("_b4", "_b3")), F.lit(0).cast("long")).alias("mask"))
+    mask = F.coalesce(F.bit_or(F.coalesce("_b4", "_b3")), F.lit(0).cast("long")).alias("mask")
+    return hits.groupBy(key).agg(mask, *also)
 
 
 def matches_any(prefixes: list[str]) -> Callable[[Column], Column]:
@@ -128,6 +129,12 @@ def mask_of_array(codes: Column) -> Column:
     return mask
 
 
+def add_array_score(df: DataFrame, codes: str, out: str = "score") -> DataFrame:
+    """Score of the codes in an array column; the mask is its own step so that it is computed once per row."""
+    masked = df.withColumn("_mask", mask_of_array(F.col(codes)))
+    return masked.withColumn(out, mask_score(F.col("_mask"))).drop("_mask")
+
+
 def has_condition(mask: Column, condition: str) -> Column:
     return mask.bitwiseAND(F.lit(_bit(condition)).cast("long")) != 0
 
@@ -150,7 +157,7 @@ def weighted_score(present: dict[str, Column]) -> Column:
             score = score + F.when(flag[name], weight).otherwise(0)
     for severe, mild in SEVERE_OVER_MILD:
         if severe in flag and mild in flag:
-            score = F.when(flag[severe] & flag[mild], score - WEIGHTS[mild]).otherwise(score)
+            score = score - F.when(flag[severe] & flag[mild], WEIGHTS[mild]).otherwise(0)
     return score.cast("int")
 
 

@@ -21,16 +21,19 @@ def prefix_sums(df: DataFrame, strata: list[str], bucket: str, order: list, tota
     ``bucket`` must be ordered like ``order``. One shuffle spreads the rows by bucket; the totals of earlier buckets
     come from a table with one row per bucket.
     """
-    rows = df.select("*", *[value.alias(f"_{name}") for name, value in totals.items()])
-    earlier = Window.partitionBy(*strata).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy(*strata, bucket).agg(*[F.sum(f"_{name}").alias(f"_sum_{name}") for name in totals])
+    stratum = F.struct(*strata) if strata else F.lit(0)  # a struct, so that NULL strata also meet in the join
+    rows = df.select("*", stratum.alias("_stratum"), *[value.alias(f"_{name}") for name, value in totals.items()])
+    earlier = Window.partitionBy("_stratum").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_stratum", bucket).agg(*[F.sum(f"_{name}").alias(f"_sum_{name}") for name in totals])
     offsets = offsets.select(
-        *strata, bucket, *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in totals]
+        "_stratum",
+        bucket,
+        *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in totals],
     )
-    inside = Window.partitionBy(*strata, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_stratum", bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.select("*", *[F.coalesce(F.sum(f"_{n}").over(inside), F.lit(0)).alias(f"_inside_{n}") for n in totals])
     keep = [F.col(c) for c in df.columns]
-    return local.join(offsets, [*strata, bucket]).select(
+    return local.join(offsets, ["_stratum", bucket]).select(
         *keep, *[(F.col(f"_before_{n}") + F.col(f"_inside_{n}")).alias(n) for n in totals]
     )
 

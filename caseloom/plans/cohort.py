@@ -27,11 +27,11 @@ DISPOSITIONS = {"1": "home or self-care", "3": "skilled nursing facility", "7":
 
 def code_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Per encounter with lines: valid diagnosis and procedure codes and the condition mask, in one aggregate."""
-    lines = views.code_lines(spark, folder)
-    counts = lines.groupBy("n").agg(
-        F.count_if(valid_code(F.col("dx"))).alias("dx_codes"), F.count_if(valid_code(F.col("cpt"))).alias("cpt_codes")
+    counts = (
+        F.count_if(valid_code(F.col("dx"))).alias("dx_codes"),
+        F.count_if(valid_code(F.col("cpt"))).alias("cpt_codes"),
     )
-    return counts.join(comorbidity.condition_mask(lines, "n", "dx"), "n")
+    return comorbidity.condition_mask(views.code_lines(spark, folder), "n", "dx", counts)
 
 
 def encounter_compare(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,10 +93,11 @@ def cohort_exclude(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def valid_code_count(spark: SparkSession, folder: str) -> DataFrame:
-    counts = code_summary(spark, folder).drop("mask")
-    return fill_numeric(
-        views.admissions(spark, folder).select("n").join(counts, "n", "left"), ["dx_codes", "cpt_codes"]
+    counts = views.code_lines(spark, folder).groupBy("n").agg(
+        F.count_if(valid_code(F.col("dx"))).alias("dx_codes"), F.count_if(valid_code(F.col("cpt"))).alias("cpt_codes")
     )
+    rows = views.admissions(spark, folder).select("n").join(counts, "n", "left")
+    return fill_numeric(rows, ["dx_codes", "cpt_codes"])
 
 
 def clean_codes(spark: SparkSession, folder: str) -> DataFrame:
@@ -175,13 +176,12 @@ def feature_tier_rich(spark: SparkSession, folder: str) -> DataFrame:
     dx = F.transform(F.slice("codes", 1, 34), lambda c: c["dx"])
     cpt = F.transform("codes", lambda c: c["cpt"])
     arrays = grouped.select("n", dx.alias("dx"), cpt.alias("cpt"))
-    counted = arrays.select(
+    return comorbidity.add_array_score(arrays, "dx").select(
         "n",
+        "score",
         count_valid(F.col("dx")).alias("dx_codes"),
         count_valid(F.col("cpt")).alias("cpt_codes"),
-        comorbidity.mask_score(comorbidity.mask_of_array(F.col("dx"))).alias("score"),
         F.array_join("dx", "|", "-").alias("dx"),
         F.array_join("cpt", "|", "-").alias("cpt"),
     )
-    return counted
 

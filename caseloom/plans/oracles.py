@@ -177,3 +177,161 @@ FROM admissions a LEFT JOIN scores s ON a.n = s.n LEFT JOIN wide w ON a.n = w.n"
   FROM codes GROUP BY n)
 SELECT n, dx_codes, cpt_codes, score, dx, cpt FROM wide JOIN scores USING (n)""",
 }
+
+TOKEN_SQL = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+WORDS = f"words AS (SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN_SQL}') AS w FROM documents)"
+VOCAB = f"""{WORDS}, vocab_counts AS (
+  SELECT token, count(*) AS occurrences FROM (SELECT unnest(w) AS token FROM words) GROUP BY token),
+vocab AS (SELECT token, occurrences, row_number() OVER (ORDER BY occurrences DESC, token) + 3 AS token_id
+          FROM vocab_counts QUALIFY token_id < 5000)"""
+IDS = f"""{VOCAB}, placed AS (
+  SELECT doc_id, unnest(w[1:510]) AS token, generate_subscripts(w[1:510], 1) AS pos FROM words),
+id_texts AS (
+  SELECT doc_id, count(*) AS k, string_agg(CAST(coalesce(token_id, 1) AS VARCHAR), ',' ORDER BY pos) AS t
+  FROM placed LEFT JOIN vocab USING (token) GROUP BY doc_id),
+ids AS (SELECT doc_id, coalesce(k, 0) + 2 AS size, CASE WHEN k IS NULL THEN '2,3' ELSE '2,' || t || ',3' END AS ids
+        FROM words LEFT JOIN id_texts USING (doc_id))"""
+LENGTHS = f"{WORDS}, lengths AS (SELECT len(w) AS length FROM words)"
+
+_ORDER = "md5({0} || ':42')"
+SPLIT = f"""ordered AS (
+  SELECT n, label, row_number() OVER (PARTITION BY label ORDER BY {_ORDER.format('n')}, n) AS r,
+         count(*) OVER (PARTITION BY label) AS size FROM encounters),
+parts AS (SELECT n, label, CASE WHEN r <= ceil(0.2 * size) THEN 'test' ELSE 'train' END AS part FROM ordered)"""
+PLAIN_SPLIT = f"""plain_parts AS (
+  SELECT n, CASE WHEN row_number() OVER (ORDER BY {_ORDER.format('n')}, n) <= ceil(0.2 * count(*) OVER ())
+                 THEN 'test' ELSE 'train' END AS part FROM admissions)"""
+DRAWS = """draws AS (SELECT d AS draw, CAST('0x' || substr(md5(d || ':draw:42'), 1, 15) AS BIGINT)
+                     % (SELECT count(*) FROM pool) AS place FROM range(5000) t(d)),
+drawn AS (SELECT n, draw FROM draws JOIN
+  (SELECT n, row_number() OVER (ORDER BY md5(n || ':42'), n) - 1 AS place FROM pool) USING (place))"""
+CODE_POSITIONS = f"{CODES}, positions AS (SELECT n, pos, coalesce(dx, 'missing') AS code FROM codes WHERE pos <= 5)"
+FOLDS = f"""folds AS (
+  SELECT n, label, (row_number() OVER (PARTITION BY label ORDER BY {_ORDER.format('n')}, n) - 1) % 3 AS fold
+  FROM encounters)"""
+SCORED_DOCUMENTS = """scored AS (
+  SELECT doc_id, quality AS label, n_chars, (n_chars % 1000) / 1000.0::DOUBLE AS score,
+         CASE WHEN (n_chars % 1000) / 1000.0::DOUBLE > 0.5 THEN 1 ELSE 0 END AS predicted
+  FROM labels JOIN documents USING (doc_id))"""
+
+
+def _cells(source: str) -> str:
+    return f"""cells AS (SELECT count(*) FILTER (label = 1 AND predicted = 1) AS tp,
+  count(*) FILTER (label = 1 AND predicted = 0) AS fn, count(*) FILTER (label = 0 AND predicted = 1) AS fp,
+  count(*) FILTER (label = 0 AND predicted = 0) AS tn FROM {source})"""
+
+
+def _ratio(part: str, whole: str) -> str:
+    return f"CASE WHEN {whole} = 0 THEN 0.0::DOUBLE ELSE CAST({part} AS DOUBLE) / CAST({whole} AS DOUBLE) END"
+
+
+METRICS = {
+    "accuracy": _ratio("tp + tn", "(tp + fn + fp + tn)"),
+    "precision": _ratio("tp", "(tp + fp)"),
+    "recall": _ratio("tp", "(tp + fn)"),
+    "f1": _ratio("2 * tp", "(2 * tp + fp + fn)"),
+}
+
+
+def _ranks(source: str) -> str:
+    return f"""tied AS (SELECT score, CAST(sum(label) AS BIGINT) AS p, CAST(sum(1 - label) AS BIGINT) AS q
+                        FROM {source} GROUP BY score),
+ranked AS (SELECT score, p, q, CAST(sum(p) OVER w AS BIGINT) - p AS p_before, CAST(sum(q) OVER w AS BIGINT) - q AS q_before,
+  CAST(sum(p) OVER () AS BIGINT) AS p_all, CAST(sum(q) OVER () AS BIGINT) AS q_all FROM tied WINDOW w AS (ORDER BY score))"""
+
+
+AUC = "sum(p * (q_before + q / 2.0::DOUBLE)) / (CAST(max(p_all) AS DOUBLE) * CAST(max(q_all) AS DOUBLE))"
+
+
+def _sizes(section: str, source: str) -> str:
+    return f"""SELECT '{section}' AS section, 'rows' AS key, CAST(count(*) AS DOUBLE) AS value FROM {source}
+UNION ALL SELECT '{section}', 'class_' || c, CAST(count(*) FILTER (label = c) AS DOUBLE)
+FROM {source}, (VALUES (0), (1)) v(c) GROUP BY c"""
+
+
+TRAINING = {
+    "vocab": f"WITH {VOCAB} SELECT token, occurrences, token_id FROM vocab",
+    "encode_pad": f"WITH {IDS} SELECT doc_id, 512 AS size, ids || repeat(',0', CAST(512 - size AS INTEGER)) AS ids FROM ids",
+    "attention_mask": f"""WITH {WORDS}, kept AS (SELECT doc_id, least(len(w), 510) + 2 AS real_tokens FROM words)
+SELECT doc_id, real_tokens, repeat('1', CAST(real_tokens AS INTEGER)) || repeat('0', CAST(512 - real_tokens AS INTEGER)) AS mask
+FROM kept""",
+    "batch_pad": f"""WITH {IDS}, batched AS (
+  SELECT doc_id, doc_id // 4 AS batch, size AS own, max(size) OVER (PARTITION BY doc_id // 4) AS size, ids FROM ids)
+SELECT doc_id, batch, size, ids || repeat(',0', CAST(size - own AS INTEGER)) AS ids FROM batched""",
+    "truncation_stats": f"""WITH {LENGTHS}, lost AS (SELECT length, greatest(length - 510, 0) AS lost FROM lengths)
+SELECT count(*) AS narratives, count(*) FILTER (lost > 0) AS truncated,
+  CAST(count(*) FILTER (lost > 0) AS DOUBLE) / count(*) * 100 AS pct_truncated,
+  CAST(sum(lost) AS DOUBLE) / count(*) AS mean_lost_all,
+  CASE WHEN count(*) FILTER (lost > 0) = 0 THEN 0.0 ELSE CAST(sum(lost) AS DOUBLE) / count(*) FILTER (lost > 0) END
+    AS mean_lost_truncated, max(lost) AS max_lost FROM lost""",
+    "length_describe": f"""WITH {LENGTHS} SELECT count(*) AS count, avg(length) AS mean,
+  round(stddev_samp(length), 6) AS std, min(length) AS min, max(length) AS max, quantile_cont(length, 0.25) AS q25,
+  quantile_cont(length, 0.5) AS q50, quantile_cont(length, 0.75) AS q75 FROM lengths""",
+    "split_stratified": f"WITH {ENCOUNTERS}, {SPLIT} SELECT n, label, part FROM parts",
+    "split_random": f"WITH {ADMISSIONS}, {PLAIN_SPLIT} SELECT n, age, part FROM plain_parts JOIN admissions USING (n)",
+    "sample_without": f"""WITH {ADMISSIONS} SELECT n, patient_id FROM admissions
+QUALIFY row_number() OVER (ORDER BY {_ORDER.format('n')}, n) <= 1000""",
+    "bootstrap_with": f"""WITH {ENCOUNTERS}, pool AS (SELECT n FROM encounters WHERE label = 1), {DRAWS}
+SELECT n, patient_id, draw FROM drawn JOIN encounters USING (n)""",
+    "balanced_train": f"""WITH {ENCOUNTERS}, {SPLIT}, train AS (SELECT n, label FROM parts WHERE part = 'train'),
+pool AS (SELECT n FROM train WHERE label = 1), {DRAWS},
+enough AS (SELECT count(*) FILTER (label = 0) >= 5000 AS yes FROM train),
+undersampled AS (SELECT n, label, -1 AS draw FROM train WHERE label = 0
+  QUALIFY row_number() OVER (ORDER BY {_ORDER.format('n')}, n) <= 5000)
+SELECT n, label, draw FROM undersampled, enough WHERE yes
+UNION ALL SELECT n, 1, draw FROM drawn, enough WHERE yes
+UNION ALL SELECT n, label, -1 FROM train, enough WHERE NOT yes""",
+    "kfold": f"WITH {ENCOUNTERS}, {FOLDS} SELECT n, label, fold FROM folds",
+    "ordinal_encode": f"""WITH {ADMISSIONS}, {PLAIN_SPLIT}, {CODE_POSITIONS}, levels AS (
+  SELECT DISTINCT pos, code FROM positions JOIN plain_parts USING (n) WHERE part = 'train'),
+numbered AS (SELECT pos, code, row_number() OVER (PARTITION BY pos ORDER BY code) - 1 AS ordinal FROM levels)
+SELECT n, pos, code, coalesce(ordinal, -1) AS ordinal FROM positions LEFT JOIN numbered USING (pos, code)""",
+    "category_map": f"""WITH {CODE_POSITIONS}, levels AS (SELECT DISTINCT pos, code FROM positions)
+SELECT pos, code, row_number() OVER (PARTITION BY pos ORDER BY code) - 1 AS ordinal FROM levels""",
+    "embedding_sizes": f"""WITH {CODE_POSITIONS}, counted AS (
+  SELECT pos, count(DISTINCT code) AS levels FROM positions GROUP BY pos)
+SELECT pos, levels, least(50, (levels + 1) // 2) AS width FROM counted""",
+    "standardize": f"""WITH {ADMISSIONS}, {PLAIN_SPLIT}, fitted AS (
+  SELECT avg(age) AS ma, stddev_pop(age) AS sa, avg(los) AS ml, stddev_pop(los) AS sl
+  FROM admissions JOIN plain_parts USING (n) WHERE part = 'train')
+SELECT n, round((age - ma) / sa, 6) AS age_z, round((los - ml) / sl, 6) AS los_z FROM admissions, fitted""",
+    "target_encode": f"""WITH {ENCOUNTERS}, {CODES}, {FOLDS}, rows_in AS (
+  SELECT f.n, label, fold, dx FROM folds f LEFT JOIN codes c ON f.n = c.n AND c.pos = 1),
+per_fold AS (SELECT fold, CAST(sum(label) AS BIGINT) AS p, count(*) AS k FROM rows_in GROUP BY fold),
+total AS (SELECT CAST(sum(p) AS BIGINT) AS p, CAST(sum(k) AS BIGINT) AS k FROM per_fold),
+prior AS (SELECT fold, CAST(total.p - per_fold.p AS DOUBLE) / CAST(total.k - per_fold.k AS DOUBLE) AS prior
+          FROM per_fold, total),
+own AS (SELECT dx, fold, CAST(sum(label) AS BIGINT) AS p, count(*) AS k FROM rows_in WHERE dx IS NOT NULL GROUP BY ALL),
+every AS (SELECT dx, CAST(sum(p) AS BIGINT) AS p, CAST(sum(k) AS BIGINT) AS k FROM own GROUP BY dx),
+stats AS (SELECT dx, fold, every.p - own.p AS p, every.k - own.k AS k FROM own JOIN every USING (dx))
+SELECT r.n, r.label, r.fold, r.dx,
+  CASE WHEN r.dx IS NULL THEN prior ELSE (stats.p + prior * 10.0::DOUBLE) / (stats.k + 10.0::DOUBLE) END AS encoded
+FROM rows_in r JOIN prior ON r.fold = prior.fold LEFT JOIN stats ON r.dx = stats.dx AND r.fold = stats.fold""",
+    "confusion_matrix": f"""WITH {SCORED_DOCUMENTS}, {_cells('scored')}
+SELECT 'NOT_READMITTED' AS true_class, 'NOT_READMITTED' AS predicted_class, tn AS rows FROM cells
+UNION ALL SELECT 'NOT_READMITTED', 'READMITTED', fp FROM cells
+UNION ALL SELECT 'READMITTED', 'NOT_READMITTED', fn FROM cells
+UNION ALL SELECT 'READMITTED', 'READMITTED', tp FROM cells""",
+    "binary_metrics": f"""WITH {SCORED_DOCUMENTS}, {_cells('scored')}
+SELECT {', '.join(f'{sql} AS {name}' for name, sql in METRICS.items())} FROM cells""",
+    "roc_auc": f"WITH {SCORED_DOCUMENTS}, {_ranks('scored')} SELECT {AUC} AS auc FROM ranked",
+    "roc_curve": f"""WITH {SCORED_DOCUMENTS}, {_ranks('scored')} SELECT score AS threshold,
+  CAST(q_all - q_before AS DOUBLE) / CAST(q_all AS DOUBLE) AS fpr, CAST(p_all - p_before AS DOUBLE) / CAST(p_all AS DOUBLE) AS tpr
+FROM ranked""",
+    "eval_summary": f"""WITH {SCORED_DOCUMENTS}, marked AS (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_ORDER.format('doc_id')}, doc_id)
+            <= ceil(0.2 * count(*) OVER (PARTITION BY label)) AS in_test FROM scored),
+test AS (SELECT * FROM marked WHERE in_test), train AS (SELECT * FROM marked WHERE NOT in_test),
+{_cells('test')}, {_ranks('test')}
+{_sizes('original_train', 'scored')} UNION ALL {_sizes('train', 'train')} UNION ALL {_sizes('test', 'test')}
+UNION ALL SELECT 'parameters', 'threshold', 0.5 UNION ALL SELECT 'parameters', 'test_share', 0.2
+{' '.join(f"UNION ALL SELECT 'metrics', '{name}', {sql} FROM cells" for name, sql in METRICS.items())}
+UNION ALL SELECT 'metrics', 'auc', {AUC} FROM ranked""",
+    "softmax_argmax": """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS z FROM embeddings),
+e AS (SELECT vec_id, label, z, list_transform(z, lambda x: exp(x - list_max(z))) AS w FROM v)
+SELECT vec_id, label, list_position(z, list_max(z)) - 1 AS predicted_label, round(w[2] / list_sum(w), 6) AS probability
+FROM e""",
+    "sigmoid_threshold": """WITH p AS (SELECT event_id, 1.0 / (1.0 + exp(-((value - 50.0) / 25.0))) AS p FROM events)
+SELECT event_id, round(p, 6) AS probability, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS predicted_label,
+  CASE WHEN p > 0.5 THEN 'READMITTED' ELSE 'NOT_READMITTED' END AS predicted_name FROM p""",
+}

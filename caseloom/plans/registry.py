@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.plans import cohort, oracles
+from caseloom.plans import cohort, oracles, training
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,30 @@ QUERIES: dict[str, Query] = {
     "ordinal_suffix": cohort.ordinal_text,
     "feature_tier": cohort.feature_tier,
     "feature_tier_rich": cohort.feature_tier_rich,
+    "vocab": training.vocab,
+    "encode_pad": training.encode_pad,
+    "attention_mask": training.attention_mask,
+    "batch_pad": training.batch_pad,
+    "truncation_stats": training.truncation_stats,
+    "length_describe": training.length_describe,
+    "split_stratified": training.split_stratified,
+    "split_random": training.split_random,
+    "sample_without": training.sample_without,
+    "bootstrap_with": training.bootstrap_with,
+    "balanced_train": training.balanced_train,
+    "kfold": training.kfold,
+    "ordinal_encode": training.ordinal_encode,
+    "category_map": training.category_map,
+    "embedding_sizes": training.embedding_sizes,
+    "standardize": training.standardize,
+    "target_encode": training.target_encode,
+    "confusion_matrix": training.confusion_matrix,
+    "binary_metrics": training.binary_metrics,
+    "roc_auc": training.roc_auc,
+    "roc_curve": training.roc_curve,
+    "eval_summary": training.eval_summary,
+    "softmax_argmax": training.softmax_argmax,
+    "sigmoid_threshold": training.sigmoid_threshold,
 }
 
-ORACLES: dict[str, str] = {**oracles.COHORT}
+ORACLES: dict[str, str] = {**oracles.COHORT, **oracles.TRAINING}
