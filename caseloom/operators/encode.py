@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def smoothed_mean(positives: Column, rows: Column, prior: Column, smoothing: flo
 
 def target_encode(
     df: DataFrame,
-    code: str,
+    codes: list[str],
     label: str,
     fold: str,
     spread_by: list[str],
@@ -76,29 +77,64 @@ def target_encode(
 ) -> DataFrame:
     """Out-of-fold target mean of a high-cardinality code, drawn towards the prior of the other folds.
 
-    A row's own fold never contributes. The statistics are combined map-side to one row per code and fold, and joined
-    back with hot codes split.
+    ``codes`` are the columns that name a level, for example the feature position and its code; a level with a NULL gets
+    the prior. A row's own fold never contributes. The statistics are combined map-side to one row per level and fold,
+    and joined back with hot levels split.
     """
-    own = df.groupBy(code, fold).agg(F.sum(label).alias("_own_pos"), F.count(label).alias("_own_rows"))
-    every = own.groupBy(code).agg(F.sum("_own_pos").alias("_all_pos"), F.sum("_own_rows").alias("_all_rows"))
-    per_fold = {row[fold]: row for row in own.groupBy(fold).agg(F.sum("_own_pos"), F.sum("_own_rows")).collect()}
-    pos = sum(row[1] or 0 for row in per_fold.values())
-    rows = sum(row[2] for row in per_fold.values())
+    own = df.groupBy(*codes, fold).agg(F.sum(label).alias("_own_pos"), F.count(label).alias("_own_rows"))
+    every = own.groupBy(*codes).agg(F.sum("_own_pos").alias("_all_pos"), F.sum("_own_rows").alias("_all_rows"))
+    sizes = df.groupBy(fold).agg(F.sum(label).alias("pos"), F.count(label).alias("rows")).collect()  # one row per fold
+    pos, rows = sum(s["pos"] or 0 for s in sizes), sum(s["rows"] for s in sizes)
     prior = F.lit(pos / rows if rows else 0.0)
-    for number, row in per_fold.items():
-        other = rows - row[2]
-        prior = F.when(F.col(fold) == number, F.lit((pos - (row[1] or 0)) / other if other else 0.0)).otherwise(prior)
-    positives = F.coalesce(F.col("_all_pos") - F.col("_own_pos"), F.lit(0))
-    others = F.coalesce(F.col("_all_rows") - F.col("_own_rows"), F.lit(0))
-    table = own.where(F.col(code).isNotNull()).join(every, code)
-    table = table.select(code, fold, smoothed_mean(positives, others, prior, smoothing).alias(out))
-    joined = lookup_join(df, table, [code, fold], spread_by, "left", broadcast_bytes)
+    for size in sizes:
+        others = rows - size["rows"]
+        value = (pos - (size["pos"] or 0)) / others if others else 0.0
+        prior = F.when(F.col(fold) == size[fold], F.lit(value)).otherwise(prior)
+    encoded = smoothed_mean(
+        F.coalesce(F.col("_all_pos") - F.col("_own_pos"), F.lit(0)),
+        F.col("_all_rows") - F.col("_own_rows"),
+        prior,
+        smoothing,
+    )
+    table = own.dropna(subset=codes).join(every, codes).select(*codes, fold, encoded.alias(out))
+    joined = lookup_join(df, table, [*codes, fold], spread_by, "left", broadcast_bytes)
     return joined.withColumn(out, F.coalesce(F.col(out), prior))
 
 
-def fit_target_means(df: DataFrame, code: str, label: str, smoothing: float = 10.0) -> tuple[DataFrame, float]:
-    """``(code, encoded)`` from all training rows, for scoring new rows, and the prior for unknown codes."""
+def fit_target_means(df: DataFrame, codes: list[str], label: str, smoothing: float = 10.0) -> tuple[DataFrame, float]:
+    """``(codes…, encoded)`` from all training rows, for rows that are only scored, and the prior for unknown levels."""
     prior = df.agg(F.avg(label)).first()[0] or 0.0
-    stats = df.where(F.col(code).isNotNull()).groupBy(code).agg(F.sum(label).alias("_p"), F.count(label).alias("_r"))
-    value = smoothed_mean(F.col("_p"), F.col("_r"), F.lit(prior), smoothing).alias("encoded")
-    return stats.select(code, value), prior
+    stats = df.dropna(subset=codes).groupBy(*codes).agg(F.sum(label).alias("_p"), F.count(label).alias("_r"))
+    value = smoothed_mean(F.coalesce("_p", F.lit(0)), F.col("_r"), F.lit(prior), smoothing)
+    return stats.select(*codes, value.alias("encoded")), prior
+
+
+def apply_target_means(
+    df: DataFrame,
+    fitted: tuple[DataFrame, float],
+    codes: list[str],
+    spread_by: list[str],
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    table, prior = fitted
+    joined = lookup_join(df, table, codes, spread_by, "left", broadcast_bytes)
+    return joined.withColumn("encoded", F.coalesce("encoded", F.lit(prior)))
+
+
+def position_vector(
+    rows: DataFrame, key: str, position: str, value: str, size: int, filler: float, out: str = "features"
+) -> DataFrame:
+    """``(key, out)``: values at positions 1..size as a dense vector, ``filler`` where a position has no row.
+
+    A key has at most one row per position, which bounds the group.
+    """
+    pairs = F.map_from_entries(F.collect_list(F.struct(F.col(position).cast("int"), F.col(value).cast("double"))))
+    grouped = rows.where(F.col(position).between(1, size)).groupBy(key).agg(pairs.alias("_pairs"))
+    place = F.sequence(F.lit(1), F.lit(size))
+    filled = F.transform(place, lambda i: F.coalesce(F.try_element_at("_pairs", i), F.lit(float(filler))))
+    return grouped.select(key, array_to_vector(filled).alias(out))
+
+
+def constant_vector(size: int, filler: float) -> Column:
+    """The vector of a key without any value."""
+    return array_to_vector(F.array_repeat(F.lit(float(filler)), size))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.plans import cohort, oracles, training
+from caseloom.plans import cohort, models, oracles, streams, training
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,12 @@ QUERIES: dict[str, Query] = {
     "eval_summary": training.eval_summary,
     "softmax_argmax": training.softmax_argmax,
     "sigmoid_threshold": training.sigmoid_threshold,
+    "rf_cv": models.rf_cv,
+    "feature_importance": models.feature_importance,
+    "gbt": models.gbt,
+    "mlp": models.mlp,
+    "text_classifier": models.text_classifier,
+    "stream_score": streams.stream_score,
 }
 
 ORACLES: dict[str, str] = {**oracles.COHORT, **oracles.TRAINING}

@@ -118,7 +118,7 @@ def standardize(spark: SparkSession, folder: str) -> DataFrame:
 def target_encode(spark: SparkSession, folder: str) -> DataFrame:
     first = views.positioned_codes(spark, folder, 1).select("n", "dx")
     rows = kfold(spark, folder).join(first, "n", "left")
-    return encode.target_encode(rows, "dx", "label", "fold", ["n"], SMOOTHING)
+    return encode.target_encode(rows, ["dx"], "label", "fold", ["n"], SMOOTHING)
 
 
 def scored_documents(spark: SparkSession, folder: str) -> DataFrame:
