@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from caseloom.functions.columns import bind
+
 # Category names in display order.
 SCORE_GROUPS = (
     "0 (No Comorbidities)", "1", "2", "3", "4", "5-6", "7-9", "10+ (Very High Risk)", "Unknown Score",
@@ -71,8 +73,13 @@ def sigmoid(logit: Column) -> Column:
 def softmax(logits: Column) -> Column:
     """Class probabilities of an array of logits, shifted by the maximum so that exp cannot overflow."""
     values = logits.cast("array<double>")
-    shifted = F.transform(values, lambda z: F.exp(z - F.array_max(values)))
-    return F.transform(shifted, lambda e: e / F.aggregate(shifted, F.lit(0.0), lambda total, x: total + x))
+    raised = bind(F.array_max(values), lambda top: F.transform(values, lambda z: F.exp(z - top)))
+
+    def normalised(weights: Column) -> Column:
+        total = F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w)
+        return bind(total, lambda t: F.transform(weights, lambda w: w / t))
+
+    return bind(raised, normalised)
 
 
 def argmax(values: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.functions.codes import strip
+from caseloom.operators.joins import spread_join
 
 # Condition names, with weights. The spelling of the names is part of the output schema.
 WEIGHTS = {
@@ -171,6 +172,10 @@ def flag_score(df: DataFrame) -> Column:
 
 
 def add_score(encounters: DataFrame, masks: DataFrame, key: str, out: str = "score") -> DataFrame:
-    """Attach the score to every encounter; keys without any code get 0. ``masks`` has one row per key."""
+    """Attach the score to every encounter; keys without any code get 0.
+
+    ``masks`` has one row per key, so repeated ids cannot multiply rows; a very frequent id is split.
+    """
     scores = masks.select(key, mask_score(F.col("mask")).alias(out))
-    return encounters.join(scores, key, "left").withColumn(out, F.coalesce(out, F.lit(0)))
+    joined = spread_join(encounters, scores, [key], encounters.columns)
+    return joined.select(*encounters.columns, F.coalesce(out, F.lit(0)).alias(out))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from caseloom.functions.numbers import embedding_size
 from caseloom.operators.joins import BROADCAST_BYTES, lookup_join
 from caseloom.operators.ranks import prefix_sums
+from caseloom.session import materialize
 
 UNSEEN = -1
 BUCKET_CHARACTERS = 3
@@ -65,21 +68,19 @@ def smoothed_mean(positives: Column, rows: Column, prior: Column, smoothing: flo
     return (positives + prior * smoothing) / (rows + F.lit(smoothing))
 
 
-def target_encode(
-    df: DataFrame,
-    codes: list[str],
-    label: str,
-    fold: str,
-    spread_by: list[str],
-    smoothing: float = 10.0,
-    out: str = "encoded",
-    broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
-    """Out-of-fold target mean of a high-cardinality code, drawn towards the prior of the other folds.
+@dataclass(frozen=True)
+class FoldMeans:
+    """Target means of the levels per fold, each from the rows of the other folds, and the priors for unknown levels."""
+
+    table: DataFrame
+    prior: Column
+
 
-    ``codes`` are the columns that name a level, for example the feature position and its code; a level with a NULL gets
-    the prior. A row's own fold never contributes. The statistics are combined map-side to one row per level and fold,
-    and joined back with hot levels split.
+def fit_fold_means(df: DataFrame, codes: list[str], label: str, fold: str, smoothing: float = 10.0) -> FoldMeans:
+    """Out-of-fold target means, drawn towards the prior of the other folds.
+
+    ``codes`` are the columns that name a level, for example the feature position and its code. The rows are combined
+    map-side to one per level and fold.
     """
     own = df.groupBy(*codes, fold).agg(F.sum(label).alias("_own_pos"), F.count(label).alias("_own_rows"))
     every = own.groupBy(*codes).agg(F.sum("_own_pos").alias("_all_pos"), F.sum("_own_rows").alias("_all_rows"))
@@ -96,9 +97,21 @@ def target_encode(
         prior,
         smoothing,
     )
-    table = own.dropna(subset=codes).join(every, codes).select(*codes, fold, encoded.alias(out))
-    joined = lookup_join(df, table, [*codes, fold], spread_by, "left", broadcast_bytes)
-    return joined.withColumn(out, F.coalesce(F.col(out), prior))
+    table = own.dropna(subset=codes).join(every, codes).select(*codes, fold, encoded.alias("encoded"))
+    return FoldMeans(materialize(table), prior)
+
+
+def apply_fold_means(
+    df: DataFrame,
+    means: FoldMeans,
+    codes: list[str],
+    fold: str,
+    spread_by: list[str],
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Add ``encoded``; a level with a NULL gets the prior. Hot levels are split."""
+    joined = lookup_join(df, means.table, [*codes, fold], spread_by, "left", broadcast_bytes)
+    return joined.withColumn("encoded", F.coalesce(F.col("encoded"), means.prior))
 
 
 def fit_target_means(df: DataFrame, codes: list[str], label: str, smoothing: float = 10.0) -> tuple[DataFrame, float]:
@@ -106,7 +119,7 @@ def fit_target_means(df: DataFrame, codes: list[str], label: str, smoothing: flo
     prior = df.agg(F.avg(label)).first()[0] or 0.0
     stats = df.dropna(subset=codes).groupBy(*codes).agg(F.sum(label).alias("_p"), F.count(label).alias("_r"))
     value = smoothed_mean(F.coalesce("_p", F.lit(0)), F.col("_r"), F.lit(prior), smoothing)
-    return stats.select(*codes, value.alias("encoded")), prior
+    return materialize(stats.select(*codes, value.alias("encoded"))), prior
 
 
 def apply_target_means(

@@ -10,7 +10,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, VectorAssembler, Word2Vec
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StandardScaler, VectorAssembler, Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -131,7 +131,8 @@ def network_pipeline(
                 inputCol=codes, outputCol="_embedded", vectorSize=width, minCount=1, seed=seed,
                 numPartitions=chosen.get("partitions", 1),
             ),
-            VectorAssembler(inputCols=["_embedded", *numbers], outputCol="_input"),
+            StandardScaler(inputCol="_embedded", outputCol="_scaled", withMean=True),
+            VectorAssembler(inputCols=["_scaled", *numbers], outputCol="_input"),
             MultilayerPerceptronClassifier(
                 labelCol=label,
                 featuresCol="_input",

@@ -5,31 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.functions.codes import chapter, classified, distinct_in_order, has_text
+from caseloom.functions.codes import add_chapter, chapter, classified, distinct_in_order, has_text
 
 TIER_CODES = 5
 
 
-def primary_sentence(code: Column) -> Column:
-    """Admission sentence: chapter of the primary diagnosis, else its raw code, else neither."""
-    title = classified(chapter(code))
-    tail = F.when(title.isNotNull(), F.concat(F.lit(" primarily for "), title)).when(
-        has_text(code), F.concat(F.lit(" with primary diagnosis code "), code)
+def primary_sentence(code: Column, title: Column) -> Column:
+    """Admission sentence from the primary diagnosis: its chapter title, else its raw code, else neither."""
+    name = classified(title)
+    tail = (
+        F.when(~has_text(code), F.lit(""))
+        .when(name.isNotNull(), F.concat(F.lit(" primarily for "), name))
+        .otherwise(F.concat(F.lit(" with primary diagnosis code "), code))
     )
-    tail = F.when(has_text(code), tail)
-    return F.concat(F.lit("This patient was admitted to the hospital"), F.coalesce(tail, F.lit("")), F.lit("."))
+    return F.concat(F.lit("This patient was admitted to the hospital"), tail, F.lit("."))
 
 
 def list_sentence(opening: str, items: Column) -> Column:
-    """``opening`` followed by the distinct items, or NULL when there are none."""
-    unique = distinct_in_order(items)
-    return F.when(F.size(unique) > 0, F.concat(F.lit(f"{opening} "), F.array_join(unique, ", "), F.lit(".")))
+    """``opening`` followed by the distinct items in order, or NULL when there are none."""
+    text = F.array_join(distinct_in_order(items), ", ")
+    return F.when(text != "", F.concat(F.lit(f"{opening} "), text, F.lit(".")))
 
 
-def condition_sentence(codes: Column) -> Column:
-    """Chapters of the secondary diagnoses, each once, in order of appearance."""
-    titles = F.transform(codes, lambda c: F.when(has_text(c), classified(chapter(c))))
-    return list_sentence("Co-occurring conditions included", titles)
+def condition_sentence(titles: Column) -> Column:
+    """Chapter titles of the secondary diagnoses, each once, in order of appearance."""
+    return list_sentence("Co-occurring conditions included", F.transform(titles, classified))
 
 
 def score_sentence(score: Column) -> Column:
@@ -37,33 +37,51 @@ def score_sentence(score: Column) -> Column:
     return F.concat(F.lit("The calculated Charlson Comorbidity Index score for this encounter was "), whole, F.lit("."))
 
 
+def procedure_sentence(names: Column) -> Column:
+    return list_sentence("Key procedures performed included", names)
+
+
 def narrative(dx_codes: Column, score: Column, procedures: Column) -> Column:
-    """Text of one encounter from its diagnosis array, score and array of procedure descriptions."""
+    """Text of one encounter from its diagnosis array, score and array of procedure descriptions.
+
+    A sentence without content is left out. The primary diagnosis is not removed from the secondary ones.
+    """
+    primary = F.get(dx_codes, F.lit(0))
     secondary = F.slice(dx_codes, 2, F.greatest(F.size(dx_codes) - 1, F.lit(0)))
+    titles = F.transform(secondary, lambda c: F.when(has_text(c), chapter(c)))
     return F.concat_ws(
         " ",
-        primary_sentence(F.get(dx_codes, F.lit(0))),
-        F.when(F.size(dx_codes) > 1, condition_sentence(secondary)),
+        primary_sentence(primary, chapter(primary)),
+        condition_sentence(titles),
         score_sentence(score),
-        list_sentence("Key procedures performed included", procedures),
+        procedure_sentence(procedures),
     )
 
 
-def position_array(value: str, size: int) -> Column:
-    """Aggregate ``(pos, value)`` rows of a group into an array indexed by position; gaps are NULL.
-
-    The state is bounded because callers keep positions 1..size only.
-    """
-    return F.array(*[F.max(F.when(F.col("pos") == i, F.col(value))) for i in range(1, size + 1)])
+def _at(position: int, value: str) -> Column:
+    return F.max(F.when(F.col("pos") == position, F.col(value)))
 
 
 def narratives_from_codes(
     encounters: DataFrame, codes: DataFrame, key: str, dx: str, description: str, score: str, tier: int = TIER_CODES
 ) -> DataFrame:
-    """Add ``prompt`` to every encounter. ``codes`` holds positions 1..tier with the procedure already described."""
-    grouped = codes.groupBy(key).agg(
-        position_array(dx, tier).alias("_dx"), position_array(description, tier).alias("_procedures")
+    """Add ``prompt`` to every encounter. ``codes`` holds positions 1..tier with the procedure already described.
+
+    Chapters are looked up on the code rows; a group has at most ``tier`` rows.
+    """
+    titled = add_chapter(codes, dx, "_title").withColumn("_title", F.when(has_text(F.col(dx)), F.col("_title")))
+    grouped = titled.groupBy(key).agg(
+        _at(1, dx).alias("_code"),
+        _at(1, "_title").alias("_first"),
+        F.array(*[_at(i, "_title") for i in range(2, tier + 1)]).alias("_titles"),
+        F.array(*[_at(i, description) for i in range(1, tier + 1)]).alias("_names"),
+    )
+    text = F.concat_ws(
+        " ",
+        primary_sentence(F.col("_code"), F.col("_first")),
+        condition_sentence(F.col("_titles")),
+        score_sentence(F.col(score)),
+        procedure_sentence(F.col("_names")),
     )
-    empty = F.array().cast("array<string>")
-    text = narrative(F.coalesce("_dx", empty), F.col(score), F.coalesce("_procedures", empty))
-    return encounters.join(grouped, key, "left").withColumn("prompt", text).drop("_dx", "_procedures")
+    joined = encounters.join(grouped, key, "left")
+    return joined.select(*encounters.columns, text.alias("prompt"))

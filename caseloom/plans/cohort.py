@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.functions.codes import chapter, clean_code, count_valid, ordinal_suffix, valid_code
+from caseloom.functions.codes import add_chapter, clean_code, count_valid, ordinal_suffix, valid_code
 from caseloom.functions.numbers import (
     READMISSION_NAMES,
     SCORE_GROUPS,
@@ -132,8 +132,7 @@ def procedure_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chapter_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    lines = views.code_lines(spark, folder)
-    return lines.select("n", F.col("l_linenumber").alias("line"), "dx", chapter(F.col("dx")).alias("title"))
+    return add_chapter(views.code_lines(spark, folder).select("n", F.col("l_linenumber").alias("line"), "dx"), "dx")
 
 
 def comorbidity_flags(spark: SparkSession, folder: str) -> DataFrame:

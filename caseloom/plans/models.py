@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from caseloom.operators import encode, models, sampling
 from caseloom.operators.comorbidity import add_score
-from caseloom.operators.readmission import readmission_label
 from caseloom.plans import cohort, views
 from caseloom.plans.training import BALANCED_SIZE
 from caseloom.session import materialize
@@ -20,10 +19,16 @@ SMALL_NETWORK = {"hidden": [16, 8], "epochs": 15, "embedding": 16}
 
 
 def marked_encounters(spark: SparkSession, folder: str) -> DataFrame:
-    """Encounters with score and a boolean ``test`` from the stratified split, written once for the passes to come."""
-    labelled = materialize(readmission_label(views.admissions(spark, folder)).select("n", "patient_id", "label"))
+    """``(n, label, test, score)``, written once: stratified split and score of every encounter."""
+    labelled = views.labelled(spark, folder).select("n", "label")
     marked = sampling.fit_split(labelled, "n", ["label"]).mark(labelled, "test")
-    return add_score(marked, views.masks(spark, folder), "n")
+    return materialize(add_score(marked, views.masks(spark, folder), "n"))
+
+
+def balanced_rows(train: DataFrame) -> DataFrame:
+    """Balanced training rows with a unique ``row_id``. Chosen before features are built, so only these get any."""
+    rows = sampling.balanced(train, "n", "label", BALANCED_SIZE, fall_back=True)
+    return materialize(rows.withColumn("row_id", F.concat_ws(":", "n", "draw")))
 
 
 def code_features(spark: SparkSession, folder: str, dx: int, cpt: int) -> DataFrame:
@@ -33,65 +38,69 @@ def code_features(spark: SparkSession, folder: str, dx: int, cpt: int) -> DataFr
         F.struct(F.col("pos").alias("pos"), F.col("dx").alias("code"), (F.col("pos") <= dx).alias("used")),
         F.struct((F.col("pos") + dx).alias("pos"), F.col("cpt").alias("code"), (F.col("pos") <= cpt).alias("used")),
     )
-    return codes.select("n", F.inline(both)).where("used AND code IS NOT NULL").drop("used")
+    return materialize(codes.select("n", F.inline(both)).where("used AND code IS NOT NULL").drop("used"))
+
 
+def only(codes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The codes of the given encounters."""
+    return codes.join(rows.select("n").distinct(), "n", "left_semi")
 
-def _assembled(rows: DataFrame, values: DataFrame, column: str, size: int, filler: float) -> DataFrame:
-    """Score and code values of every encounter as one ``features`` vector."""
-    with_score = values.select("n", F.col("pos") + 1, F.col(column).cast("double")).toDF("n", "pos", "value")
-    score = rows.select("n", F.lit(1).alias("pos"), F.col("score").cast("double").alias("value"))
-    vectors = encode.position_vector(with_score.unionByName(score), "n", "pos", "value", size + 1, filler)
-    return rows.join(vectors, "n")
 
+def assembled(rows: DataFrame, values: DataFrame, column: str, size: int, filler: float) -> DataFrame:
+    """Add the ``features`` vector: the score, then ``size`` code values, ``filler`` where there is no code."""
+    values = values.select("n", (F.col("pos") + 1).alias("pos"), F.col(column).cast("double").alias("value"))
+    scores = rows.select("n", F.lit(1).alias("pos"), F.col("score").cast("double").alias("value")).distinct()
+    vectors = encode.position_vector(values.unionByName(scores), "n", "pos", "value", size + 1, filler)
+    return materialize(rows.join(vectors, "n"))
 
-def ordinal_features(spark: SparkSession, folder: str, dx: int, cpt: int) -> DataFrame:
-    """All encounters with ordinal code features; the levels come from the training rows."""
+
+def ordinal_sets(spark: SparkSession, folder: str, dx: int, cpt: int) -> tuple[DataFrame, DataFrame]:
+    """Balanced training rows and all test rows with ordinal code features; levels come from the training rows."""
     rows = marked_encounters(spark, folder)
     codes = code_features(spark, folder, dx, cpt)
-    train_codes = codes.join(rows.where("NOT test").select("n"), "n", "left_semi")
-    levels = encode.level_table(train_codes, "pos", "code")
-    ordinals = encode.ordinal_encode(codes, levels, "pos", "code", ["n"])
-    return _assembled(rows, ordinals, "ordinal", dx + cpt, NO_CODE)
+    levels = materialize(encode.level_table(only(codes, rows.where("NOT test")), "pos", "code"))
 
+    def featured(chosen: DataFrame) -> DataFrame:
+        ordinals = encode.ordinal_encode(only(codes, chosen), levels, "pos", "code", ["n"])
+        return assembled(chosen, ordinals, "ordinal", dx + cpt, NO_CODE)
 
-def balanced_rows(train: DataFrame) -> DataFrame:
-    """The balanced training set with a unique ``row_id``, written once because training reads it many times."""
-    rows = sampling.balanced(train, "n", "label", BALANCED_SIZE, fall_back=True)
-    return materialize(rows.withColumn("row_id", F.concat_ws(":", "n", "draw")))
+    return featured(balanced_rows(rows.where("NOT test"))), featured(rows.where("test"))
 
 
 def rf_cv(spark: SparkSession, folder: str) -> DataFrame:
-    rows = materialize(ordinal_features(spark, folder, DX_POSITIONS, CPT_POSITIONS))
-    search = models.search_forest(balanced_rows(rows.where("NOT test")), "row_id", grid=SMALL_GRID)
-    return models.score(search.bestModel, rows.where("test"), ["n", "label"])
+    train, test = ordinal_sets(spark, folder, DX_POSITIONS, CPT_POSITIONS)
+    search = models.search_forest(train, "row_id", grid=SMALL_GRID)
+    return models.score(search.bestModel, test, ["n", "label"])
 
 
 def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
-    rows = materialize(ordinal_features(spark, folder, 5, 5))
-    search = models.search_forest(
-        balanced_rows(rows.where("NOT test")), "row_id", grid={"numTrees": [10], "maxDepth": [5]}
-    )
+    train, _ = ordinal_sets(spark, folder, 5, 5)
+    search = models.search_forest(train, "row_id", grid={"numTrees": [10], "maxDepth": [5]})
     names = ["score", *[f"dx{i}" for i in range(1, 6)], *[f"cpt{i}" for i in range(1, 6)]]
     return models.importances(search.bestModel, names)
 
 
 def gbt(spark: SparkSession, folder: str) -> DataFrame:
     """Boosted trees on target-encoded codes: out-of-fold means for training rows, all training rows for test rows."""
-    rows = materialize(marked_encounters(spark, folder))
+    rows = marked_encounters(spark, folder)
     train, test = rows.where("NOT test"), rows.where("test")
     codes = code_features(spark, folder, DX_POSITIONS, CPT_POSITIONS)
     size = DX_POSITIONS + CPT_POSITIONS
+    levels = ["pos", "code"]
     folded = sampling.folds(train, "n", "label").select("n", "label", "fold")
-    train_codes = codes.join(folded, "n")
+    train_codes = materialize(codes.join(folded, "n"))
     prior = train.agg(F.avg("label")).first()[0]
-    encoded = encode.target_encode(train_codes, ["pos", "code"], "label", "fold", ["n"])
-    fitted = encode.fit_target_means(train_codes, ["pos", "code"], "label")
-    test_codes = codes.join(test.select("n"), "n", "left_semi")
-    applied = encode.apply_target_means(test_codes, fitted, ["pos", "code"], ["n"])
-    balanced = balanced_rows(_assembled(train, encoded, "encoded", size, prior))
-    with_validation = sampling.fit_split(balanced, "row_id", ["label"]).mark(balanced, "validation")
-    model = models.fit_boosting(with_validation, "validation", settings=SMALL_BOOSTING)
-    return models.score(model, _assembled(test, applied, "encoded", size, prior), ["n", "label"])
+
+    chosen = balanced_rows(train)
+    means = encode.fit_fold_means(train_codes, levels, "label", "fold")
+    encoded = encode.apply_fold_means(only(train_codes, chosen), means, levels, "fold", ["n"])
+    featured = assembled(chosen, encoded, "encoded", size, prior)
+    marked = sampling.fit_split(featured, "row_id", ["label"]).mark(featured, "validation")
+    model = models.fit_boosting(marked, "validation", settings=SMALL_BOOSTING)
+
+    fitted = encode.fit_target_means(train_codes, levels, "label")
+    applied = encode.apply_target_means(only(codes, test), fitted, levels, ["n"])
+    return models.score(model, assembled(test, applied, "encoded", size, prior), ["n", "label"])
 
 
 def mlp(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,14 +108,17 @@ def mlp(spark: SparkSession, folder: str) -> DataFrame:
     rows = marked_encounters(spark, folder)
     dx = F.when(F.col("dx").isNotNull(), models.code_token(F.col("dx"), "dx"))
     words = F.concat(F.collect_list(dx), F.collect_list(models.code_token(F.col("cpt"), "cpt")))
-    grouped = views.positioned_codes(spark, folder, 5).groupBy("n").agg(words.alias("words"))
+    grouped = materialize(views.positioned_codes(spark, folder, 5).groupBy("n").agg(words.alias("words")))
     empty = F.array().cast("array<string>")
-    rows = materialize(rows.join(grouped, "n", "left").withColumn("words", F.coalesce("words", empty)))
-    train = balanced_rows(rows.where("NOT test"))
+
+    def worded(chosen: DataFrame) -> DataFrame:
+        return chosen.join(grouped, "n", "left").withColumn("words", F.coalesce("words", empty))
+
+    train = materialize(worded(balanced_rows(rows.where("NOT test"))))
     scaler = encode.fit_scaler(train, ["score"])
     pipeline = models.network_pipeline("words", ["score_z"], settings=SMALL_NETWORK)
     model = pipeline.fit(encode.standardize(train, scaler, "_z"))
-    return models.score(model, encode.standardize(rows.where("test"), scaler, "_z"), ["n", "label"])
+    return models.score(model, encode.standardize(worded(rows.where("test")), scaler, "_z"), ["n", "label"])
 
 
 def text_classifier(spark: SparkSession, folder: str) -> DataFrame:

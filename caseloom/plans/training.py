@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caseloom.functions.numbers import CLASS_NAMES, above, argmax, relabel, sigmoid, softmax
 from caseloom.operators import encode, evaluate, profile, sampling, tokens
 from caseloom.plans import views
+from caseloom.session import materialize
 
 VOCABULARY_SIZE = 5_000
 BALANCED_SIZE = 5_000
@@ -58,7 +59,7 @@ def length_describe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_stratified(spark: SparkSession, folder: str) -> DataFrame:
-    return sampling.split(views.encounters(spark, folder).select("n", "label"), "n", ["label"])
+    return sampling.split(views.labelled(spark, folder).select("n", "label"), "n", ["label"])
 
 
 def split_random(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,7 +75,7 @@ def sample_without(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bootstrap_with(spark: SparkSession, folder: str) -> DataFrame:
-    readmitted = views.encounters(spark, folder).where("label = 1").select("n", "patient_id")
+    readmitted = views.labelled(spark, folder).where("label = 1").select("n", "patient_id")
     return sampling.bootstrap(readmitted, "n", BALANCED_SIZE)
 
 
@@ -83,7 +84,7 @@ def balanced_train(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def kfold(spark: SparkSession, folder: str) -> DataFrame:
-    return sampling.folds(views.encounters(spark, folder).select("n", "label"), "n", "label")
+    return sampling.folds(views.labelled(spark, folder).select("n", "label"), "n", "label")
 
 
 def _code_positions(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,7 +96,7 @@ def ordinal_encode(spark: SparkSession, folder: str) -> DataFrame:
     """Levels from the training rows of a random split; codes seen only in test rows get -1."""
     codes = _code_positions(spark, folder)
     train = sampling.fit_split(views.admissions(spark, folder), "n", []).mark(codes, "test").where("NOT test")
-    levels = encode.level_table(train, "pos", "code")
+    levels = materialize(encode.level_table(train, "pos", "code"))
     return encode.ordinal_encode(codes, levels, "pos", "code", ["n"])
 
 
@@ -117,8 +118,9 @@ def standardize(spark: SparkSession, folder: str) -> DataFrame:
 
 def target_encode(spark: SparkSession, folder: str) -> DataFrame:
     first = views.positioned_codes(spark, folder, 1).select("n", "dx")
-    rows = kfold(spark, folder).join(first, "n", "left")
-    return encode.target_encode(rows, ["dx"], "label", "fold", ["n"], SMOOTHING)
+    rows = materialize(kfold(spark, folder).join(first, "n", "left"))
+    means = encode.fit_fold_means(rows, ["dx"], "label", "fold", SMOOTHING)
+    return encode.apply_fold_means(rows, means, ["dx"], "fold", ["n"])
 
 
 def scored_documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.operators.comorbidity import add_score, condition_mask
 from caseloom.operators.readmission import readmission_label
+from caseloom.session import materialize
 from caseloom.sources.encounters import first_positions
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
@@ -33,6 +34,11 @@ def encounters(spark: SparkSession, folder: str) -> DataFrame:
     return readmission_label(admissions(spark, folder))
 
 
+def labelled(spark: SparkSession, folder: str) -> DataFrame:
+    """``(n, patient_id, label)`` written once, for work that reads the label in several passes."""
+    return materialize(encounters(spark, folder).select("n", "patient_id", "label"))
+
+
 def code_lines(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order line with its diagnosis and procedure code; no positions, no shuffle."""
     base = F.concat(

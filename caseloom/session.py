@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,11 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder; later jobs read the files, also after an executor is lost."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as Parquet under the checkpoint folder and read it back.
+
+    Later jobs start from the files, so they neither repeat the work nor depend on executors that may be lost, read only
+    the columns they use, and know the table's size. The folder belongs to the cluster, which decides how long to keep it.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/caseloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
