@@ -80,7 +80,7 @@ def search_forest(
 def search_results(search: CrossValidatorModel) -> DataFrame:
     """One row per grid point: its parameters as text and its mean F1."""
     points = [
-        (", ".join(f"{param.name}={value}" for param, value in sorted(point.items(), key=lambda p: p[0].name)), score)
+        (", ".join(f"{param.name}={value}" for param, value in sorted(point.items(), key=lambda p: p[0].name)), float(score))
         for point, score in zip(search.getEstimatorParamMaps(), search.avgMetrics)
     ]
     return SparkSession.active().createDataFrame(points, "parameters string, f1 double")

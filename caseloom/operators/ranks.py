@@ -85,7 +85,8 @@ def exact_quantiles(
     columns = []
     for name, share in probabilities.items():
         place = share * (rows - 1) if rows else 0.0
-        low = int(place)
-        high = min(low + 1, max(rows - 1, 0))
-        columns.append((value_at(low) + (value_at(high) - value_at(low)) * (place - low)).alias(name))
+        low, part = int(place), place - int(place)
+        exact = value_at(low)
+        between = exact + (value_at(low + 1) - exact) * part
+        columns.append((between if part else exact).alias(name))
     return ranked.agg(*columns)
