@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from caseloom.functions.columns import bind
@@ -69,7 +69,7 @@ def code_prefix(code: Column, length: int = 3) -> Column:
 
 
 def chapter(code: Column) -> Column:
-    """Chapter title of a diagnosis code; the trimmed prefix is computed once. For whole tables see ``add_chapter``."""
+    """Chapter title of a diagnosis code; the trimmed prefix is computed once. For code rows ``add_chapter`` is faster."""
 
     def title(prefix: Column) -> Column:
         found = F.when(F.length(prefix) < 3, F.lit(INCOMPLETE))
@@ -80,29 +80,6 @@ def chapter(code: Column) -> Column:
     return F.when(code.isNotNull() & (code != ""), bind(code_prefix(code), title))
 
 
-def add_chapter(df: DataFrame, code: str, out: str = "title") -> DataFrame:
-    """Add the chapter title of a code column.
-
-    The range lookup is a broadcast hash join on the first letter (a fixed table of some thirty rows, one per chapter and
-    letter) with the range test as the rest of the condition, so a row is compared with one or two ranges.
-    """
-    rows = [
-        (chr(letter), low, high, name)
-        for low, high, name in CHAPTERS
-        for letter in range(ord(low[0]), ord(high[0]) + 1)
-    ]
-    ranges = df.sparkSession.createDataFrame(rows, "_letter string, _low string, _high string, _name string")
-    keyed = df.withColumn("_prefix", code_prefix(F.col(code)))
-    inside = (F.substring("_prefix", 1, 1) == F.col("_letter")) & F.col("_prefix").between(
-        F.col("_low"), F.col("_high")
-    )
-    inside = inside & (F.length("_prefix") == 3)
-    title = F.when(F.length("_prefix") < 3, F.lit(INCOMPLETE)).otherwise(F.coalesce("_name", F.lit(UNCLASSIFIED)))
-    present = F.col(code).isNotNull() & (F.col(code) != "")
-    joined = keyed.join(F.broadcast(ranges), inside, "left")
-    return joined.select(*df.columns, F.when(present, title).alias(out))
-
-
 def classified(title: Column) -> Column:
     """The title, or NULL when the code fell outside every chapter."""
     return F.when(~title.isin(UNCLASSIFIED, INCOMPLETE), title)

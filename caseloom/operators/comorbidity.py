@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.codes import strip
 from caseloom.operators.joins import spread_join
+from caseloom.sources.constants import constant_table
 
 # Condition names, with weights. The spelling of the names is part of the output schema.
 WEIGHTS = {
@@ -85,7 +86,7 @@ def rule_rows() -> list[tuple[str, str]]:
 
 def rules_frame(spark: SparkSession) -> DataFrame:
     """The built-in rule table ``(prefix, condition)``."""
-    return spark.createDataFrame(rule_rows(), "prefix string, condition string")
+    return constant_table(spark, ["prefix", "condition"], rule_rows())
 
 
 def _bit(condition: str) -> int:
@@ -98,9 +99,8 @@ def condition_mask(codes: DataFrame, key: str, code: str, also: tuple[Column, ..
     Two probes of the small rule table per code, then one map-side combined aggregate whose state is a single long, so a
     key with any number of codes stays cheap. No rule is a prefix of another, so at most one probe hits.
     """
-    rules = codes.sparkSession.createDataFrame(
-        [(prefix, _bit(condition)) for prefix, condition in rule_rows()], "prefix string, bit long"
-    )
+    bits = [(prefix, _bit(condition)) for prefix, condition in rule_rows()]
+    rules = constant_table(codes.sparkSession, ["prefix", "bit"], bits)
     bare = F.upper(F.replace(strip(F.col(code)), F.lit("."), F.lit("")))
     probes = codes.withColumns({"_p3": F.substring(bare, 1, 3), "_p4": F.substring(bare, 1, 4)})
     short = F.broadcast(rules.select(F.col("prefix").alias("_p3"), F.col("bit").alias("_b3")))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.functions.codes import add_chapter, chapter, classified, distinct_in_order, has_text
+from caseloom.functions.codes import chapter, classified, distinct_in_order, has_text
+from caseloom.operators.chapters import add_chapter
 
 TIER_CODES = 5
 

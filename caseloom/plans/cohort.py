@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.functions.codes import add_chapter, clean_code, count_valid, ordinal_suffix, valid_code
+from caseloom.functions.codes import clean_code, count_valid, ordinal_suffix, valid_code
 from caseloom.functions.numbers import (
     READMISSION_NAMES,
     SCORE_GROUPS,
@@ -16,6 +16,7 @@ from caseloom.functions.numbers import (
     score_bucket,
 )
 from caseloom.operators import comorbidity, profile
+from caseloom.operators.chapters import add_chapter
 from caseloom.operators.narrative import narratives_from_codes
 from caseloom.operators.readmission import exclude_disposition
 from caseloom.plans import views
