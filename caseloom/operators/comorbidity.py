@@ -171,11 +171,13 @@ def flag_score(df: DataFrame) -> Column:
     return weighted_score({c: F.col(c) for c in CONDITIONS if c in df.columns})
 
 
-def add_score(encounters: DataFrame, masks: DataFrame, key: str, out: str = "score") -> DataFrame:
+def add_score(
+    encounters: DataFrame, masks: DataFrame, key: str, out: str = "score", measured: DataFrame | None = None
+) -> DataFrame:
     """Attach the score to every encounter; keys without any code get 0.
 
     ``masks`` has one row per key, so repeated ids cannot multiply rows; a very frequent id is split.
     """
     scores = masks.select(key, mask_score(F.col("mask")).alias(out))
-    joined = spread_join(encounters, scores, [key], encounters.columns)
+    joined = spread_join(encounters, scores, [key], encounters.columns, measured=measured)
     return joined.select(*encounters.columns, F.coalesce(out, F.lit(0)).alias(out))

@@ -41,6 +41,15 @@ def ordinal_encode(
     return joined.withColumn("ordinal", F.coalesce("ordinal", F.lit(UNSEEN).cast("long")))
 
 
+def decode_levels(
+    coded: DataFrame, levels: DataFrame, column: str, code: str, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """The reverse mapping: add the code that an ``ordinal`` of a feature column stands for."""
+    return lookup_join(coded, levels, [column, "ordinal"], coded.columns, "left", broadcast_bytes).select(
+        *coded.columns, code
+    )
+
+
 def embedding_sizes(levels: DataFrame, column: str) -> DataFrame:
     """Number of levels per feature column and the embedding width it asks for."""
     counted = levels.groupBy(column).agg(F.count("*").alias("levels"))

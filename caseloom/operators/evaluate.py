@@ -120,6 +120,11 @@ def evaluation_summary(
     return report
 
 
+def display(report: DataFrame, decimals: int = 4) -> DataFrame:
+    """The report with its values as fixed-point text."""
+    return report.withColumn("value", F.format_string(f"%.{decimals}f", F.col("value")))
+
+
 def best_by(runs: DataFrame, metric: str) -> DataFrame:
     """The run with the highest metric."""
     return runs.orderBy(F.desc(metric)).limit(1)

@@ -31,11 +31,12 @@ def lookup_join(
     broadcast_bytes: int = BROADCAST_BYTES,
     hot_share: float = HOT_SHARE,
     hot_floor: int = HOT_FLOOR,
+    measured: DataFrame | None = None,
 ) -> DataFrame:
     """Join a lookup table. It is broadcast only when its measured size allows; beyond that see ``spread_join``."""
     if table_bytes(dim) <= broadcast_bytes:
         return facts.join(F.broadcast(dim), on, how)
-    return spread_join(facts, dim, on, spread_by, how, hot_share, hot_floor)
+    return spread_join(facts, dim, on, spread_by, how, hot_share, hot_floor, measured)
 
 
 def spread_join(
@@ -46,23 +47,28 @@ def spread_join(
     how: str = "left",
     hot_share: float = HOT_SHARE,
     hot_floor: int = HOT_FLOOR,
+    measured: DataFrame | None = None,
 ) -> DataFrame:
     """Shuffle join that splits every hot key over as many tasks as its own row count asks for.
 
     A key (NULL included) is hot above ``max(hot_floor, hot_share * rows)`` rows. Hot keys are recognised in a sample of
     the fact keys, which only decides the layout: at half the expected count, fewer than ``2 / hot_share`` keys qualify.
     The salt comes from ``spread_by`` columns of the fact row, which keeps retried tasks deterministic; the matching
-    lookup rows are repeated once per salt. No row is dropped and cold keys are joined as usual.
+    lookup rows are repeated once per salt. No row is dropped and cold keys are joined as usual. Rows and keys are counted
+    on ``measured``, a cheaper table with the same keys, where ``facts`` itself is expensive.
     """
     if how not in ("left", "inner"):
         raise ValueError("spread_join keeps the fact side: use 'left' or 'inner'")
-    rows = facts.count()
+    measured = facts if measured is None else measured
+    rows = measured.count()
     limit = max(hot_floor, int(rows * hot_share))
     if rows <= limit:
         return facts.join(dim, on, how)
 
     fraction = min(1.0, HOT_SAMPLE / rows)
-    keys = facts.select(*on) if fraction == 1.0 else facts.select(*on).sample(fraction, seed=1)
+    keys = measured.select(*on)
+    if fraction < 1.0:
+        keys = keys.sample(fraction, seed=1)
     counted = keys.groupBy(*on).agg(F.count("*").alias("_rows"))
     fan = F.ceil(F.col("_rows") / (limit * fraction)).cast("int").alias("_fan")
     hot = counted.where(F.col("_rows") > limit * fraction / 2).select(*on, fan)

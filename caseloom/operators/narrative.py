@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from caseloom.functions.codes import chapter, classified, distinct_in_order, has_text
 from caseloom.operators.chapters import add_chapter
 
+# The sentences of a narrative, and how many codes of each kind it uses.
+ADMITTED = "This patient was admitted to the hospital"
+FOR_CHAPTER = " primarily for "
+WITH_CODE = " with primary diagnosis code "
+CONDITIONS_INCLUDED = "Co-occurring conditions included"
+SCORE_WAS = "The calculated Charlson Comorbidity Index score for this encounter was "
+PROCEDURES_INCLUDED = "Key procedures performed included"
 TIER_CODES = 5
 
 
@@ -16,10 +23,10 @@ def primary_sentence(code: Column, title: Column) -> Column:
     name = classified(title)
     tail = (
         F.when(~has_text(code), F.lit(""))
-        .when(name.isNotNull(), F.concat(F.lit(" primarily for "), name))
-        .otherwise(F.concat(F.lit(" with primary diagnosis code "), code))
+        .when(name.isNotNull(), F.concat(F.lit(FOR_CHAPTER), name))
+        .otherwise(F.concat(F.lit(WITH_CODE), code))
     )
-    return F.concat(F.lit("This patient was admitted to the hospital"), tail, F.lit("."))
+    return F.concat(F.lit(ADMITTED), tail, F.lit("."))
 
 
 def list_sentence(opening: str, items: Column) -> Column:
@@ -30,16 +37,16 @@ def list_sentence(opening: str, items: Column) -> Column:
 
 def condition_sentence(titles: Column) -> Column:
     """Chapter titles of the secondary diagnoses, each once, in order of appearance."""
-    return list_sentence("Co-occurring conditions included", F.transform(titles, classified))
+    return list_sentence(CONDITIONS_INCLUDED, F.transform(titles, classified))
 
 
 def score_sentence(score: Column) -> Column:
     whole = score.cast("double").cast("long").cast("string")
-    return F.concat(F.lit("The calculated Charlson Comorbidity Index score for this encounter was "), whole, F.lit("."))
+    return F.concat(F.lit(SCORE_WAS), whole, F.lit("."))
 
 
 def procedure_sentence(names: Column) -> Column:
-    return list_sentence("Key procedures performed included", names)
+    return list_sentence(PROCEDURES_INCLUDED, names)
 
 
 def narrative(dx_codes: Column, score: Column, procedures: Column) -> Column:

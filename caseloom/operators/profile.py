@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions.numbers import guarded_ratio, percent_text
@@ -40,13 +40,16 @@ def value_counts(df: DataFrame, column: str, count: str = "encounters") -> DataF
 
 
 def shares(counts: DataFrame, count: str = "encounters", out: str = "pct") -> DataFrame:
-    """Add each row's share of the total in percent. ``counts`` is an aggregated table, small by construction."""
-    return counts.withColumn(out, 100.0 * F.col(count) / F.sum(count).over(Window.partitionBy()))
+    """Add each row's share of the total in percent. The total is one row, joined to an aggregate of any size."""
+    total = counts.agg(F.sum(count).alias("_total"))
+    percent = 100.0 * F.col(count) / F.col("_total")
+    return counts.crossJoin(F.broadcast(total)).withColumn(out, percent).drop("_total")
 
 
 def share_table(df: DataFrame, column: str) -> DataFrame:
     """``value_counts`` with the share and its one-decimal text."""
-    return shares(value_counts(df, column)).withColumn("share_text", percent_text(F.col("pct"), 1))
+    table = shares(value_counts(df, column)).withColumn("share_text", percent_text(F.col("pct"), 1))
+    return table.orderBy(F.desc("encounters"), column)
 
 
 def distribution(df: DataFrame, group: Column, order: tuple[str, ...]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseloom.operators.joins import spread_join
+
 # Array length, and the longest vocabulary (markers included).
 MAX_LENGTH = 512
 MAX_VOCABULARY = 30_522
@@ -56,8 +59,6 @@ class Vocabulary:
 
     @property
     def _slot_json(self) -> str:
-        import zlib
-
         slots: list[dict[str, int]] = [{} for _ in range(self.slots)]
         for word, number in self.words:
             slots[zlib.crc32(word.encode()) % self.slots][word] = number
@@ -113,10 +114,14 @@ def encode(df: DataFrame, text: str, vocabulary: Vocabulary, max_length: int = M
     ).drop("_ids")
 
 
-def pad_batches(df: DataFrame, ids: str, batch: str, out: str = "padded") -> DataFrame:
-    """Pad every id array to the longest of its batch. Batches are small, so they are spread evenly by their number."""
-    longest = F.max(F.size(ids)).over(Window.partitionBy(batch))
-    return df.withColumn("_size", longest).withColumn(out, pad(F.col(ids), F.col("_size"), F.lit(PAD))).drop("_size")
+def pad_batches(df: DataFrame, ids: str, batch: str, spread_by: list[str], out: str = "padded") -> DataFrame:
+    """Pad every id array to the longest of its batch.
+
+    The longest length is combined map-side and joined back, so that a batch of any size stays spread over tasks.
+    """
+    longest = df.groupBy(batch).agg(F.max(F.size(ids)).alias("_size"))
+    joined = spread_join(df, longest, [batch], spread_by)
+    return joined.withColumn(out, pad(F.col(ids), F.col("_size"), F.lit(PAD))).select(*df.columns, out)
 
 
 def map_batches(

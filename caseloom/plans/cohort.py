@@ -150,7 +150,11 @@ def narrative(spark: SparkSession, folder: str) -> DataFrame:
 
 def described_encounters(spark: SparkSession, folder: str) -> DataFrame:
     codes = describe_codes(
-        views.positioned_codes(spark, folder, 5), views.dictionary(spark, folder), "cpt", ["n", "pos"]
+        views.positioned_codes(spark, folder, 5),
+        views.dictionary(spark, folder),
+        "cpt",
+        ["n", "pos"],
+        measured=views.code_lines(spark, folder),
     )
     return narratives_from_codes(views.scored_encounters(spark, folder), codes, "n", "dx", "description", "score")
 

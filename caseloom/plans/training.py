@@ -42,7 +42,7 @@ def batch_pad(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = tokens.fit_vocabulary(documents, "text", VOCABULARY_SIZE)
     ids = tokens.content_ids(tokens.tokens(F.col("text")), vocabulary)
     rows = documents.select("doc_id", F.floor(F.col("doc_id") / 4).alias("batch"), ids.alias("ids"))
-    padded = tokens.pad_batches(rows, "ids", "batch")
+    padded = tokens.pad_batches(rows, "ids", "batch", ["doc_id"])
     return padded.select("doc_id", "batch", F.size("padded").alias("size"), F.array_join("padded", ",").alias("ids"))
 
 

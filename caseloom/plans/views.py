@@ -74,4 +74,6 @@ def masks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scored_encounters(spark: SparkSession, folder: str) -> DataFrame:
-    return add_score(encounters(spark, folder), masks(spark, folder), "n")
+    return add_score(
+        encounters(spark, folder), masks(spark, folder), "n", measured=admissions(spark, folder)
+    )

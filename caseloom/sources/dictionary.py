@@ -30,11 +30,16 @@ def describe_codes(
     spread_by: list[str],
     out: str = "description",
     broadcast_bytes: int = BROADCAST_BYTES,
+    measured: DataFrame | None = None,
 ) -> DataFrame:
     """Add the description of ``code``, NULL for an unknown code. See ``lookup_join`` for the strategy."""
-    keyed = facts.withColumn("_code", strip(F.col(code)))
+    trimmed = strip(F.col(code))
+    keyed = facts.withColumn("_code", trimmed)
+    if measured is not None:
+        measured = measured.select(trimmed.alias("_code"))
     names = dictionary.select(F.col("code").alias("_code"), F.col("description").alias(out))
-    return lookup_join(keyed, names, ["_code"], spread_by, "left", broadcast_bytes).drop("_code")
+    joined = lookup_join(keyed, names, ["_code"], spread_by, "left", broadcast_bytes, measured=measured)
+    return joined.drop("_code")
 
 
 def disposition_name(code: Column, names: dict[str, str]) -> Column:

@@ -212,6 +212,8 @@ def test_levels(spark):
     for size in (1 << 20, 1):
         coded = encode.ordinal_encode(new, levels, "pos", "code", ["n"], size)
         assert {r.n: r.ordinal for r in coded.collect()} == {1: 2, 2: -1, 3: -1}
+    back = encode.decode_levels(coded.drop("code"), levels, "pos", "code")
+    assert {r.n: r.code for r in back.collect()} == {1: "a", 2: None, 3: None}
     assert [tuple(r) for r in encode.level_counts(train, "pos", "code").collect()] == [(1, 4)]
     assert encode.embedding_sizes(levels, "pos").first().width == 2
 

@@ -104,7 +104,7 @@ def test_token_count_of_blank_texts(spark):
 
 def test_pad_batches(spark):
     df = spark.createDataFrame([(1, 0, [2, 3]), (2, 0, [2, 9, 9, 3]), (3, 1, [2, 3])], "i int, b int, ids array<int>")
-    found = {r.i: r.padded for r in tokens.pad_batches(df, "ids", "b").collect()}
+    found = {r.i: r.padded for r in tokens.pad_batches(df, "ids", "b", ["i"]).collect()}
     assert found == {1: [2, 3, 0, 0], 2: [2, 9, 9, 3], 3: [2, 3]}
 
 
