@@ -121,7 +121,8 @@ def pad_batches(df: DataFrame, ids: str, batch: str, spread_by: list[str], out:
     """
     longest = df.groupBy(batch).agg(F.max(F.size(ids)).alias("_size"))
     joined = spread_join(df, longest, [batch], spread_by)
-    return joined.withColumn(out, pad(F.col(ids), F.col("_size"), F.lit(PAD))).select(*df.columns, out)
+    size = F.coalesce("_size", F.size(ids))
+    return joined.withColumn(out, pad(F.col(ids), size, F.lit(PAD))).select(*df.columns, out)
 
 
 def map_batches(

@@ -5,35 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.operators import encode, models, sampling
+from caseloom.operators import experiments, models
 from caseloom.operators.comorbidity import add_score
 from caseloom.plans import cohort, views
 from caseloom.plans.training import BALANCED_SIZE
 from caseloom.session import materialize
 
-DX_POSITIONS, CPT_POSITIONS = 34, 100
-NO_CODE = -2.0
+RICH = (34, 100)
+LIMITED = (5, 5)
 SMALL_GRID = {"numTrees": [10, 20], "maxDepth": [5]}
 SMALL_BOOSTING = {"maxIter": 10}
 SMALL_NETWORK = {"hidden": [16, 8], "epochs": 15, "embedding": 16}
 
 
-def marked_encounters(spark: SparkSession, folder: str) -> DataFrame:
-    """``(n, label, test, score)``, written once: stratified split and score of every encounter."""
+def model_rows(spark: SparkSession, folder: str) -> DataFrame:
     labelled = views.labelled(spark, folder).select("n", "label")
-    marked = sampling.fit_split(labelled, "n", ["label"]).mark(labelled, "test")
-    return materialize(add_score(marked, views.masks(spark, folder), "n"))
+    return add_score(labelled, views.masks(spark, folder), "n")
 
 
-def balanced_rows(train: DataFrame) -> DataFrame:
-    """Balanced training rows with a unique ``row_id``. Chosen before features are built, so only these get any."""
-    rows = sampling.balanced(train, "n", "label", BALANCED_SIZE, fall_back=True)
-    return materialize(rows.withColumn("row_id", F.concat_ws(":", "n", "draw")))
-
-
-def code_features(spark: SparkSession, folder: str, dx: int, cpt: int) -> DataFrame:
-    """``(n, pos, code)``: diagnosis positions 1..dx, then procedure positions dx+1..dx+cpt."""
-    codes = views.positioned_codes(spark, folder, max(dx, cpt))
+def code_features(spark: SparkSession, folder: str, tier: tuple[int, int]) -> DataFrame:
+    """``(n, pos, code)``: diagnosis positions 1..dx, then procedure positions dx+1..dx+cpt, written once."""
+    dx, cpt = tier
+    codes = views.positioned_codes(spark, folder, max(tier))
     both = F.array(
         F.struct(F.col("pos").alias("pos"), F.col("dx").alias("code"), (F.col("pos") <= dx).alias("used")),
         F.struct((F.col("pos") + dx).alias("pos"), F.col("cpt").alias("code"), (F.col("pos") <= cpt).alias("used")),
@@ -41,92 +34,31 @@ def code_features(spark: SparkSession, folder: str, dx: int, cpt: int) -> DataFr
     return materialize(codes.select("n", F.inline(both)).where("used AND code IS NOT NULL").drop("used"))
 
 
-def only(codes: DataFrame, rows: DataFrame) -> DataFrame:
-    """The codes of the given encounters."""
-    return codes.join(rows.select("n").distinct(), "n", "left_semi")
-
-
-def assembled(rows: DataFrame, values: DataFrame, column: str, size: int, filler: float) -> DataFrame:
-    """Add the ``features`` vector: the score, then ``size`` code values, ``filler`` where there is no code."""
-    values = values.select("n", (F.col("pos") + 1).alias("pos"), F.col(column).cast("double").alias("value"))
-    scores = rows.select("n", F.lit(1).alias("pos"), F.col("score").cast("double").alias("value")).distinct()
-    vectors = encode.position_vector(values.unionByName(scores), "n", "pos", "value", size + 1, filler)
-    return materialize(rows.join(vectors, "n"))
-
-
-def ordinal_sets(spark: SparkSession, folder: str, dx: int, cpt: int) -> tuple[DataFrame, DataFrame]:
-    """Balanced training rows and all test rows with ordinal code features; levels come from the training rows."""
-    rows = marked_encounters(spark, folder)
-    codes = code_features(spark, folder, dx, cpt)
-    levels = materialize(encode.level_table(only(codes, rows.where("NOT test")), "pos", "code"))
-
-    def featured(chosen: DataFrame) -> DataFrame:
-        ordinals = encode.ordinal_encode(only(codes, chosen), levels, "pos", "code", ["n"])
-        return assembled(chosen, ordinals, "ordinal", dx + cpt, NO_CODE)
-
-    return featured(balanced_rows(rows.where("NOT test"))), featured(rows.where("test"))
+def _forest(spark: SparkSession, folder: str, tier: tuple[int, int], grid: dict) -> experiments.Run:
+    rows, codes = model_rows(spark, folder), code_features(spark, folder, tier)
+    return experiments.forest(rows, codes, sum(tier), BALANCED_SIZE, grid, fall_back=True)
 
 
 def rf_cv(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = ordinal_sets(spark, folder, DX_POSITIONS, CPT_POSITIONS)
-    search = models.search_forest(train, "row_id", grid=SMALL_GRID)
-    return models.score(search.bestModel, test, ["n", "label"])
+    return _forest(spark, folder, RICH, SMALL_GRID).scored
 
 
 def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
-    train, _ = ordinal_sets(spark, folder, 5, 5)
-    search = models.search_forest(train, "row_id", grid={"numTrees": [10], "maxDepth": [5]})
+    run = _forest(spark, folder, LIMITED, {"numTrees": [10], "maxDepth": [5]})
     names = ["score", *[f"dx{i}" for i in range(1, 6)], *[f"cpt{i}" for i in range(1, 6)]]
-    return models.importances(search.bestModel, names)
+    return models.importances(run.model, names)
 
 
 def gbt(spark: SparkSession, folder: str) -> DataFrame:
-    """Boosted trees on target-encoded codes: out-of-fold means for training rows, all training rows for test rows."""
-    rows = marked_encounters(spark, folder)
-    train, test = rows.where("NOT test"), rows.where("test")
-    codes = code_features(spark, folder, DX_POSITIONS, CPT_POSITIONS)
-    size = DX_POSITIONS + CPT_POSITIONS
-    levels = ["pos", "code"]
-    folded = sampling.folds(train, "n", "label").select("n", "label", "fold")
-    train_codes = materialize(codes.join(folded, "n"))
-    prior = train.agg(F.avg("label")).first()[0]
-
-    chosen = balanced_rows(train)
-    means = encode.fit_fold_means(train_codes, levels, "label", "fold")
-    encoded = encode.apply_fold_means(only(train_codes, chosen), means, levels, "fold", ["n"])
-    featured = assembled(chosen, encoded, "encoded", size, prior)
-    marked = sampling.fit_split(featured, "row_id", ["label"]).mark(featured, "validation")
-    model = models.fit_boosting(marked, "validation", settings=SMALL_BOOSTING)
-
-    fitted = encode.fit_target_means(train_codes, levels, "label")
-    applied = encode.apply_target_means(only(codes, test), fitted, levels, ["n"])
-    return models.score(model, assembled(test, applied, "encoded", size, prior), ["n", "label"])
+    rows, codes = model_rows(spark, folder), code_features(spark, folder, RICH)
+    return experiments.boosting(rows, codes, sum(RICH), BALANCED_SIZE, SMALL_BOOSTING, fall_back=True).scored
 
 
 def mlp(spark: SparkSession, folder: str) -> DataFrame:
-    """Limited tier: words of the first five codes of each kind and the standardised score."""
-    rows = marked_encounters(spark, folder)
-    dx = F.when(F.col("dx").isNotNull(), models.code_token(F.col("dx"), "dx"))
-    words = F.concat(F.collect_list(dx), F.collect_list(models.code_token(F.col("cpt"), "cpt")))
-    grouped = materialize(views.positioned_codes(spark, folder, 5).groupBy("n").agg(words.alias("words")))
-    empty = F.array().cast("array<string>")
-
-    def worded(chosen: DataFrame) -> DataFrame:
-        return chosen.join(grouped, "n", "left").withColumn("words", F.coalesce("words", empty))
-
-    train = materialize(worded(balanced_rows(rows.where("NOT test"))))
-    scaler = encode.fit_scaler(train, ["score"])
-    pipeline = models.network_pipeline("words", ["score_z"], settings=SMALL_NETWORK)
-    model = pipeline.fit(encode.standardize(train, scaler, "_z"))
-    return models.score(model, encode.standardize(worded(rows.where("test")), scaler, "_z"), ["n", "label"])
+    rows, codes = model_rows(spark, folder), code_features(spark, folder, LIMITED)
+    return experiments.network(rows, codes, BALANCED_SIZE, SMALL_NETWORK, fall_back=True).scored
 
 
 def text_classifier(spark: SparkSession, folder: str) -> DataFrame:
-    """Narratives, plain random split, balanced training set, best of two penalties on a slice of the training rows."""
     rows = materialize(cohort.described_encounters(spark, folder).select("n", "prompt", "label"))
-    marked = sampling.fit_split(rows, "n", []).mark(rows, "test")
-    train = balanced_rows(marked.where("NOT test"))
-    sliced = sampling.fit_split(train, "row_id", []).mark(train, "validation")
-    candidates = {str(p): models.text_pipeline("prompt", penalty=p) for p in (0.0, 0.01)}
-    _, model, _ = models.fit_best(candidates, sliced.where("NOT validation"), sliced.where("validation"))
-    return models.score(model, marked.where("test"), ["n", "prompt", "label"])
+    return experiments.text(rows, BALANCED_SIZE).scored

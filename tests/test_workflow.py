@@ -1,0 +1,108 @@
+"""The study steps on a wide CSV made from the star-schema tables agree with the registered queries."""
+
+import pytest
+from oracle import connect
+from pyspark.sql import functions as F
+
+from __spark_entry__ import queries
+from caseloom.__main__ import main
+from caseloom.plans import oracles, workflow
+from caseloom.sources import encounters as enc
+
+
+@pytest.fixture(scope="module")
+def study(spark, folder, tmp_path_factory):
+    """A raw wide CSV, its dictionary, and the prepared table."""
+    root = tmp_path_factory.mktemp("study")
+    wide = ", ".join(
+        f'max(CASE WHEN pos = {i} THEN {code} END) AS "{name}{i}"'
+        for code, name, size in (("dx", "I10_DX", 12), ("cpt", "CPT", 20))
+        for i in range(1, size + 1)
+    )
+    connect(folder).execute(
+        f"""COPY (WITH {oracles.ENCOUNTERS}, {oracles.CODES}, wide AS (SELECT n, {wide} FROM codes GROUP BY n),
+        counts AS (SELECT n, count(dx) AS ndx, count(cpt) AS ncpt FROM codes GROUP BY n)
+        SELECT e.n AS "N", age AS "AGE", los AS "LOS", ndx AS "I10_NDX", ncpt AS "NCPT", label AS "Readmitted30",
+               wide.* EXCLUDE (n)
+        FROM encounters e LEFT JOIN wide ON e.n = wide.n LEFT JOIN counts ON e.n = counts.n)
+        TO '{root}/raw.csv' (HEADER)"""
+    )
+    connect(folder).execute(
+        f"""COPY (SELECT p_partkey AS "Code", p_name AS "Description" FROM part WHERE p_partkey % 10 <> 0)
+        TO '{root}/names.csv' (HEADER)"""
+    )
+    main(["prepare", f"{root}/raw.csv", f"{root}/clean"])
+    return root
+
+
+def pairs(df, key, value):
+    return {str(row[key]): row[value] for row in df.collect()}
+
+
+def test_prepare_scores_like_the_long_form(spark, folder, study):
+    clean = enc.read_encounters(spark, f"{study}/clean")
+    expected = pairs(queries()["comorbidity_score"](spark, folder), "n", "score")
+    assert pairs(clean, "N", "CCI_Score") == expected
+    raw = enc.read_encounter_csv(spark, f"{study}/raw.csv")
+    plan = workflow.prepare(raw)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_compare_and_distributions(spark, folder, study):
+    main(["compare", f"{study}/clean", f"{study}/compare"])
+    shown = {r["Readmitted30"]: r for r in spark.read.option("header", True).csv(f"{study}/compare").collect()}
+    for row in queries()["encounter_compare"](spark, folder).collect():
+        found = shown[row.status]
+        assert float(found["Mean Age"]) == pytest.approx(row.mean_age, abs=0.0051)
+        assert float(found["Mean # of ICD Codes"]) == pytest.approx(row.mean_dx, abs=0.0051)
+        assert float(found["Mean CCI Score"]) == pytest.approx(row.mean_score, abs=0.0051)
+    main(["dist", f"{study}/clean", f"{study}/dist"])
+    for name, query in (("diagnoses", "diagnosis_count_dist"), ("procedures", "procedure_count_dist"), ("score", "score_dist")):
+        table = spark.read.option("header", True).csv(f"{study}/dist/{name}")
+        expected = pairs(queries()[query](spark, folder), "category", "encounters")
+        assert {k: int(v) for k, v in pairs(table, "category", "encounters").items()} == expected
+
+
+def test_narratives_and_tokens(spark, folder, study):
+    main(["narrate", f"{study}/clean", f"{study}/stories", "--dictionary", f"{study}/names.csv"])
+    stories = spark.read.parquet(f"{study}/stories")
+    expected = pairs(queries()["narrative"](spark, folder), "n", "prompt")
+    assert pairs(stories, "n", "prompt") == expected
+    main(["tokenize", f"{study}/stories", f"{study}/tokens"])
+    tokens = spark.read.parquet(f"{study}/tokens")
+    assert tokens.count() == len(expected)
+    assert tokens.where((F.size("input_ids") != 512) | F.array_contains("input_ids", 1)).count() == 0
+    main(["truncation", f"{study}/stories", f"{study}/truncation"])
+    stats = spark.read.option("header", True).csv(f"{study}/truncation/statistics").first()
+    assert int(stats.narratives) == len(expected) and int(stats.truncated) == 0
+
+
+@pytest.mark.parametrize("model, settings", [("boosting", {"maxIter": 3}), ("network", {"hidden": [4], "epochs": 3})])
+def test_training_steps(spark, study, model, settings):
+    clean = enc.read_encounters(spark, f"{study}/clean")
+    run = workflow.train(clean, model, "limited", class_size=300, settings=settings)
+    report = {(r.section, r.key): r.value for r in run.report().collect()}
+    assert report["train", "class_0"] == report["train", "class_1"] == 300
+    assert report["test", "rows"] == run.scored.count() and report["original_train", "rows"] > 1000
+    assert sum(r.rows for r in run.confusion().collect()) == report["test", "rows"]
+    with pytest.raises(ValueError, match="cannot balance"):
+        workflow.train(clean, model, "limited", class_size=10**6, settings=settings)
+
+
+def test_training_from_the_command_line(spark, study, monkeypatch):
+    from caseloom.operators import models
+
+    monkeypatch.setattr(models, "FOREST_GRID", {"numTrees": [2], "maxDepth": [2, 3]})
+    options = ["--tier", "limited", "--class-size", "200"]
+    main(["train", f"{study}/clean", f"{study}/run", *options])
+    main(["train-text", f"{study}/stories", f"{study}/run", "--class-size", "200"])
+    summary = spark.read.parquet(f"{study}/run/summary")
+    assert {r.run_id for r in summary.select("run_id").distinct().collect()} == {"forest", "text"}
+    predictions = spark.read.option("header", True).csv(f"{study}/run/forest_predictions")
+    assert predictions.columns == ["n", "label", "predicted_label", "predicted_probability"]
+    assert spark.read.option("header", True).csv(f"{study}/run/forest_confusion_matrix").count() == 4
+
+
+def test_unknown_model(spark, study):
+    with pytest.raises(ValueError, match="unknown model"):
+        workflow.train(enc.read_encounters(spark, f"{study}/clean"), "oracle", "limited")
