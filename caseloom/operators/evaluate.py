@@ -69,12 +69,11 @@ def roc_auc(df: DataFrame, label: str, score: str, rows_per_bucket: int = ROWS_P
 def roc_curve(df: DataFrame, label: str, score: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """``(threshold, fpr, tpr)`` for every distinct score: rates among rows scored at least the threshold."""
     ranked = _ranked(df, label, score, rows_per_bucket)
-    sums = ranked.agg(F.sum("positives").alias("_pos"), F.sum("negatives").alias("_neg"))
-    both = ranked.crossJoin(F.broadcast(sums))  # one row
-    return both.select(
+    positives, negatives = ranked.agg(F.sum("positives")).scalar(), ranked.agg(F.sum("negatives")).scalar()
+    return ranked.select(
         F.col(score).alias("threshold"),
-        guarded_ratio(F.col("_neg") - F.col("before_negatives"), F.col("_neg")).alias("fpr"),
-        guarded_ratio(F.col("_pos") - F.col("before_positives"), F.col("_pos")).alias("tpr"),
+        guarded_ratio(negatives - F.col("before_negatives"), negatives).alias("fpr"),
+        guarded_ratio(positives - F.col("before_positives"), positives).alias("tpr"),
     )
 
 

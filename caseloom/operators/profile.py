@@ -40,10 +40,9 @@ def value_counts(df: DataFrame, column: str, count: str = "encounters") -> DataF
 
 
 def shares(counts: DataFrame, count: str = "encounters", out: str = "pct") -> DataFrame:
-    """Add each row's share of the total in percent. The total is one row, joined to an aggregate of any size."""
-    total = counts.agg(F.sum(count).alias("_total"))
-    percent = 100.0 * F.col(count) / F.col("_total")
-    return counts.crossJoin(F.broadcast(total)).withColumn(out, percent).drop("_total")
+    """Add each row's share of the total in percent. The total is a scalar subquery, so ``counts`` may have any size."""
+    total = counts.agg(F.sum(count)).scalar()
+    return counts.withColumn(out, 100.0 * F.col(count) / total)
 
 
 def share_table(df: DataFrame, column: str) -> DataFrame:
@@ -88,7 +87,9 @@ def describe(df: DataFrame, column: str, rows_per_bucket: int = ROWS_PER_BUCKET)
         F.min(column).alias("min"),
         F.max(column).alias("max"),
     )
-    quartiles = exact_quantiles(df, column, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, rows_per_bucket)
-    return moments.crossJoin(F.broadcast(quartiles)).select(  # one row each
-        "count", "mean", "std", "min", "q25", "q50", "q75", "max"
+    shares_by_name = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    quartiles = exact_quantiles(df, column, shares_by_name, rows_per_bucket)
+    found = quartiles.select(F.struct(*shares_by_name)).scalar()
+    return moments.withColumn("_q", found).select(
+        "count", "mean", "std", "min", *[F.col("_q")[name].alias(name) for name in shares_by_name], "max"
     )

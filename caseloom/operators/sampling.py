@@ -20,7 +20,6 @@ CLASS_SIZE = 15_000
 FOLDS = 3
 
 LITERAL_STRATA = 256
-BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -35,23 +34,26 @@ class Cut:
 
     def mark(self, df: DataFrame, out: str = "taken") -> DataFrame:
         """Add whether a row lies up to the cut of its stratum. A narrow projection unless there are many strata."""
-        order = random_order(self.key, self.seed)
+        place = F.struct(random_order(self.key, self.seed).alias("o"), F.col(self.key).alias("k"))
 
         def up_to(last_order: Column, last_key: Column) -> Column:
-            return (order < last_order) | ((order == last_order) & (F.col(self.key) <= last_key))
+            """One comparison per row; a stratum without a cut has a NULL limit, which sorts before every row."""
+            return F.coalesce(place <= F.struct(last_order.alias("o"), last_key.alias("k")), F.lit(False))
 
         if len(self.rows) <= LITERAL_STRATA:
-            taken = F.lit(False)
+            key_type = df.schema[self.key].dataType
+            last_order, last_key = F.lit(None).cast("string"), F.lit(None).cast(key_type)
             for row in self.rows:
-                inside = up_to(F.lit(row["_last_order"]), F.lit(row["_last_key"]))
+                here = F.lit(True)
                 for name in self.strata:
-                    inside = inside & F.col(name).eqNullSafe(F.lit(row[name]))
-                taken = taken | inside
-            return df.withColumn(out, taken)
+                    here = here & F.col(name).eqNullSafe(F.lit(row[name]))
+                last_order = F.when(here, F.lit(row["_last_order"])).otherwise(last_order)
+                last_key = F.when(here, F.lit(row["_last_key"]).cast(key_type)).otherwise(last_key)
+            return df.withColumn(out, up_to(last_order, last_key))
         stratum = F.struct(*self.strata).alias("_stratum")
         limits = self.limits.select(stratum, "_last_order", "_last_key")
         joined = spread_join(df.select("*", stratum), limits, ["_stratum"], [self.key])
-        taken = F.coalesce(up_to(F.col("_last_order"), F.col("_last_key")), F.lit(False))
+        taken = up_to(F.col("_last_order"), F.col("_last_key"))
         return joined.withColumn(out, taken).drop("_stratum", "_last_order", "_last_key")
 
 
@@ -106,9 +108,9 @@ def split(df: DataFrame, key: str, strata: list[str], share: float = TEST_SHARE,
     return marked.withColumn("part", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 
 
-def sample_without(df: DataFrame, key: str, size: int, seed: int = SEED) -> DataFrame:
-    """Exactly ``size`` distinct rows; an error when there are fewer."""
-    rows = df.count()
+def sample_without(df: DataFrame, key: str, size: int, seed: int = SEED, rows: int | None = None) -> DataFrame:
+    """Exactly ``size`` distinct rows; an error when there are fewer. ``rows`` is the row count, where known."""
+    rows = df.count() if rows is None else rows
     if rows < size:
         raise ValueError(f"cannot take {size} of {rows} rows without replacement")
     return fit_cut(df, key, [], F.lit(size), seed).mark(df, "_taken").where("_taken").drop("_taken")
@@ -123,22 +125,24 @@ def bootstrap(df: DataFrame, key: str, size: int, seed: int = SEED) -> DataFrame
     """Exactly ``size`` rows drawn with replacement, each with its ``draw`` number from 0.
 
     Draw d takes row ``md5(d) mod rows`` in ``random_order``. Draws and rows meet through equi-joins on the row index and
-    then on the key; whichever side is small by its known row count is broadcast.
+    then on the key. A side is broadcast only when its row count times the widest key fits the limit.
     """
-    rows = df.count()
+    rows, width = df.agg(F.count("*"), F.max(F.octet_length(F.col(key).cast("string")))).first()
     if not rows:
         raise ValueError("cannot draw from an empty table")
+    few_draws = size * (width + 32) <= BROADCAST_BYTES
+    few_rows = rows * (width + 32) <= BROADCAST_BYTES
     draws = df.sparkSession.range(size).select(F.col("id").alias("draw"))
     draws = draws.withColumn("row_index", _draw_number(seed) % F.lit(rows))
     index = random_index(df.select(key), [], key, seed)
-    if size <= BROADCAST_ROWS:
+    if few_draws:
         draws = F.broadcast(draws)
-    elif rows <= BROADCAST_ROWS:
+    elif few_rows:
         index = F.broadcast(index)
     drawn = index.join(draws, "row_index").select(key, "draw")
-    if size <= BROADCAST_ROWS:
+    if few_draws:
         drawn = F.broadcast(drawn)
-    elif rows <= BROADCAST_ROWS and table_bytes(df) <= BROADCAST_BYTES:
+    elif few_rows and table_bytes(df) <= BROADCAST_BYTES:
         df = F.broadcast(df)
     return df.join(drawn, key)
 
@@ -158,7 +162,7 @@ def balanced(
             raise ValueError(f"cannot balance classes of {counts} rows to {size} each")
         log.warning("classes of %s rows cannot be balanced to %s each; training on all rows", counts, size)
         return df.withColumn("draw", once)
-    majority = sample_without(df.where(F.col(label) == 0), key, size, seed).withColumn("draw", once)
+    majority = sample_without(df.where(F.col(label) == 0), key, size, seed, counts[0]).withColumn("draw", once)
     minority = bootstrap(df.where(F.col(label) == 1), key, size, seed)
     return majority.unionByName(minority)
 

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Streaming state on local disk instead of the executor heap.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def build_session(app: str = "caseloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on. Cluster sizing stays with spark-submit; ``conf`` adds or overrides."""
@@ -15,6 +18,7 @@ def build_session(app: str = "caseloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         **conf,
     }
     builder = SparkSession.builder.appName(app)

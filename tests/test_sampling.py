@@ -66,10 +66,10 @@ def test_sample_without(rows):
         sampling.sample_without(rows, "n", 1004)
 
 
-@pytest.mark.parametrize("limit", [sampling.BROADCAST_ROWS, 500, 1])
+@pytest.mark.parametrize("limit", [sampling.BROADCAST_BYTES, 40_000, 1])
 def test_bootstrap(rows, monkeypatch, limit):
     """The same draws whichever side is broadcast."""
-    monkeypatch.setattr(sampling, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(sampling, "BROADCAST_BYTES", limit)
     ids = sorted(range(1003), key=order)
     place = [int(md5(f"{d}:draw:42".encode()).hexdigest()[:15], 16) % 1003 for d in range(2000)]
     drawn = sampling.bootstrap(rows, "n", 2000)
