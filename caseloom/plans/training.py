@@ -38,11 +38,12 @@ def attention_mask(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def batch_pad(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches of four documents over the stored ids."""
     documents = views.table(spark, folder, "documents").select("doc_id", "text")
     vocabulary = tokens.fit_vocabulary(documents, "text", VOCABULARY_SIZE)
     ids = tokens.content_ids(tokens.tokens(F.col("text")), vocabulary)
-    rows = documents.select("doc_id", F.floor(F.col("doc_id") / 4).alias("batch"), ids.alias("ids"))
-    padded = tokens.pad_batches(rows, "ids", "batch", ["doc_id"])
+    stored = materialize(documents.select("doc_id", F.floor(F.col("doc_id") / 4).alias("batch"), ids.alias("ids")))
+    padded = tokens.pad_batches(stored, "ids", "batch", ["doc_id"])
     return padded.select("doc_id", "batch", F.size("padded").alias("size"), F.array_join("padded", ",").alias("ids"))
 
 
