@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.functions.codes import strip
+from caseloom.functions.slots import slot_lookup, slot_table
 from caseloom.operators.joins import spread_join
 from caseloom.sources.constants import constant_table
 
@@ -110,24 +108,18 @@ def condition_mask(codes: DataFrame, key: str, code: str, also: tuple[Column, ..
     return hits.groupBy(key).agg(mask, *also)
 
 
-def matches_any(prefixes: list[str]) -> Callable[[Column], Column]:
-    """Predicate on a bare code: does it start with one of the 3- or 4-character prefixes?"""
-
-    def test(code: Column) -> Column:
-        groups = [(n, [p for p in prefixes if len(p) == n]) for n in (3, 4)]
-        return reduce(lambda a, b: a | b, [F.substring(code, 1, n).isin(group) for n, group in groups if group])
-
-    return test
+def mask_of_array(codes: Column) -> Column:
+    """The same mask from an array of codes in one row, without a shuffle: two constant-table lookups per code."""
+    bits = {prefix: _bit(condition) for prefix, condition in rule_rows()}
+    table = slot_table(bits)
 
+    def add(mask: Column, bare: Column) -> Column:
+        found = [slot_lookup(bits, F.substring(bare, 1, length), table) for length in (4, 3)]
+        return mask.bitwiseOR(F.coalesce(*found, F.lit(0).cast("long")))
 
-def mask_of_array(codes: Column) -> Column:
-    """The same mask from an array of codes in one row, without a shuffle."""
-    bare = F.transform(codes, lambda c: F.upper(F.replace(strip(c), F.lit("."), F.lit(""))))
-    mask = F.lit(0).cast("long")
-    for condition, text in PREFIXES.items():
-        found = F.coalesce(F.exists(bare, matches_any(expand_prefixes(text))), F.lit(False))
-        mask = mask.bitwiseOR(F.when(found, F.lit(_bit(condition))).otherwise(F.lit(0)).cast("long"))
-    return mask
+    present = F.filter(codes, lambda c: c.isNotNull())
+    bare = F.transform(present, lambda c: F.upper(F.replace(strip(c), F.lit("."), F.lit(""))))
+    return F.coalesce(F.aggregate(bare, F.lit(0).cast("long"), add), F.lit(0).cast("long"))
 
 
 def add_array_score(df: DataFrame, codes: str, out: str = "score") -> DataFrame:

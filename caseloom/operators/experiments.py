@@ -63,8 +63,9 @@ def assembled(rows: DataFrame, values: DataFrame, column: str, size: int, filler
     return materialize(rows.join(vectors, "n"))
 
 
-def scored(model: Model, test: DataFrame) -> DataFrame:
-    return models.score(model, test, ["n", "label"])
+def scored(model: Model, test: DataFrame, keep: tuple[str, ...] = ("n", "label")) -> DataFrame:
+    """The prediction table, written once: sinks, metrics and the report all read it."""
+    return materialize(models.score(model, test, list(keep)))
 
 
 def forest(
@@ -157,7 +158,7 @@ def text(
     sliced = sampling.fit_split(train, "row_id", []).mark(train, "validation")
     candidates = {str(p): make(p) for p in penalties}
     best, model, f1 = models.fit_best(candidates, sliced.where("NOT validation"), sliced.where("validation"))
-    result = models.score(model, test, ["n", "prompt", "label"])
+    result = scored(model, test, ("n", "prompt", "label"))
     return Run(model, result, original, train, {"penalty": float(best), "validation_f1": f1[best]})
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.numbers import above
 from caseloom.operators.sampling import FOLDS, SEED, folds
-from caseloom.session import checkpoint_root
+from caseloom.session import checkpoint_root, materialize
 
 # Search grid of the forest, boosting and network settings.
 FOREST_GRID = {"numTrees": [200, 300], "maxDepth": [20, 30], "minInstancesPerNode": [2, 4]}
@@ -58,14 +58,13 @@ def search_forest(
 
     ``key`` must be unique. Each distinct fit is a distributed job; ``parallelism`` of them share the cluster.
     """
-    checkpoint_root(train.sparkSession)
     forest = RandomForestClassifier(
         labelCol=label, featuresCol=features, weightCol="weight", seed=seed, cacheNodeIds=True, checkpointInterval=10
     )
     builder = ParamGridBuilder()
     for name, values in (grid or FOREST_GRID).items():
         builder = builder.addGrid(forest.getParam(name), values)
-    rows = folds(with_balanced_weight(train, label), key, label, fold_count, seed, "fold")
+    rows = materialize(folds(with_balanced_weight(train, label), key, label, fold_count, seed, "fold"))
     search = CrossValidator(
         estimator=forest,
         estimatorParamMaps=builder.build(),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -11,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseloom.functions.slots import slot_lookup, slot_table
 from caseloom.operators.joins import spread_join
 
 # Array length, and the longest vocabulary (markers included).
@@ -38,32 +37,19 @@ def token_count(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Words with their ids. At most ``MAX_VOCABULARY`` entries, so it may live on the driver and in a literal."""
+    """Words with their ids. At most ``MAX_VOCABULARY`` entries, so it may live on the driver and in the plan."""
 
-    words: list[tuple[str, int]]
-    slots: int = 8192
+    words: dict[str, int]
 
     def ids(self, words: Column) -> Column:
-        """Ids of an array of tokens, ``UNKNOWN`` for words outside the vocabulary.
-
-        The table is a constant array of small maps indexed by a hash of the word, so a token costs one array access and
-        a few comparisons, and rows need neither a join nor a Python worker.
-        """
-        table = F.from_json(F.lit(self._slot_json), "array<map<string,int>>")
+        """Ids of an array of tokens, ``UNKNOWN`` for words outside the vocabulary."""
+        table = slot_table(self.words)
 
         def look_up(word: Column) -> Column:
-            slot = F.element_at(table, (F.pmod(F.crc32(word), F.lit(self.slots)) + 1).cast("int"))
-            return F.coalesce(F.try_element_at(slot, word), F.lit(UNKNOWN))
+            return F.coalesce(slot_lookup(self.words, word, table).cast("int"), F.lit(UNKNOWN))
 
         return F.transform(words, look_up)
 
-    @property
-    def _slot_json(self) -> str:
-        slots: list[dict[str, int]] = [{} for _ in range(self.slots)]
-        for word, number in self.words:
-            slots[zlib.crc32(word.encode()) % self.slots][word] = number
-        return json.dumps(slots, ensure_ascii=False)
-
 
 def vocabulary_frame(df: DataFrame, text: str, size: int = MAX_VOCABULARY) -> DataFrame:
     """``(token, occurrences, token_id)``: the most frequent tokens, ties in text order, ids from ``FIRST_WORD``.
@@ -83,7 +69,7 @@ def vocabulary_frame(df: DataFrame, text: str, size: int = MAX_VOCABULARY) -> Da
 
 def fit_vocabulary(df: DataFrame, text: str, size: int = MAX_VOCABULARY) -> Vocabulary:
     rows = vocabulary_frame(df, text, size).select("token", "token_id").collect()  # at most MAX_VOCABULARY rows
-    return Vocabulary([(row.token, row.token_id) for row in rows])
+    return Vocabulary({row.token: row.token_id for row in rows})
 
 
 def content_ids(words: Column, vocabulary: Vocabulary, max_length: int = MAX_LENGTH) -> Column:

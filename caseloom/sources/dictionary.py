@@ -12,7 +12,7 @@ from caseloom.sources.encounters import require_columns
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """Dictionary CSV with ``Code`` and ``Description``; extra columns are ignored and the last row of a code wins."""
-    raw = require_columns(spark.read.option("header", True).csv(path), ["Code", "Description"])
+    raw = require_columns(spark.read.option("header", True).option("enforceSchema", False).csv(path), ["Code", "Description"])
     line = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
     return last_description(raw.select("Code", "Description", line.alias("line")), "Code", "Description", "line")
 

@@ -24,7 +24,11 @@ def score_stream(stream: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return score(model, stream, keep)
 
 
-def start_sink(scored: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append scored rows as Parquet, process what is there, and stop; a restart goes on from ``checkpoint``."""
+def start_sink(scored: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Append scored rows as Parquet; a restart goes on from ``checkpoint``.
+
+    Without ``every`` the query processes what is there and stops, else it runs at that interval, such as ``1 minute``.
+    """
     writer = scored.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    return writer.outputMode("append").trigger(availableNow=True).start()
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return writer.outputMode("append").trigger(**trigger).start()
