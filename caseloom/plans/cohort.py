@@ -19,9 +19,19 @@ from caseloom.operators import comorbidity, profile
 from caseloom.operators.chapters import add_chapter
 from caseloom.operators.narrative import narratives_from_codes
 from caseloom.operators.readmission import exclude_disposition
+from caseloom.operators.tokens import token_count
 from caseloom.plans import views
+from caseloom.session import materialize
 from caseloom.sources.dictionary import describe_codes, disposition_name, last_description
-from caseloom.sources.encounters import add_missing_columns, fill_categorical, fill_numeric, widen
+from caseloom.sources.encounters import (
+    CPT_COLUMNS,
+    DX_COLUMNS,
+    add_missing_columns,
+    fill_categorical,
+    fill_numeric,
+    long_codes,
+    widen,
+)
 
 DISPOSITIONS = {"1": "home or self-care", "3": "skilled nursing facility", "7": "left against medical advice"}
 
@@ -172,6 +182,19 @@ def feature_tier(spark: SparkSession, folder: str) -> DataFrame:
     return scores.join(wide, "n", "left")
 
 
+def codes_long(spark: SparkSession, folder: str) -> DataFrame:
+    """The limited tier from wide columns to one row per filled code position."""
+    names = {name: ("dx", i) for i, name in enumerate(DX_COLUMNS[:5], 1)}
+    names |= {name: ("cpt", i) for i, name in enumerate(CPT_COLUMNS[:5], 1)}
+    wide = widen(views.positioned_codes(spark, folder, 5), "n", names)
+    return long_codes(add_missing_columns(wide, (*DX_COLUMNS, *CPT_COLUMNS)), "n")
+
+
+def narrative_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    lengths = described_encounters(spark, folder).select(token_count(F.col("prompt")).alias("length"))
+    return profile.describe(materialize(lengths), "length").withColumn("std", F.round("std", 6))
+
+
 def feature_tier_rich(spark: SparkSession, folder: str) -> DataFrame:
     """Rich tier: score, 34 diagnosis and 100 procedure positions, as arrays shown as text, with their valid counts."""
     codes = views.positioned_codes(spark, folder, 100)

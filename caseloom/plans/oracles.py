@@ -6,6 +6,8 @@ from caseloom.functions.codes import CHAPTERS
 from caseloom.functions.numbers import SCORE_GROUPS, count_groups
 from caseloom.operators.comorbidity import CONDITIONS, SEVERE_OVER_MILD, WEIGHTS, rule_rows
 
+TOKEN_SQL = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+
 ADMISSIONS = """admissions AS (
   SELECT o_orderkey AS n, o_custkey AS patient_id, o_orderdate AS admit,
          CASE o_orderstatus WHEN 'O' THEN '1' WHEN 'F' THEN '3' ELSE '7' END AS disposition,
@@ -43,13 +45,25 @@ def _values(rows) -> str:
 
 RULES = f"rules(prefix, condition) AS (VALUES {_values(rule_rows())})"
 _FLAGS = ", ".join(f"coalesce(bool_or(condition = '{c}'), false) AS {c}" for c in CONDITIONS)
-FLAGS = f"""flags AS (
+
+
+def _flags(codes: str = "true") -> str:
+    return f"""flags AS (
   SELECT n, {_FLAGS}
-  FROM codes LEFT JOIN rules ON starts_with(upper(trim(dx)), prefix)
+  FROM codes LEFT JOIN rules ON starts_with(upper(trim(dx)), prefix) AND {codes}
   GROUP BY n)"""
+
+
+FLAGS = _flags()
 _SUM = " + ".join(f"CASE WHEN {c} THEN {w} ELSE 0 END" for c, w in WEIGHTS.items())
 _LESS = " ".join(f"- CASE WHEN {a} AND {b} THEN {WEIGHTS[b]} ELSE 0 END" for a, b in SEVERE_OVER_MILD)
-SCORES = f"{CODES}, {RULES}, {FLAGS}, scores AS (SELECT n, {_SUM} {_LESS} AS score FROM flags)"
+
+
+def _scores(codes: str = "true") -> str:
+    return f"{CODES}, {RULES}, {_flags(codes)}, scores AS (SELECT n, {_SUM} {_LESS} AS score FROM flags)"
+
+
+SCORES = _scores()
 SCORED = f"""{ENCOUNTERS}, {SCORES}, scored AS (
   SELECT e.*, coalesce(s.score, 0) AS score FROM encounters e LEFT JOIN scores s USING (n))"""
 
@@ -171,14 +185,22 @@ SELECT n, coalesce(score, 0) AS score FROM admissions LEFT JOIN scores USING (n)
   FROM codes GROUP BY n)
 SELECT a.n, coalesce(score, 0) AS score, {', '.join(f'{c}{i}' for c in ('dx', 'cpt') for i in range(1, 6))}
 FROM admissions a LEFT JOIN scores s ON a.n = s.n LEFT JOIN wide w ON a.n = w.n""",
-    "feature_tier_rich": f"""WITH {SCORES}, wide AS (
-  SELECT n, {_VALID.format('dx')} AS dx_codes, {_VALID.format('cpt')} AS cpt_codes,
-         string_agg(coalesce(dx, '-'), '|' ORDER BY pos) AS dx, string_agg(cpt, '|' ORDER BY pos) AS cpt
-  FROM codes GROUP BY n)
+    "feature_tier_rich": f"""WITH {_scores('pos <= 34')}, wide AS (
+  SELECT n, count(*) FILTER (WHERE pos <= 34 AND dx IS NOT NULL AND trim(dx) NOT IN ('', 'nan', 'missing')) AS dx_codes,
+         {_VALID.format('cpt')} AS cpt_codes,
+         string_agg(coalesce(dx, '-'), '|' ORDER BY pos) FILTER (WHERE pos <= 34) AS dx, string_agg(cpt, '|' ORDER BY pos) AS cpt
+  FROM codes WHERE pos <= 100 GROUP BY n)
 SELECT n, dx_codes, cpt_codes, score, dx, cpt FROM wide JOIN scores USING (n)""",
+    "codes_long": f"""WITH {CODES}
+SELECT n, 'dx' AS kind, pos, dx AS code FROM codes WHERE pos <= 5 AND dx IS NOT NULL
+UNION ALL SELECT n, 'cpt', pos, cpt FROM codes WHERE pos <= 5""",
+    "narrative_lengths": f"""WITH {NARRATIVES}, lengths AS (
+  SELECT len(regexp_extract_all(lower(prompt), '{TOKEN_SQL}')) AS length FROM narratives)
+SELECT count(*) AS count, avg(length) AS mean, round(stddev_samp(length), 6) AS std, min(length) AS min,
+  max(length) AS max, quantile_cont(length, 0.25) AS q25, quantile_cont(length, 0.5) AS q50,
+  quantile_cont(length, 0.75) AS q75 FROM lengths""",
 }
 
-TOKEN_SQL = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 WORDS = f"words AS (SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN_SQL}') AS w FROM documents)"
 VOCAB = f"""{WORDS}, vocab_counts AS (
   SELECT token, count(*) AS occurrences FROM (SELECT unnest(w) AS token FROM words) GROUP BY token),

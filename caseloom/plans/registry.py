@@ -29,6 +29,8 @@ QUERIES: dict[str, Query] = {
     "ordinal_suffix": cohort.ordinal_text,
     "feature_tier": cohort.feature_tier,
     "feature_tier_rich": cohort.feature_tier_rich,
+    "codes_long": cohort.codes_long,
+    "narrative_lengths": cohort.narrative_lengths,
     "vocab": training.vocab,
     "encode_pad": training.encode_pad,
     "attention_mask": training.attention_mask,
