@@ -62,11 +62,10 @@ def level_counts(codes: DataFrame, column: str, code: str) -> DataFrame:
 
 
 def fit_scaler(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
-    """Mean and population deviation per column; a constant column gets deviation 1."""
-    means = df.agg(*[F.avg(c).alias(c) for c in columns]).first().asDict()
-    spread = [F.avg(F.pow(F.col(c) - F.lit(means[c] or 0.0), 2)).alias(c) for c in columns]
-    variances = df.agg(*spread).first().asDict()
-    return {c: (means[c] or 0.0, (variances[c] or 0.0) ** 0.5 or 1.0) for c in columns}
+    """Mean and population deviation per column, in one pass; a constant column gets deviation 1."""
+    pairs = [F.struct(F.avg(c), F.stddev_pop(c)).alias(c) for c in columns]
+    found = df.agg(*pairs).first()
+    return {c: (found[c][0] or 0.0, found[c][1] or 1.0) for c in columns}
 
 
 def standardize(df: DataFrame, scaler: dict[str, tuple[float, float]], suffix: str = "") -> DataFrame:

@@ -49,18 +49,17 @@ def confusion_matrix(df: DataFrame, label: str, predicted: str, names: dict[int,
     return counts.select(F.inline(grid))
 
 
-def _ranked(df: DataFrame, label: str, score: str, rows_per_bucket: int) -> DataFrame:
-    known = df.where(F.col(label).isin(0, 1) & F.col(score).isNotNull())
-    totals = {
-        "positives": (F.col(label) == 1).cast("long"),
-        "negatives": (F.col(label) == 0).cast("long"),
-    }
-    return running_totals(known, score, totals, rows_per_bucket)
+def _class_totals(label: str) -> dict[str, Column]:
+    return {"positives": (F.col(label) == 1).cast("long"), "negatives": (F.col(label) == 0).cast("long")}
+
+
+def _known(df: DataFrame, label: str, score: str) -> DataFrame:
+    return df.where(F.col(label).isin(0, 1) & F.col(score).isNotNull())
 
 
 def roc_auc(df: DataFrame, label: str, score: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Area under the ROC curve as the rank-sum statistic, ties counted half; NULL when a class is empty."""
-    ranked = _ranked(df, label, score, rows_per_bucket)
+    ranked = running_totals(_known(df, label, score), score, _class_totals(label), rows_per_bucket)
     wins = F.col("positives") * (F.col("before_negatives") + F.col("negatives") / 2.0)
     pairs = F.sum("positives").cast("double") * F.sum("negatives").cast("double")
     return ranked.agg(F.try_divide(F.sum(wins), pairs).alias("auc"))
@@ -68,8 +67,10 @@ def roc_auc(df: DataFrame, label: str, score: str, rows_per_bucket: int = ROWS_P
 
 def roc_curve(df: DataFrame, label: str, score: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """``(threshold, fpr, tpr)`` for every distinct score: rates among rows scored at least the threshold."""
-    ranked = _ranked(df, label, score, rows_per_bucket)
-    positives, negatives = ranked.agg(F.sum("positives")).scalar(), ranked.agg(F.sum("negatives")).scalar()
+    known, classes = _known(df, label, score), _class_totals(label)
+    ranked = running_totals(known, score, classes, rows_per_bucket)
+    sizes = known.agg(F.struct(*[F.sum(column).alias(name) for name, column in classes.items()])).scalar()
+    positives, negatives = sizes["positives"], sizes["negatives"]
     return ranked.select(
         F.col(score).alias("threshold"),
         guarded_ratio(negatives - F.col("before_negatives"), negatives).alias("fpr"),

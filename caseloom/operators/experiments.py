@@ -13,7 +13,6 @@ from pyspark.ml import Model
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.functions.numbers import above
 from caseloom.operators import encode, evaluate, models, sampling
 from caseloom.session import materialize
 
@@ -160,8 +159,3 @@ def text(
     best, model, f1 = models.fit_best(candidates, sliced.where("NOT validation"), sliced.where("validation"))
     result = scored(model, test, ("n", "prompt", "label"))
     return Run(model, result, original, train, {"penalty": float(best), "validation_f1": f1[best]})
-
-
-def rescored(run: Run, threshold: float) -> DataFrame:
-    """The prediction table at another threshold, strictly above it."""
-    return run.scored.withColumn("predicted_label", above(F.col("predicted_probability"), threshold))

@@ -46,7 +46,8 @@ def add_missing_columns(df: DataFrame, columns, kind: str = "string") -> DataFra
 def read_encounter_csv(spark: SparkSession, path: str) -> DataFrame:
     """Encounter CSV with a header row, columns in any order, some possibly absent.
 
-    Files whose headers differ are an error. Every column is read as text, so leading zeros and codes like ``86152`` survive; numbers are cast leniently.
+    Files whose headers differ are an error. Every column is read as text, so leading zeros and codes like ``86152``
+    survive; numbers are cast leniently.
     """
     return conform(spark.read.option("header", True).option("enforceSchema", False).csv(path))
 

@@ -32,7 +32,8 @@ def test_csv_files_with_different_headers_are_refused(spark, tmp_path):
 
 
 def test_wide_array_and_long_forms(spark):
-    df = enc.conform(spark.createDataFrame([("1", "I10", "", "99", "nan")], "N string, I10_DX1 string, I10_DX3 string, CPT1 string, CPT2 string"))
+    schema = "N string, I10_DX1 string, I10_DX3 string, CPT1 string, CPT2 string"
+    df = enc.conform(spark.createDataFrame([("1", "I10", "", "99", "nan")], schema))
     arrays = enc.with_code_arrays(df).first()
     assert len(arrays.dx_codes) == 34 and len(arrays.cpt_codes) == 100 and arrays.dx_codes[:2] == ["I10", None]
     long = enc.long_codes(df)
