@@ -56,7 +56,8 @@ def truncation_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def length_describe(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.describe(_lengths(spark, folder), "length").withColumn("std", F.round("std", 6))
+    """The lengths are stored once, so the texts are read and tokenized in a single pass."""
+    return profile.describe(materialize(_lengths(spark, folder)), "length").withColumn("std", F.round("std", 6))
 
 
 def split_stratified(spark: SparkSession, folder: str) -> DataFrame:

@@ -83,8 +83,8 @@ def tokenize(rows: DataFrame, size: int = tokens.MAX_VOCABULARY) -> DataFrame:
 
 
 def truncation(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Truncation statistics and the description of the narrative lengths."""
-    lengths = rows.select(tokens.token_count(F.col("prompt")).alias("length"))
+    """Truncation statistics and the description of the narrative lengths, from one pass over the texts."""
+    lengths = materialize(rows.select(tokens.token_count(F.col("prompt")).alias("length")))
     limit = tokens.MAX_LENGTH - tokens.MARKERS
     return profile.truncation_stats(lengths, "length", limit), profile.describe(lengths, "length")
 
