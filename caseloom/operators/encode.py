@@ -10,21 +10,20 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.numbers import embedding_size
 from caseloom.operators.joins import BROADCAST_BYTES, lookup_join
-from caseloom.operators.ranks import prefix_sums
+from caseloom.operators.ranks import ROWS_PER_BUCKET, prefix_sums, text_bucket
 from caseloom.session import materialize
 
 UNSEEN = -1
-BUCKET_CHARACTERS = 3
 
 
-def level_table(codes: DataFrame, column: str, code: str) -> DataFrame:
+def level_table(codes: DataFrame, column: str, code: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """``(column, code, ordinal)``: sorted levels of every feature column numbered from 0.
 
     ``codes`` is in long form: ``column`` names the feature, ``code`` its value. All columns are fitted in one pass, and
-    the numbering ranks only inside a leading-characters bucket of a column.
+    the numbering ranks only inside a range of codes.
     """
-    levels = codes.where(F.col(code).isNotNull()).select(column, code).distinct()
-    bucketed = levels.withColumn("_bucket", F.substring(code, 1, BUCKET_CHARACTERS))
+    levels = materialize(codes.where(F.col(code).isNotNull()).select(column, code).distinct())
+    bucketed = text_bucket(levels, code, "_bucket", rows_per_bucket)
     return prefix_sums(bucketed, [column], "_bucket", [code], {"ordinal": F.lit(1).cast("long")}).drop("_bucket")
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 10_000
+MAX_TEXT_BUCKETS = 1_000
 
 
 def random_order(key: str, seed: int) -> Column:
@@ -60,6 +63,23 @@ def value_bucket(
     return Bucketizer(splits=splits, inputCol=value, outputCol=out, handleInvalid="keep").transform(df)
 
 
+def text_bucket(df: DataFrame, value: str, out: str = "_bucket", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Add an order-preserving bucket of a text column, about ``rows_per_bucket`` rows each.
+
+    The cuts come from a sample of about a hundred values per bucket, so values with a long common prefix spread as well
+    as any others. The sample shapes the buckets only; ranks stay exact.
+    """
+    rows = df.count()
+    buckets = min(MAX_TEXT_BUCKETS, rows // rows_per_bucket)
+    if buckets < 2:
+        return df.withColumn(out, F.lit(0))
+    found = df.select(value).sample(min(1.0, 100 * buckets / rows), seed=1).collect()  # about 100 * MAX_TEXT_BUCKETS
+    ordered = sorted(row[0] for row in found)
+    step = max(1, len(ordered) // buckets)
+    cuts = F.from_json(F.lit(json.dumps(ordered[step::step])), "array<string>")
+    return df.withColumn(out, F.size(F.filter(cuts, lambda cut: cut <= F.col(value))))
+
+
 def running_totals(
     df: DataFrame, value: str, totals: dict[str, Column], rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:

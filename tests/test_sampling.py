@@ -218,6 +218,17 @@ def test_levels(spark):
     assert encode.embedding_sizes(levels, "pos").first().width == 2
 
 
+def test_levels_with_a_common_prefix_spread_over_buckets(spark):
+    codes = [f"PROC-000{i * 7919 % 5000}" for i in range(2000)] + ["ü", "Z", "", "~"]
+    df = spark.createDataFrame([(i % 2, c) for c in codes for i in (0, 1)], "pos int, code string")
+    levels = encode.level_table(df, "pos", "code", rows_per_bucket=200)
+    found = {(r.pos, r.code): r.ordinal for r in levels.collect()}
+    expected = sorted(set(codes), key=str.encode)
+    assert found == {(pos, c): i for pos in (0, 1) for i, c in enumerate(expected)}
+    sizes = ranks.text_bucket(df, "code", rows_per_bucket=200).groupBy("_bucket").count().collect()
+    assert len(sizes) > 10 and max(r["count"] for r in sizes) < 800
+
+
 def test_standardize(spark):
     df = spark.createDataFrame([(0.0, 5), (2.0, 5), (4.0, 5)], "a double, b int")
     scaler = encode.fit_scaler(df, ["a", "b"])
