@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterable
 from functools import reduce
 from pathlib import Path
 
+import pyarrow.fs
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,43 @@ def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def range_cuts(df: DataFrame, key: str, shards: int) -> list[float]:
+    """Ascending cuts of a numeric key into about equal shards: approximate quantiles, from one scan of the key."""
+    keys = df.select(F.col(key).cast("double").alias("key"))
+    return sorted(set(keys.approxQuantile("key", [i / shards for i in range(1, shards)], 1 / (4 * shards))))
+
+
+def range_shards(df: DataFrame, key: str, cuts: list[float], out: str) -> DataFrame:
+    """Add the number of cuts at or below the key, 0 for NULL; a projection."""
+    if not cuts:
+        return df.withColumn(out, F.lit(0))
+    value = fresh(df.columns, "value")
+    infinity = float("inf")
+    cast = df.withColumn(value, F.coalesce(F.col(key).cast("double"), F.lit(-infinity)))
+    placed = Bucketizer(splits=[-infinity, *cuts, infinity], inputCol=value, outputCol=out).transform(cast)
+    return placed.withColumn(out, F.col(out).cast("int")).drop(value)
+
+
+class Folder:
+    """Files of a shared folder, in whatever store its URI names; names become visible only when a file is complete."""
+
+    def __init__(self, uri: str) -> None:
+        self.store, self.path = pyarrow.fs.FileSystem.from_uri(uri)
+
+    def make(self) -> None:
+        self.store.create_dir(self.path, recursive=True)
+
+    def read(self, name: str):
+        return self.store.open_input_file(f"{self.path}/{name}")
+
+    def write(self, name: str):
+        return self.store.open_output_stream(f"{self.path}/{name}", compression=None)
+
+    def commit(self, temporary: str, name: str) -> None:
+        """Rename. Repeated attempts write the same bytes, so it does not matter which of them is last."""
+        self.store.move(f"{self.path}/{temporary}", f"{self.path}/{name}")
+
+
 def positions(df: DataFrame, group: list[str], order: list[Column], out: str) -> DataFrame:
     """Number the rows of every group 0, 1, 2 … in ``order``; group and order columns may be NULL.
 

@@ -37,4 +37,13 @@ SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken
 """
 
 
-ORACLES = {"op4_exact_dedup": EXACT, "op10_mix": mix()}
+WARC = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+g AS (SELECT body, max(page_id) AS keep, count(*) AS n FROM p WHERE octet_length(body) >= 1000 GROUP BY body)
+SELECT page_id, octet_length(p.body)::BIGINT AS payload_bytes, sha1(p.body) AS payload_digest,
+    CASE WHEN n > 1 AND keep <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n > 1 AND keep <> page_id THEN keep END AS refers_to
+FROM p LEFT JOIN g ON p.body = g.body
+"""
+
+ORACLES = {"op9_warc": WARC, "op4_exact_dedup": EXACT, "op10_mix": mix()}

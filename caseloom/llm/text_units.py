@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import filterfalse
 
 #: What Unicode calls white space, as tokenizers' patterns do; Python's own class has four more.
 SPACE = " \t\n\x0b\x0c\r\x85\xa0  -     　"
@@ -38,3 +40,63 @@ def loaded(key: tuple, make: Callable):
     if key not in _LOADED:
         _LOADED[key] = make()
     return _LOADED[key]
+
+
+#: A letter and one of these is always a boundary between tokens.
+ENDS = frozenset(".,;:!?")
+
+
+class UnitEncoder:
+    """Encodes with a tokenizer of the tokenizers library, each unit once; ``of`` turns a unit's encoding into what is kept.
+
+    Units may be encoded alone if nothing looks over white space: byte-level pre-tokens, no normaliser, no template of
+    special tokens, and added tokens that neither hold white space nor take it in. Other tokenizers get whole texts.
+    """
+
+    def __init__(self, path: str, of: Callable, join: Callable) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.of, self.join, self.known = of, join, {}
+        self.by_unit = self.separable()
+
+    def separable(self) -> bool:
+        parts = json.loads(self.tokenizer.to_str())
+        before = parts["pre_tokenizer"] or {}
+        plain = all(
+            not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not any(c in SPACE for c in t["content"])
+            for t in parts["added_tokens"]
+        )
+        return (
+            plain
+            and not parts["normalizer"]
+            and not parts["post_processor"]
+            and before.get("type") == "ByteLevel"
+            and before["use_regex"]
+            and not before["add_prefix_space"]
+        )
+
+    def encode(self, texts: list[str]) -> list[tuple[list[str], list]]:
+        """Units and what is known of each, per text."""
+        if not self.by_unit:
+            found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+            return [([t], [self.of(t, e)]) for t, e in zip(texts, found, strict=True)]
+        split = [UNIT.findall(t) for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        self.learn(split)
+        known = self.known
+        return [(units, [known[u] for u in units]) for units in split]
+
+    def learn(self, split: Iterable[list[str]]) -> None:
+        known, missing = self.known, set()
+        for units in split:
+            missing.update(filterfalse(known.__contains__, units))
+        ended = [u for u in missing if len(u) > 1 and u[-1] in ENDS and u[-2].isalpha()]
+        missing.difference_update(ended)
+        missing.update(u for e in ended for u in (e[:-1], e[-1]) if u not in known)
+        listed = list(missing)
+        for unit, found in zip(listed, self.tokenizer.encode_batch(listed, add_special_tokens=False), strict=True):
+            known[unit] = self.of(unit, found)
+        for unit in ended:
+            known[unit] = self.join(unit[:-1], known[unit[:-1]], known[unit[-1]])
