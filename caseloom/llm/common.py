@@ -39,6 +39,11 @@ def fresh(taken: Iterable[str], name: str) -> str:
     return name
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, bound to ``df``, whatever their names hold."""
+    return [df[f"`{c}`"] for c in df.columns]
+
+
 def same(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> Column:
     """Null-safe equality of the paired columns."""
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs.items()])
@@ -119,9 +124,10 @@ def positions(df: DataFrame, group: list[str], order: list[Column], out: str) ->
     heads = marked.groupBy(part, *group).agg(F.min(place).alias(first), F.count("*").alias(rows))
     earlier = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.select(
-        F.col(part).alias("__part"),
-        *[F.col(c).alias(f"__group{i}") for i, c in enumerate(group)],
+        F.col(part),
+        *[F.col(c) for c in group],
         (F.coalesce(F.sum(rows).over(earlier), F.lit(0)) - F.col(first)).alias(start),
     )
+    heads = heads.toDF("__part", *[f"__group{i}" for i in range(len(group))], start)
     met = same(marked, heads, {part: "__part", **{c: f"__group{i}" for i, c in enumerate(group)}})
-    return marked.join(heads, met).select(*[marked[c] for c in df.columns], (F.col(place) + F.col(start)).alias(out))
+    return marked.join(heads, met).select(*columns(marked)[: len(df.columns)], (marked[place] + heads[start]).alias(out))

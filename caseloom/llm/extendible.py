@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.llm.common import arrow_map, lower_ascii, same, shuffle_partitions
+from caseloom.llm.common import arrow_map, columns, fresh, lower_ascii, same, shuffle_partitions
 from caseloom.session import materialize
 
 #: Entries of a bucket before it splits.
@@ -225,10 +225,9 @@ def directory(index: DataFrame) -> DataFrame:
 
     The directory has ``2 ** global_depth`` slots; slots without a row are empty.
     """
-    deepest = index.agg(F.max("depth").alias("global_depth"))
     buckets = index.groupBy("bucket", "depth").agg(F.count("*").alias("entries"))
-    deepest = deepest.first()["global_depth"]
-    step = F.shiftleft(F.lit(1).cast("long"), F.lit(deepest or 0) - F.col("depth"))
+    deepest = index.agg(F.max("depth")).first()[0]
+    step = F.expr(f"shiftleft(1L, {deepest or 0} - depth)")
     return buckets.select(
         "bucket", "depth", F.lit(deepest).alias("global_depth"), (F.col("bucket") * step).alias("first_slot"),
         step.alias("slots"), "entries",
@@ -271,12 +270,11 @@ def drop_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     index = build_index(docs, id, text)
     stays = look_up(docs, index, id, text).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     stays = materialize(stays.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct())
-    rows = docs
+    sha = fresh(docs.columns, "sha")
+    hashed = docs.withColumn(sha, F.sha2(lower_ascii(F.col(text)), 256))
     if not index.where("n_top > 1").isEmpty():
-        rows = docs.withColumn("__text", lower_ascii(F.col(text))).dropDuplicates([id, "__text"]).select(*docs.columns)
-    if stays.select("__id").distinct().count() == stays.count():
-        kept = rows.join(stays, same(rows, stays, {id: "__id"}), "left_semi")
-        if index.agg(F.sum("group_size")).first()[0] == docs.select(id).distinct().count():
-            return kept  # ids are unique, so the id alone names the row
-    hashed = rows.withColumn("__sha_of", F.sha2(lower_ascii(F.col(text)), 256))
-    return hashed.join(stays, same(hashed, stays, {id: "__id", "__sha_of": "__sha"}), "left_semi").select(*docs.columns)
+        hashed = hashed.dropDuplicates([id, sha])
+    elif index.agg(F.sum("group_size")).first()[0] == docs.select(id).distinct().count():
+        return docs.join(stays, same(docs, stays, {id: "__id"}), "left_semi")  # ids name rows
+    kept = hashed.join(stays, same(hashed, stays, {id: "__id", sha: "__sha"}), "left_semi")
+    return kept.select(*columns(kept)[: len(docs.columns)])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import WORD, fresh, positions, same
+from caseloom.llm.common import WORD, columns, fresh, positions, same
 from caseloom.session import materialize
 
 #: Most copies of a document on average, and so the highest target of a source as a multiple of its size.
@@ -78,14 +78,11 @@ def emit(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     """
     taken = mix(docs, id, text, source, seed).groupBy("doc_id", "source", "size")
     taken = materialize(taken.agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")))
-    size, copies = fresh(docs.columns, "size"), fresh(docs.columns, "copies")
+    size, copy = fresh(docs.columns, "size"), fresh(docs.columns, "copy")
     sized = docs.withColumn(size, F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long"))
     if not taken.where("rows > 1").isEmpty():
         sized = sized.dropDuplicates([id, source, size])
     chosen = taken.where("copies > 0").toDF("__id", "__source", "__size", "__copies", "__rows")
-    met = same(sized, chosen, {id: "__id", source: "__source", size: "__size"})
-    return (
-        sized.join(chosen, met)
-        .withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-        .select(*[sized[c] for c in docs.columns])
-    )
+    met = sized.join(chosen, same(sized, chosen, {id: "__id", source: "__source", size: "__size"}))
+    times = F.explode(F.sequence(F.lit(1).cast("long"), chosen["__copies"])).alias(copy)
+    return met.select(*columns(sized)[: len(docs.columns)], times).drop(copy)

@@ -143,9 +143,12 @@ def fit(patterns: DataFrame, rounds: int = ROUNDS) -> dict:
 
 
 def patterns(measured: DataFrame) -> DataFrame:
-    """How many documents past the base rules show each pattern of votes."""
-    voted = measured.where(~base_failed()).select(*[c.alias(n) for n, c in votes().items()])
-    return voted.groupBy(*RULES).agg(F.count("*").alias("rows"))
+    """How many documents past the base rules show each pattern of votes.
+
+    The base rules are a condition of the count: a filter would be moved below the projections that make the counts.
+    """
+    voted = measured.select((~base_failed()).alias("past"), *[c.alias(n) for n, c in votes().items()])
+    return voted.groupBy(*RULES).agg(F.count_if("past").alias("rows")).where("rows > 0")
 
 
 def judge(measured: DataFrame, model: dict) -> DataFrame:
@@ -171,4 +174,4 @@ def accept(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     judged = judge(measures(carried, id, text, ("__row",)), model)
     # The generator keeps the filter from being copied below the projections, where it would repeat all their work.
     judged = judged.select("__row", F.explode(F.array("kept")).alias("__kept")).where("__kept")
-    return judged.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
+    return judged.select("__row.*")
