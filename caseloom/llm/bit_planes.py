@@ -61,7 +61,7 @@ def from_planes(rows: list[bytes], count: int, planes: int) -> np.ndarray:
     for k, row in enumerate(rows):
         if row:
             bits[k] = np.unpackbits(np.frombuffer(row, np.uint8), count=count, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u4").ravel()
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u4").ravel()
 
 
 class Writer:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from caseloom.llm.common import arrow_map, columns, fresh, lower_ascii, same, shuffle_partitions
 from caseloom.session import materialize
@@ -178,12 +178,6 @@ def batches_of(entries: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBat
         at = end
 
 
-def arrow_type(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
 def build_index(
     docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, bits: int = 256
 ) -> DataFrame:
@@ -197,12 +191,12 @@ def build_index(
     partitions = shuffle_partitions(docs.sparkSession)
     depth = min(owner_bits(partitions), bits)
     sent = pa.schema([
-        ("owner", pa.int64()), ("key", pa.string()), ("body", pa.binary()), ("top", arrow_type(kind)),
+        ("owner", pa.int64()), ("key", pa.string()), ("body", pa.binary()), ("top", to_arrow_type(kind)),
         ("n", pa.int64()), ("n_top", pa.int64()),
     ])
     kept = pa.schema([
         ("bucket", pa.int64()), ("depth", pa.int32()), ("key", pa.string()), ("chain", pa.int32()),
-        ("chained", pa.int32()), ("body", pa.binary()), ("keep_id", arrow_type(kind)), ("group_size", pa.int64()),
+        ("chained", pa.int32()), ("body", pa.binary()), ("keep_id", to_arrow_type(kind)), ("group_size", pa.int64()),
         ("n_top", pa.int64()),
     ])
     name = kind.simpleString()

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from caseloom.llm.bit_planes import default_tokenizer
 from caseloom.llm.common import arrow_map, fresh
@@ -99,10 +100,11 @@ def section_tokens(
     if rule not in RULES:
         raise ValueError(f"rule is one of {', '.join(RULES)}")
     path = tokenizer or default_tokenizer()
+    listed = sections is not None
     number = "double" if rule == "share" else "long"
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     label = "long"
-    if sections is not None:
+    if listed:
         label = sections.schema["section"].dataType.simpleString()
         item = F.struct("section", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
         grouped = sections.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(item)).alias("__sections"))
@@ -116,7 +118,7 @@ def section_tokens(
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                given = part.column(2).to_pylist() if sections is not None else None
+                given = part.column(2).to_pylist() if listed else None
                 places, names, bounds, counts, crossed = [], [], [], [], []
                 for k, (units, known) in enumerate(encoder.encode(texts)):
                     if given is None:
@@ -145,9 +147,7 @@ def section_tokens(
                     names=["doc_id", "section", "start", "end", "n_tokens", "n_crossing"],
                 )
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    section_type = pa.int64() if sections is None else to_arrow_type(sections.schema["section"].dataType)
+    section_type = to_arrow_type(sections.schema["section"].dataType) if listed else pa.int64()
     schema = f"doc_id {kind}, section {label}, start long, end long, n_tokens {number}, n_crossing long"
     return arrow_map(rows, run, schema)
 
