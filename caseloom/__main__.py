@@ -33,6 +33,11 @@ def write_run(run: Run, folder: str, name: str) -> None:
     datasets.append_summary(run.report().withColumn("run_id", F.lit(name)), f"{folder}/summary")
 
 
+def read_narratives(spark, path: str):
+    """CSV where the path says so, else Parquet."""
+    return datasets.read_narratives(spark, path, "csv" if path.rstrip("/").endswith(".csv") else "parquet")
+
+
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="caseloom", description=__doc__, formatter_class=argparse.RawTextHelpFormatter)
     parser.add_argument("step", choices=STEPS)
@@ -64,10 +69,10 @@ def main(arguments: list[str] | None = None) -> None:
         rows = workflow.narratives(enc.read_encounters(spark, options.input), names, options.label)
         rows.write.mode("overwrite").parquet(output)
     elif options.step == "tokenize":
-        encoded = workflow.tokenize(datasets.read_narratives(spark, options.input, "parquet"))
+        encoded = workflow.tokenize(read_narratives(spark, options.input))
         datasets.write_tokens(encoded, output, MAX_LENGTH)
     elif options.step == "truncation":
-        stats, lengths = workflow.truncation(datasets.read_narratives(spark, options.input, "parquet"))
+        stats, lengths = workflow.truncation(read_narratives(spark, options.input))
         datasets.write_csv(stats, f"{output}/statistics")
         datasets.write_csv(lengths, f"{output}/lengths")
     elif options.step == "train":

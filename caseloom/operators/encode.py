@@ -83,15 +83,20 @@ class FoldMeans:
     prior: Column
 
 
-def fit_fold_means(df: DataFrame, codes: list[str], label: str, fold: str, smoothing: float = 10.0) -> FoldMeans:
+def fit_fold_means(
+    df: DataFrame, codes: list[str], label: str, fold: str, smoothing: float = 10.0, prior_rows: DataFrame | None = None
+) -> FoldMeans:
     """Out-of-fold target means, drawn towards the prior of the other folds.
 
+    The priors are means over ``prior_rows``, such as one row per encounter, else over the rows of ``df``.
+
     ``codes`` are the columns that name a level, for example the feature position and its code. The rows are combined
     map-side to one per level and fold.
     """
     own = df.groupBy(*codes, fold).agg(F.sum(label).alias("_own_pos"), F.count(label).alias("_own_rows"))
     every = own.groupBy(*codes).agg(F.sum("_own_pos").alias("_all_pos"), F.sum("_own_rows").alias("_all_rows"))
-    sizes = df.groupBy(fold).agg(F.sum(label).alias("pos"), F.count(label).alias("rows")).collect()  # one row per fold
+    base = df if prior_rows is None else prior_rows
+    sizes = base.groupBy(fold).agg(F.sum(label).alias("pos"), F.count(label).alias("rows")).collect()  # one row per fold
     pos, rows = sum(s["pos"] or 0 for s in sizes), sum(s["rows"] for s in sizes)
     prior = F.lit(pos / rows if rows else 0.0)
     for size in sizes:
@@ -121,9 +126,11 @@ def apply_fold_means(
     return joined.withColumn("encoded", F.coalesce(F.col("encoded"), means.prior))
 
 
-def fit_target_means(df: DataFrame, codes: list[str], label: str, smoothing: float = 10.0) -> tuple[DataFrame, float]:
+def fit_target_means(
+    df: DataFrame, codes: list[str], label: str, smoothing: float = 10.0, prior: float | None = None
+) -> tuple[DataFrame, float]:
     """``(codes…, encoded)`` from all training rows, for rows that are only scored, and the prior for unknown levels."""
-    prior = df.agg(F.avg(label)).first()[0] or 0.0
+    prior = (df.agg(F.avg(label)).first()[0] or 0.0) if prior is None else prior
     stats = df.dropna(subset=codes).groupBy(*codes).agg(F.sum(label).alias("_p"), F.count(label).alias("_r"))
     value = smoothed_mean(F.coalesce("_p", F.lit(0)), F.col("_r"), F.lit(prior), smoothing)
     return materialize(stats.select(*codes, value.alias("encoded"))), prior

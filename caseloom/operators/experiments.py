@@ -49,6 +49,18 @@ def balanced_rows(train: DataFrame, size: int, fall_back: bool) -> DataFrame:
     return materialize(rows.withColumn("row_id", F.concat_ws(":", "n", "draw")))
 
 
+def held_back(original: DataFrame, strata: list[str], class_size: int, fall_back: bool) -> DataFrame:
+    """Training rows with a boolean ``validation``: encounters are split first and only the others are balanced.
+
+    So no encounter is on both sides, and the validation rows keep the shares of the classes.
+    """
+    marked = sampling.fit_split(original, "n", strata).mark(original, "validation")
+    kept = marked.where("validation").withColumn("draw", F.lit(-1).cast("long"))
+    kept = kept.withColumn("row_id", F.concat_ws(":", "n", "draw"))
+    chosen = balanced_rows(marked.where("NOT validation").drop("validation"), class_size, fall_back)
+    return materialize(chosen.withColumn("validation", F.lit(False)).unionByName(kept.select(*chosen.columns, "validation")))
+
+
 def only(codes: DataFrame, rows: DataFrame) -> DataFrame:
     """The codes of the given rows."""
     return codes.join(rows.select("n").distinct(), "n", "left_semi")
@@ -79,10 +91,16 @@ def forest(
         ordinals = encode.ordinal_encode(only(codes, chosen), levels, "pos", "code", ["n"])
         return assembled(chosen, ordinals, "ordinal", positions, NO_CODE)
 
-    train = featured(balanced_rows(original, class_size, fall_back))
-    search = models.search_forest(train, "row_id", grid=grid)
+    folded = sampling.folds(original, "n", "label").select("n", "fold")  # copies of an encounter share its fold
+    train = featured(balanced_rows(original, class_size, fall_back)).join(folded, "n")
+    search = models.search_forest(train, "row_id", grid=grid, fold="fold")
     best = search.bestModel
-    chosen = {"numTrees": best.getNumTrees, "maxDepth": best.getMaxDepth(), "cv_f1": max(search.avgMetrics)}
+    chosen = {
+        "numTrees": best.getNumTrees,
+        "maxDepth": best.getMaxDepth(),
+        "minInstancesPerNode": best.getMinInstancesPerNode(),
+        "cv_f1": max(search.avgMetrics),
+    }
     return Run(best, scored(best, featured(test)), original, train, chosen)
 
 
@@ -96,7 +114,7 @@ def boosting(
 ) -> Run:
     """Boosted trees on target-encoded codes: out-of-fold means for training rows, all training rows for test rows.
 
-    A stratified slice of the training rows decides when to stop; the test rows are not looked at.
+    A stratified slice of the training encounters decides when to stop; the test rows are not looked at.
     """
     split = marked(rows, ["label"])
     original, test = split.where("NOT test"), split.where("test")
@@ -105,14 +123,13 @@ def boosting(
     train_codes = materialize(codes.join(folded, "n"))
     prior = original.agg(F.avg("label")).first()[0] or 0.0
 
-    means = encode.fit_fold_means(train_codes, level, "label", "fold")
-    chosen = balanced_rows(original, class_size, fall_back)
+    means = encode.fit_fold_means(train_codes, level, "label", "fold", prior_rows=folded)
+    chosen = held_back(original, ["label"], class_size, fall_back)
     encoded = encode.apply_fold_means(only(train_codes, chosen), means, level, "fold", ["n"])
     train = assembled(chosen, encoded, "encoded", positions, prior)
-    held_out = sampling.fit_split(train, "row_id", ["label"]).mark(train, "validation")
-    model = models.fit_boosting(held_out, "validation", settings=settings)
+    model = models.fit_boosting(train, "validation", settings=settings)
 
-    fitted = encode.fit_target_means(train_codes, level, "label")
+    fitted = encode.fit_target_means(train_codes, level, "label", prior=prior)
     applied = encode.apply_target_means(only(codes, test), fitted, level, ["n"])
     test = assembled(test, applied, "encoded", positions, prior)
     parameters = {**models.BOOSTING, **(settings or {}), "trees": model.getNumTrees}
@@ -125,12 +142,14 @@ def network(
     """Feed-forward network on code embeddings and the standardised score."""
     split = marked(rows, ["label"])
     original, test = split.where("NOT test"), split.where("test")
-    word = models.code_token(F.col("code"), "code")
-    words = materialize(codes.groupBy("n").agg(F.collect_list(word).alias("words")))  # one word per position
+    word = F.struct("pos", models.code_token(F.col("code"), F.col("pos")).alias("word"))
     empty = F.array().cast("array<string>")
 
     def worded(chosen: DataFrame) -> DataFrame:
-        return chosen.join(words, "n", "left").withColumn("words", F.coalesce("words", empty))
+        """The codes of the chosen rows alone, as words in the order of their positions."""
+        listed = only(codes, chosen).groupBy("n").agg(F.array_sort(F.collect_list(word)).alias("words"))
+        listed = listed.withColumn("words", F.transform("words", lambda w: w["word"]))  # one word per position
+        return chosen.join(listed, "n", "left").withColumn("words", F.coalesce("words", empty))
 
     train = materialize(worded(balanced_rows(original, class_size, fall_back)))
     scaler = encode.fit_scaler(train, ["score"])
@@ -149,13 +168,13 @@ def text(
     fall_back: bool = True,
     pipeline: Callable[[float], object] | None = None,
 ) -> Run:
-    """Classifier on ``prompt`` with a plain random split; a slice of the training rows picks the penalty by F1."""
+    """Classifier on ``prompt`` with a plain random split; a slice of the training encounters picks the penalty by F1."""
     make = pipeline or (lambda penalty: models.text_pipeline("prompt", penalty=penalty))
     split = marked(rows, [])
     original, test = split.where("NOT test"), split.where("test")
-    train = balanced_rows(original, class_size, fall_back)
-    sliced = sampling.fit_split(train, "row_id", []).mark(train, "validation")
+    sliced = held_back(original, [], class_size, fall_back)
+    train = sliced.where("NOT validation")
     candidates = {str(p): make(p) for p in penalties}
-    best, model, f1 = models.fit_best(candidates, sliced.where("NOT validation"), sliced.where("validation"))
+    best, model, f1 = models.fit_best(candidates, train, sliced.where("validation"))
     result = scored(model, test, ("n", "prompt", "label"))
     return Run(model, result, original, train, {"penalty": float(best), "validation_f1": f1[best]})

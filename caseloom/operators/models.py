@@ -24,7 +24,6 @@ from caseloom.session import checkpoint_root, materialize
 FOREST_GRID = {"numTrees": [200, 300], "maxDepth": [20, 30], "minInstancesPerNode": [2, 4]}
 BOOSTING = {"maxIter": 1000, "stepSize": 0.05, "maxDepth": 6}
 NETWORK = {"hidden": [256, 128], "epochs": 15, "batch": 256, "embedding": 50}
-CODE_SLOTS = 1 << 16
 TEXT_SLOTS = 1 << 18
 
 
@@ -36,7 +35,7 @@ def f1_evaluator(label: str) -> MulticlassClassificationEvaluator:
 
 def with_balanced_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Weight rows / (2 * rows of the class), so that both classes weigh the same."""
-    sizes = {row[label]: row["count"] for row in df.groupBy(label).count().collect()}  # two classes
+    sizes = {row[label]: row["count"] for row in df.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
     total = sum(sizes.values())
     weight = F.lit(1.0)
     for value, rows in sizes.items():
@@ -53,9 +52,12 @@ def search_forest(
     fold_count: int = FOLDS,
     seed: int = SEED,
     parallelism: int = 4,
+    fold: str | None = None,
 ) -> CrossValidatorModel:
     """Random forest chosen from a grid by stratified cross-validation on F1, refitted on all rows.
 
+    ``fold`` names a column of folds 0, 1 … where rows belong together; without it rows are dealt one by one.
+
     ``key`` must be unique. Each distinct fit is a distributed job; ``parallelism`` of them share the cluster.
     """
     forest = RandomForestClassifier(
@@ -64,7 +66,9 @@ def search_forest(
     builder = ParamGridBuilder()
     for name, values in (grid or FOREST_GRID).items():
         builder = builder.addGrid(forest.getParam(name), values)
-    rows = materialize(folds(with_balanced_weight(train, label), key, label, fold_count, seed, "fold"))
+    weighed = with_balanced_weight(train, label)
+    dealt = weighed.withColumn("fold", F.col(fold)) if fold else folds(weighed, key, label, fold_count, seed, "fold")
+    rows = materialize(dealt)
     search = CrossValidator(
         estimator=forest,
         estimatorParamMaps=builder.build(),
@@ -113,9 +117,9 @@ def fit_boosting(
     return booster.fit(train)
 
 
-def code_token(code: Column, kind: str, slots: int = CODE_SLOTS) -> Column:
-    """A code as one of ``slots`` words, so that an embedding table has a known size for any number of codes."""
-    return F.concat(F.lit(f"{kind}:"), F.pmod(F.xxhash64(code), F.lit(slots)).cast("string"))
+def code_token(code: Column, column: Column) -> Column:
+    """A code of a feature column as a word of its own: no two levels share an embedding."""
+    return F.concat(column.cast("string"), F.lit(":"), code)
 
 
 def network_pipeline(
@@ -128,7 +132,7 @@ def network_pipeline(
         stages=[
             Word2Vec(
                 inputCol=codes, outputCol="_embedded", vectorSize=width, minCount=1, seed=seed,
-                numPartitions=chosen.get("partitions", 1),
+                numPartitions=chosen.get("partitions", 8),
             ),
             StandardScaler(inputCol="_embedded", outputCol="_scaled", withMean=True),
             VectorAssembler(inputCols=["_scaled", *numbers], outputCol="_input"),

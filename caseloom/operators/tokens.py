@@ -6,13 +6,15 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions.slots import slot_lookup, slot_table
-from caseloom.operators.joins import spread_join
+from caseloom.operators.joins import lookup_join, spread_join
+from caseloom.operators.ranks import prefix_sums, running_totals, text_bucket
+from caseloom.session import materialize
 
-# Array length, and the longest vocabulary (markers included).
+# Array length, and the longest vocabulary that is held on the driver (markers included).
 MAX_LENGTH = 512
 MAX_VOCABULARY = 30_522
 
@@ -51,27 +53,52 @@ class Vocabulary:
         return F.transform(words, look_up)
 
 
-def vocabulary_frame(df: DataFrame, text: str, size: int = MAX_VOCABULARY) -> DataFrame:
-    """``(token, occurrences, token_id)``: the most frequent tokens, ties in text order, ids from ``FIRST_WORD``.
+def vocabulary_frame(df: DataFrame, text: str, size: int | None = None) -> DataFrame:
+    """``(token, occurrences, token_id)``: all tokens, the most frequent first, ties in text order, ids from ``FIRST_WORD``.
 
-    Counting is combined before the shuffle, and only the top ``size`` rows are ever ranked on one task.
+    Counting is combined before the shuffle. A token's number is the number of tokens that occur more often, from a table
+    with one row per count, plus its place among those of its count, which is ranked inside ranges of tokens. A caller who
+    wants a vocabulary of a certain ``size``, markers included, gets its beginning.
     """
-    if size > MAX_VOCABULARY:
-        raise ValueError(f"a vocabulary has at most {MAX_VOCABULARY} entries")
     counted = df.select(F.explode(tokens(F.col(text))).alias("token")).groupBy("token").agg(
         F.count("*").alias("occurrences")
     )
-    best = [F.desc("occurrences"), F.asc("token")]
-    top = counted.orderBy(*best).limit(size - FIRST_WORD)
-    number = F.row_number().over(Window.partitionBy().orderBy(*best)) + (FIRST_WORD - 1)
-    return top.withColumn("token_id", number)
+    counted = materialize(counted)
+    placed = prefix_sums(
+        text_bucket(counted, "token"), ["occurrences"], "_bucket", ["token"], {"_inside": F.lit(1).cast("long")}
+    )
+    rarer = counted.select((-F.col("occurrences")).alias("_less"))
+    offsets = running_totals(rarer, "_less", {"rows": F.lit(1).cast("long")})
+    offsets = offsets.select((-F.col("_less")).cast("long").alias("occurrences"), F.col("before_rows").alias("_before"))
+    numbered = lookup_join(placed, offsets, ["occurrences"], ["token"], "inner")
+    token_id = F.col("_before") + F.col("_inside") + FIRST_WORD
+    numbered = numbered.select("token", "occurrences", token_id.alias("token_id"))
+    return numbered if size is None else numbered.where(F.col("token_id") < size)
 
 
 def fit_vocabulary(df: DataFrame, text: str, size: int = MAX_VOCABULARY) -> Vocabulary:
+    """A vocabulary of a chosen size that lives on the driver; words beyond it become ``UNKNOWN``."""
+    if size > MAX_VOCABULARY:
+        raise ValueError(f"a vocabulary on the driver has at most {MAX_VOCABULARY} entries")
     rows = vocabulary_frame(df, text, size).select("token", "token_id").collect()  # at most MAX_VOCABULARY rows
     return Vocabulary({row.token: row.token_id for row in rows})
 
 
+def table_ids(df: DataFrame, key: str, text: str, vocabulary: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
+    """``(key, ids)`` with start and end marker, cut to ``max_length``, from a vocabulary table of any size.
+
+    The tokens that are kept, at most ``max_length`` a text, meet the vocabulary in a join that splits frequent tokens, and
+    go back to their text by its unique key. Tokens that the table does not hold become ``UNKNOWN``.
+    """
+    cut = F.slice(tokens(F.col(text)), 1, max_length - MARKERS)
+    kept = materialize(df.select(F.col(key), F.posexplode_outer(cut).alias("_pos", "token")))
+    found = lookup_join(kept, vocabulary.select("token", "token_id"), ["token"], [key, "_pos"])
+    known = F.when(F.col("token").isNotNull(), F.struct("_pos", F.coalesce("token_id", F.lit(UNKNOWN)).cast("int").alias("id")))
+    listed = found.groupBy(key).agg(F.array_sort(F.collect_list(known)).alias("_listed"))
+    inside = F.transform("_listed", lambda p: p["id"])
+    return listed.select(key, F.concat(F.array(F.lit(START)), inside, F.array(F.lit(END))).alias("ids"))
+
+
 def content_ids(words: Column, vocabulary: Vocabulary, max_length: int = MAX_LENGTH) -> Column:
     """Ids with start and end marker, cut so that the whole fits into ``max_length``."""
     return F.concat(

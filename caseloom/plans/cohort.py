@@ -22,7 +22,7 @@ from caseloom.operators.readmission import exclude_disposition
 from caseloom.operators.tokens import token_count
 from caseloom.plans import views
 from caseloom.session import materialize
-from caseloom.sources.dictionary import describe_codes, disposition_name, last_description
+from caseloom.sources.dictionary import describe_codes, last_description
 from caseloom.sources.encounters import (
     CPT_COLUMNS,
     DX_COLUMNS,
@@ -33,9 +33,6 @@ from caseloom.sources.encounters import (
     widen,
 )
 
-DISPOSITIONS = {"1": "home or self-care", "3": "skilled nursing facility", "7": "left against medical advice"}
-
-
 def code_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Per encounter with lines: valid diagnosis and procedure codes and the condition mask, in one aggregate."""
     counts = (
@@ -98,9 +95,13 @@ def lenient_cast_bucket(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cohort_exclude(spark: SparkSession, folder: str) -> DataFrame:
+    """Encounters by disposition without the excluded one, described by a dictionary table (here the nations)."""
     kept = exclude_disposition(views.admissions(spark, folder))
     counted = kept.groupBy("disposition").agg(F.count("*").alias("encounters"))
-    return counted.withColumn("description", disposition_name(F.col("disposition"), DISPOSITIONS))
+    names = views.table(spark, folder, "nation").select(
+        F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("description")
+    )
+    return describe_codes(counted, names, "disposition", ["disposition"])
 
 
 def valid_code_count(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,7 +148,9 @@ def chapter_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def comorbidity_flags(spark: SparkSession, folder: str) -> DataFrame:
-    return comorbidity.flags(views.masks(spark, folder))
+    """One row per encounter; those without lines have no condition."""
+    rows = views.admissions(spark, folder).select("n").join(views.masks(spark, folder), "n", "left")
+    return comorbidity.flags(fill_numeric(rows, ["mask"]))
 
 
 def comorbidity_score(spark: SparkSession, folder: str) -> DataFrame:
@@ -183,11 +186,10 @@ def feature_tier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def codes_long(spark: SparkSession, folder: str) -> DataFrame:
-    """The limited tier from wide columns to one row per filled code position."""
-    names = {name: ("dx", i) for i, name in enumerate(DX_COLUMNS[:5], 1)}
-    names |= {name: ("cpt", i) for i, name in enumerate(CPT_COLUMNS[:5], 1)}
-    wide = widen(views.positioned_codes(spark, folder, 5), "n", names)
-    return long_codes(add_missing_columns(wide, (*DX_COLUMNS, *CPT_COLUMNS)), "n")
+    """From wide columns, 34 and 100 positions, to one row per filled code position."""
+    names = {name: ("dx", i) for i, name in enumerate(DX_COLUMNS, 1)}
+    names |= {name: ("cpt", i) for i, name in enumerate(CPT_COLUMNS, 1)}
+    return long_codes(widen(views.positioned_codes(spark, folder, len(CPT_COLUMNS)), "n", names), "n")
 
 
 def narrative_lengths(spark: SparkSession, folder: str) -> DataFrame:
@@ -196,14 +198,20 @@ def narrative_lengths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def feature_tier_rich(spark: SparkSession, folder: str) -> DataFrame:
-    """Rich tier: score, 34 diagnosis and 100 procedure positions, as arrays shown as text, with their valid counts."""
+    """Rich tier: score, 34 diagnosis and 100 procedure positions, as arrays shown as text, with their valid counts.
+
+    One row per encounter, with empty arrays where it has no line; the score is that of ``comorbidity_score``.
+    """
     codes = views.positioned_codes(spark, folder, 100)
     ordered = F.array_sort(F.collect_list(F.struct("pos", "dx", "cpt")))
     grouped = codes.groupBy("n").agg(ordered.alias("codes"))
+    scores = comorbidity.add_score(views.admissions(spark, folder).select("n"), views.masks(spark, folder), "n")
+    rows = scores.join(grouped, "n", "left")
     dx = F.transform(F.slice("codes", 1, 34), lambda c: c["dx"])
     cpt = F.transform("codes", lambda c: c["cpt"])
-    arrays = grouped.select("n", dx.alias("dx"), cpt.alias("cpt"))
-    return comorbidity.add_array_score(arrays, "dx").select(
+    none = F.array().cast("array<string>")
+    arrays = rows.select("n", "score", F.coalesce(dx, none).alias("dx"), F.coalesce(cpt, none).alias("cpt"))
+    return arrays.select(
         "n",
         "score",
         count_valid(F.col("dx")).alias("dx_codes"),
@@ -211,4 +219,3 @@ def feature_tier_rich(spark: SparkSession, folder: str) -> DataFrame:
         F.array_join("dx", "|", "-").alias("dx"),
         F.array_join("cpt", "|", "-").alias("cpt"),
     )
-

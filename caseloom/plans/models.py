@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,29 +39,71 @@ def code_features(spark: SparkSession, folder: str, tier: tuple[int, int]) -> Da
 
 def _forest(spark: SparkSession, folder: str, tier: tuple[int, int], grid: dict) -> experiments.Run:
     rows, codes = model_rows(spark, folder), code_features(spark, folder, tier)
-    return experiments.forest(rows, codes, sum(tier), BALANCED_SIZE, grid, fall_back=True)
+    return experiments.forest(rows, codes, sum(tier), BALANCED_SIZE, grid)
+
+
+def _stored(name: str, run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query ``run``, whose prediction table is written once per application and folder and read from then on."""
+
+    @wraps(run)
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, name, folder)
+        if key not in _TABLES:
+            _TABLES[key] = materialize(run(spark, folder))
+        return _TABLES[key]
 
+    return query
 
-def rf_cv(spark: SparkSession, folder: str) -> DataFrame:
+
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _rf_cv(spark: SparkSession, folder: str) -> DataFrame:
     return _forest(spark, folder, RICH, SMALL_GRID).scored
 
 
-def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
+def _feature_importance(spark: SparkSession, folder: str) -> DataFrame:
     run = _forest(spark, folder, LIMITED, {"numTrees": [10], "maxDepth": [5]})
     names = ["score", *[f"dx{i}" for i in range(1, 6)], *[f"cpt{i}" for i in range(1, 6)]]
     return models.importances(run.model, names)
 
 
-def gbt(spark: SparkSession, folder: str) -> DataFrame:
+def _gbt(spark: SparkSession, folder: str) -> DataFrame:
     rows, codes = model_rows(spark, folder), code_features(spark, folder, RICH)
-    return experiments.boosting(rows, codes, sum(RICH), BALANCED_SIZE, SMALL_BOOSTING, fall_back=True).scored
+    return experiments.boosting(rows, codes, sum(RICH), BALANCED_SIZE, SMALL_BOOSTING).scored
 
 
-def mlp(spark: SparkSession, folder: str) -> DataFrame:
+def _mlp(spark: SparkSession, folder: str) -> DataFrame:
     rows, codes = model_rows(spark, folder), code_features(spark, folder, LIMITED)
-    return experiments.network(rows, codes, BALANCED_SIZE, SMALL_NETWORK, fall_back=True).scored
+    return experiments.network(rows, codes, BALANCED_SIZE, SMALL_NETWORK).scored
 
 
-def text_classifier(spark: SparkSession, folder: str) -> DataFrame:
+def _text_classifier(spark: SparkSession, folder: str) -> DataFrame:
     rows = materialize(cohort.described_encounters(spark, folder).select("n", "prompt", "label"))
     return experiments.text(rows, BALANCED_SIZE).scored
+
+
+rf_cv = _stored("rf_cv", _rf_cv)
+feature_importance = _stored("feature_importance", _feature_importance)
+gbt = _stored("gbt", _gbt)
+mlp = _stored("mlp", _mlp)
+text_classifier = _stored("text_classifier", _text_classifier)
+
+
+def checked(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """What the split fixes in a prediction table: its rows and classes, probabilities in range, classes that agree."""
+
+    def check(spark: SparkSession, folder: str) -> DataFrame:
+        p = F.col("predicted_probability")
+        agrees = F.col("predicted_label") == (p > 0.5).cast("int")
+        return query(spark, folder).select("n", "label", (agrees & p.between(0, 1)).alias("valid"))
+
+    return check
+
+
+def importance_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Features with an importance, and whether all of them are at least 0 and add up to 1."""
+    found = feature_importance(spark, folder).agg(
+        F.count("*").alias("features"), F.sum("importance").alias("total"), F.min("importance").alias("least")
+    )
+    return found.select("features", ((F.abs(F.col("total") - 1) < 1e-6) & (F.col("least") >= 0)).alias("valid"))

@@ -47,20 +47,16 @@ RULES = f"rules(prefix, condition) AS (VALUES {_values(rule_rows())})"
 _FLAGS = ", ".join(f"coalesce(bool_or(condition = '{c}'), false) AS {c}" for c in CONDITIONS)
 
 
-def _flags(codes: str = "true") -> str:
-    return f"""flags AS (
+FLAGS = f"""flags AS (
   SELECT n, {_FLAGS}
-  FROM codes LEFT JOIN rules ON starts_with(upper(trim(dx)), prefix) AND {codes}
+  FROM codes LEFT JOIN rules ON starts_with(upper(trim(dx)), prefix)
   GROUP BY n)"""
-
-
-FLAGS = _flags()
 _SUM = " + ".join(f"CASE WHEN {c} THEN {w} ELSE 0 END" for c, w in WEIGHTS.items())
 _LESS = " ".join(f"- CASE WHEN {a} AND {b} THEN {WEIGHTS[b]} ELSE 0 END" for a, b in SEVERE_OVER_MILD)
 
 
-def _scores(codes: str = "true") -> str:
-    return f"{CODES}, {RULES}, {_flags(codes)}, scores AS (SELECT n, {_SUM} {_LESS} AS score FROM flags)"
+def _scores() -> str:
+    return f"{CODES}, {RULES}, {FLAGS}, scores AS (SELECT n, {_SUM} {_LESS} AS score FROM flags)"
 
 
 SCORES = _scores()
@@ -152,10 +148,10 @@ SELECT CASE label WHEN 0 THEN 'Not Readmitted' ELSE 'Readmitted' END AS status,
         _count_bucket("v", "Diagnoses"),
         count_groups("Diagnoses"),
     ),
-    "cohort_exclude": f"""WITH {ADMISSIONS}, names(disposition, description) AS (VALUES ('1', 'home or self-care'),
-  ('3', 'skilled nursing facility'), ('7', 'left against medical advice')),
+    "cohort_exclude": f"""WITH {ADMISSIONS},
 kept AS (SELECT disposition, count(*) AS encounters FROM admissions WHERE disposition <> '7' GROUP BY disposition)
-SELECT disposition, encounters, description FROM kept LEFT JOIN names USING (disposition)""",
+SELECT disposition, encounters, n_name AS description
+FROM kept LEFT JOIN nation ON CAST(n_nationkey AS VARCHAR) = disposition""",
     "valid_code_count": f"""WITH {ADMISSIONS}, {CODES}, counts AS (
   SELECT n, {_VALID.format('dx')} AS dx_codes, {_VALID.format('cpt')} AS cpt_codes FROM codes GROUP BY n)
 SELECT n, coalesce(dx_codes, 0) AS dx_codes, coalesce(cpt_codes, 0) AS cpt_codes
@@ -173,7 +169,8 @@ SELECT code, description FROM ranked WHERE r = 1""",
     "procedure_lookup": f"""WITH {CODES}, {DICTIONARY}
 SELECT n, line, cpt, description FROM codes LEFT JOIN dictionary ON trim(cpt) = code""",
     "chapter_lookup": f"WITH {CODES} SELECT n, line, dx, {_chapter('dx')} AS title FROM codes",
-    "comorbidity_flags": f"WITH {CODES}, {RULES}, {FLAGS} SELECT n, {', '.join(CONDITIONS)} FROM flags",
+    "comorbidity_flags": f"""WITH {ADMISSIONS}, {CODES}, {RULES}, {FLAGS}
+SELECT n, {', '.join(f'coalesce({c}, false) AS {c}' for c in CONDITIONS)} FROM admissions LEFT JOIN flags USING (n)""",
     "comorbidity_score": f"""WITH {ADMISSIONS}, {SCORES}
 SELECT n, coalesce(score, 0) AS score FROM admissions LEFT JOIN scores USING (n)""",
     "narrative": f"WITH {NARRATIVES} SELECT n, prompt, label FROM narratives",
@@ -185,15 +182,17 @@ SELECT n, coalesce(score, 0) AS score FROM admissions LEFT JOIN scores USING (n)
   FROM codes GROUP BY n)
 SELECT a.n, coalesce(score, 0) AS score, {', '.join(f'{c}{i}' for c in ('dx', 'cpt') for i in range(1, 6))}
 FROM admissions a LEFT JOIN scores s ON a.n = s.n LEFT JOIN wide w ON a.n = w.n""",
-    "feature_tier_rich": f"""WITH {_scores('pos <= 34')}, wide AS (
+    "feature_tier_rich": f"""WITH {ADMISSIONS}, {SCORES}, wide AS (
   SELECT n, count(*) FILTER (WHERE pos <= 34 AND dx IS NOT NULL AND trim(dx) NOT IN ('', 'nan', 'missing')) AS dx_codes,
          {_VALID.format('cpt')} AS cpt_codes,
          string_agg(coalesce(dx, '-'), '|' ORDER BY pos) FILTER (WHERE pos <= 34) AS dx, string_agg(cpt, '|' ORDER BY pos) AS cpt
   FROM codes WHERE pos <= 100 GROUP BY n)
-SELECT n, dx_codes, cpt_codes, score, dx, cpt FROM wide JOIN scores USING (n)""",
+SELECT n, coalesce(dx_codes, 0) AS dx_codes, coalesce(cpt_codes, 0) AS cpt_codes, coalesce(score, 0) AS score,
+  coalesce(dx, '') AS dx, coalesce(cpt, '') AS cpt
+FROM admissions LEFT JOIN scores USING (n) LEFT JOIN wide USING (n)""",
     "codes_long": f"""WITH {CODES}
-SELECT n, 'dx' AS kind, pos, dx AS code FROM codes WHERE pos <= 5 AND dx IS NOT NULL
-UNION ALL SELECT n, 'cpt', pos, cpt FROM codes WHERE pos <= 5""",
+SELECT n, 'dx' AS kind, pos, dx AS code FROM codes WHERE pos <= 34 AND dx IS NOT NULL
+UNION ALL SELECT n, 'cpt', pos, cpt FROM codes WHERE pos <= 100""",
     "narrative_lengths": f"""WITH {NARRATIVES}, lengths AS (
   SELECT len(regexp_extract_all(lower(prompt), '{TOKEN_SQL}')) AS length FROM narratives)
 SELECT count(*) AS count, avg(length) AS mean, round(stddev_samp(length), 6) AS std, min(length) AS min,
@@ -205,11 +204,11 @@ WORDS = f"words AS (SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN_SQL}'
 VOCAB = f"""{WORDS}, vocab_counts AS (
   SELECT token, count(*) AS occurrences FROM (SELECT unnest(w) AS token FROM words) GROUP BY token),
 vocab AS (SELECT token, occurrences, row_number() OVER (ORDER BY occurrences DESC, token) + 3 AS token_id
-          FROM vocab_counts QUALIFY token_id < 5000)"""
+          FROM vocab_counts)"""
 IDS = f"""{VOCAB}, placed AS (
   SELECT doc_id, unnest(w[1:510]) AS token, generate_subscripts(w[1:510], 1) AS pos FROM words),
 id_texts AS (
-  SELECT doc_id, count(*) AS k, string_agg(CAST(coalesce(token_id, 1) AS VARCHAR), ',' ORDER BY pos) AS t
+  SELECT doc_id, count(*) AS k, string_agg(CAST(token_id AS VARCHAR), ',' ORDER BY pos) AS t
   FROM placed LEFT JOIN vocab USING (token) GROUP BY doc_id),
 ids AS (SELECT doc_id, coalesce(k, 0) + 2 AS size, CASE WHEN k IS NULL THEN '2,3' ELSE '2,' || t || ',3' END AS ids
         FROM words LEFT JOIN id_texts USING (doc_id))"""
@@ -227,7 +226,15 @@ DRAWS = """draws AS (SELECT d AS draw, CAST('0x' || substr(md5(d || ':draw:42'),
                      % (SELECT count(*) FROM pool) AS place FROM range(5000) t(d)),
 drawn AS (SELECT n, draw FROM draws JOIN
   (SELECT n, row_number() OVER (ORDER BY md5(n || ':42'), n) - 1 AS place FROM pool) USING (place))"""
-CODE_POSITIONS = f"{CODES}, positions AS (SELECT n, pos, coalesce(dx, 'missing') AS code FROM codes WHERE pos <= 5)"
+#: Every cell of the 34 + 100 code columns; empty ones are the level "missing".
+FILLED = f"""{CODES}, filled AS (
+  SELECT n, 'dx' || lpad(CAST(pos AS VARCHAR), 3, '0') AS col, dx AS code FROM codes WHERE pos <= 34 AND dx IS NOT NULL
+  UNION ALL SELECT n, 'cpt' || lpad(CAST(pos AS VARCHAR), 3, '0'), cpt FROM codes WHERE pos <= 100)"""
+CELLS = f"""{FILLED}, cols AS (
+  SELECT 'dx' || lpad(CAST(range AS VARCHAR), 3, '0') AS col FROM range(1, 35)
+  UNION ALL SELECT 'cpt' || lpad(CAST(range AS VARCHAR), 3, '0') FROM range(1, 101)),
+cells AS (SELECT a.n, c.col, coalesce(f.code, 'missing') AS code
+          FROM admissions a CROSS JOIN cols c LEFT JOIN filled f ON f.n = a.n AND f.col = c.col)"""
 FOLDS = f"""folds AS (
   SELECT n, label, (row_number() OVER (PARTITION BY label ORDER BY {_ORDER.format('n')}, n) - 1) % 3 AS fold
   FROM encounters)"""
@@ -297,38 +304,36 @@ QUALIFY row_number() OVER (ORDER BY {_ORDER.format('n')}, n) <= 1000""",
 SELECT n, patient_id, draw FROM drawn JOIN encounters USING (n)""",
     "balanced_train": f"""WITH {ENCOUNTERS}, {SPLIT}, train AS (SELECT n, label FROM parts WHERE part = 'train'),
 pool AS (SELECT n FROM train WHERE label = 1), {DRAWS},
-enough AS (SELECT count(*) FILTER (label = 0) >= 5000 AS yes FROM train),
 undersampled AS (SELECT n, label, -1 AS draw FROM train WHERE label = 0
   QUALIFY row_number() OVER (ORDER BY {_ORDER.format('n')}, n) <= 5000)
-SELECT n, label, draw FROM undersampled, enough WHERE yes
-UNION ALL SELECT n, 1, draw FROM drawn, enough WHERE yes
-UNION ALL SELECT n, label, -1 FROM train, enough WHERE NOT yes""",
+SELECT n, label, draw FROM undersampled UNION ALL SELECT n, 1, draw FROM drawn""",
     "kfold": f"WITH {ENCOUNTERS}, {FOLDS} SELECT n, label, fold FROM folds",
-    "ordinal_encode": f"""WITH {ADMISSIONS}, {PLAIN_SPLIT}, {CODE_POSITIONS}, levels AS (
-  SELECT DISTINCT pos, code FROM positions JOIN plain_parts USING (n) WHERE part = 'train'),
-numbered AS (SELECT pos, code, row_number() OVER (PARTITION BY pos ORDER BY code) - 1 AS ordinal FROM levels)
-SELECT n, pos, code, coalesce(ordinal, -1) AS ordinal FROM positions LEFT JOIN numbered USING (pos, code)""",
-    "category_map": f"""WITH {CODE_POSITIONS}, levels AS (SELECT DISTINCT pos, code FROM positions)
-SELECT pos, code, row_number() OVER (PARTITION BY pos ORDER BY code) - 1 AS ordinal FROM levels""",
-    "embedding_sizes": f"""WITH {CODE_POSITIONS}, counted AS (
-  SELECT pos, count(DISTINCT code) AS levels FROM positions GROUP BY pos)
-SELECT pos, levels, least(50, (levels + 1) // 2) AS width FROM counted""",
+    "ordinal_encode": f"""WITH {ADMISSIONS}, {PLAIN_SPLIT}, {CELLS}, levels AS (
+  SELECT DISTINCT col, code FROM cells JOIN plain_parts USING (n) WHERE part = 'train'),
+numbered AS (SELECT col, code, row_number() OVER (PARTITION BY col ORDER BY code) - 1 AS ordinal FROM levels)
+SELECT n, string_agg(CAST(coalesce(ordinal, -1) AS VARCHAR), ',' ORDER BY col) FILTER (starts_with(col, 'dx')) AS dx,
+  string_agg(CAST(coalesce(ordinal, -1) AS VARCHAR), ',' ORDER BY col) FILTER (starts_with(col, 'cpt')) AS cpt
+FROM cells LEFT JOIN numbered USING (col, code) GROUP BY n""",
+    "category_map": f"""WITH {ADMISSIONS}, {CELLS}, levels AS (SELECT DISTINCT col, code FROM cells)
+SELECT col, code, row_number() OVER (PARTITION BY col ORDER BY code) - 1 AS ordinal FROM levels""",
+    "embedding_sizes": f"""WITH {ADMISSIONS}, {CELLS}, counted AS (
+  SELECT col, count(DISTINCT code) AS levels FROM cells GROUP BY col)
+SELECT col, levels, least(50, (levels + 1) // 2) AS width FROM counted""",
     "standardize": f"""WITH {ADMISSIONS}, {PLAIN_SPLIT}, fitted AS (
   SELECT avg(age) AS ma, stddev_pop(age) AS sa, avg(los) AS ml, stddev_pop(los) AS sl
   FROM admissions JOIN plain_parts USING (n) WHERE part = 'train')
 SELECT n, round((age - ma) / sa, 6) AS age_z, round((los - ml) / sl, 6) AS los_z FROM admissions, fitted""",
-    "target_encode": f"""WITH {ENCOUNTERS}, {CODES}, {FOLDS}, rows_in AS (
-  SELECT f.n, label, fold, dx FROM folds f LEFT JOIN codes c ON f.n = c.n AND c.pos = 1),
-per_fold AS (SELECT fold, CAST(sum(label) AS BIGINT) AS p, count(*) AS k FROM rows_in GROUP BY fold),
+    "target_encode": f"""WITH {ENCOUNTERS}, {FILLED}, {FOLDS}, rows_in AS (
+  SELECT n, label, fold, col, code FROM folds JOIN filled USING (n)),
+per_fold AS (SELECT fold, CAST(sum(label) AS BIGINT) AS p, count(*) AS k FROM folds GROUP BY fold),
 total AS (SELECT CAST(sum(p) AS BIGINT) AS p, CAST(sum(k) AS BIGINT) AS k FROM per_fold),
 prior AS (SELECT fold, CAST(total.p - per_fold.p AS DOUBLE) / CAST(total.k - per_fold.k AS DOUBLE) AS prior
           FROM per_fold, total),
-own AS (SELECT dx, fold, CAST(sum(label) AS BIGINT) AS p, count(*) AS k FROM rows_in WHERE dx IS NOT NULL GROUP BY ALL),
-every AS (SELECT dx, CAST(sum(p) AS BIGINT) AS p, CAST(sum(k) AS BIGINT) AS k FROM own GROUP BY dx),
-stats AS (SELECT dx, fold, every.p - own.p AS p, every.k - own.k AS k FROM own JOIN every USING (dx))
-SELECT r.n, r.label, r.fold, r.dx,
-  CASE WHEN r.dx IS NULL THEN prior ELSE (stats.p + prior * 10.0::DOUBLE) / (stats.k + 10.0::DOUBLE) END AS encoded
-FROM rows_in r JOIN prior ON r.fold = prior.fold LEFT JOIN stats ON r.dx = stats.dx AND r.fold = stats.fold""",
+own AS (SELECT col, code, fold, CAST(sum(label) AS BIGINT) AS p, count(*) AS k FROM rows_in GROUP BY ALL),
+every AS (SELECT col, code, CAST(sum(p) AS BIGINT) AS p, CAST(sum(k) AS BIGINT) AS k FROM own GROUP BY ALL),
+stats AS (SELECT col, code, fold, every.p - own.p AS p, every.k - own.k AS k FROM own JOIN every USING (col, code))
+SELECT n, label, fold, col, code, (stats.p + prior * 10.0::DOUBLE) / (stats.k + 10.0::DOUBLE) AS encoded
+FROM rows_in JOIN prior USING (fold) JOIN stats USING (col, code, fold)""",
     "confusion_matrix": f"""WITH {SCORED_DOCUMENTS}, {_cells('scored')}
 SELECT 'NOT_READMITTED' AS true_class, 'NOT_READMITTED' AS predicted_class, tn AS rows FROM cells
 UNION ALL SELECT 'NOT_READMITTED', 'READMITTED', fp FROM cells
@@ -357,3 +362,26 @@ FROM e""",
 SELECT event_id, round(p, 6) AS probability, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS predicted_label,
   CASE WHEN p > 0.5 THEN 'READMITTED' ELSE 'NOT_READMITTED' END AS predicted_name FROM p""",
 }
+
+_TESTED = f"WITH {ENCOUNTERS}, {SPLIT} SELECT n, label, true AS valid FROM parts WHERE part = 'test'"
+
+MODELS = {
+    "rf_rows": _TESTED,
+    "gbt_rows": _TESTED,
+    "mlp_rows": _TESTED,
+    "text_rows": f"""WITH {ENCOUNTERS}, {PLAIN_SPLIT}
+SELECT n, label, true AS valid FROM plain_parts JOIN encounters USING (n) WHERE part = 'test'""",
+    "importance_check": "SELECT 11 AS features, true AS valid",
+    "stream_rows": f"""WITH cut AS (
+  SELECT CAST(trunc(epoch_us(min(ts)) + (epoch_us(max(ts)) - epoch_us(min(ts))) * 0.8::DOUBLE) AS BIGINT) AS micros FROM events),
+later AS (
+  SELECT event_id AS n, CAST(event_type = 'error' AS INTEGER) AS label, user_id,
+         CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+  FROM events, cut WHERE epoch_us(ts) >= micros),
+named AS (
+  SELECT n, label, chr(65 + k % 26) || lpad(CAST(user_id % 100 AS VARCHAR), 2, '0') AS dx,
+         'I' || lpad(CAST(k % 100 AS VARCHAR), 2, '0') AS second FROM later),
+codes AS (SELECT n, dx FROM named UNION ALL SELECT n, second FROM named), {RULES}, {FLAGS},
+scores AS (SELECT n, {_SUM} {_LESS} AS score FROM flags)
+SELECT n, {_chapter('dx')} AS title, score, label, true AS valid FROM named JOIN scores USING (n)""",
+}

@@ -61,6 +61,12 @@ QUERIES: dict[str, Query] = {
     "mlp": models.mlp,
     "text_classifier": models.text_classifier,
     "stream_score": streams.stream_score,
+    "rf_rows": models.checked(models.rf_cv),
+    "importance_check": models.importance_check,
+    "gbt_rows": models.checked(models.gbt),
+    "mlp_rows": models.checked(models.mlp),
+    "text_rows": models.checked(models.text_classifier),
+    "stream_rows": streams.stream_rows,
 }
 
-ORACLES: dict[str, str] = {**oracles.COHORT, **oracles.TRAINING}
+ORACLES: dict[str, str] = {**oracles.COHORT, **oracles.TRAINING, **oracles.MODELS}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.functions.numbers import CLASS_NAMES, above, argmax, relabel, sigmoid, softmax
@@ -10,24 +10,26 @@ from caseloom.operators import encode, evaluate, profile, sampling, tokens
 from caseloom.plans import views
 from caseloom.session import materialize
 
-VOCABULARY_SIZE = 5_000
+#: Rows per class of the balanced training table; the reference work uses 15,000 on a larger table.
 BALANCED_SIZE = 5_000
 LENGTH_LIMIT = tokens.MAX_LENGTH - tokens.MARKERS
 SMOOTHING = 10.0
 
 
 def vocab(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens.vocabulary_frame(views.table(spark, folder, "documents"), "text", VOCABULARY_SIZE)
+    return tokens.vocabulary_frame(views.table(spark, folder, "documents"), "text")
 
 
-def _encoded(spark: SparkSession, folder: str) -> DataFrame:
+def _ids(spark: SparkSession, folder: str) -> DataFrame:
+    """``(doc_id, ids)`` from the whole vocabulary of the documents."""
     documents = views.table(spark, folder, "documents").select("doc_id", "text")
-    return tokens.encode(documents, "text", tokens.fit_vocabulary(documents, "text", VOCABULARY_SIZE))
+    return tokens.table_ids(documents, "doc_id", "text", materialize(tokens.vocabulary_frame(documents, "text")))
 
 
 def encode_pad(spark: SparkSession, folder: str) -> DataFrame:
-    encoded = _encoded(spark, folder)
-    return encoded.select("doc_id", F.size("input_ids").alias("size"), F.array_join("input_ids", ",").alias("ids"))
+    padded = tokens.pad(F.col("ids"), F.lit(tokens.MAX_LENGTH), F.lit(tokens.PAD))
+    padded = _ids(spark, folder).select("doc_id", padded.alias("ids"))
+    return padded.select("doc_id", F.size("ids").alias("size"), F.array_join("ids", ",").alias("ids"))
 
 
 def attention_mask(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,10 +41,7 @@ def attention_mask(spark: SparkSession, folder: str) -> DataFrame:
 
 def batch_pad(spark: SparkSession, folder: str) -> DataFrame:
     """Batches of four documents over the stored ids."""
-    documents = views.table(spark, folder, "documents").select("doc_id", "text")
-    vocabulary = tokens.fit_vocabulary(documents, "text", VOCABULARY_SIZE)
-    ids = tokens.content_ids(tokens.tokens(F.col("text")), vocabulary)
-    stored = materialize(documents.select("doc_id", F.floor(F.col("doc_id") / 4).alias("batch"), ids.alias("ids")))
+    stored = materialize(_ids(spark, folder).withColumn("batch", F.floor(F.col("doc_id") / 4)))
     padded = tokens.pad_batches(stored, "ids", "batch", ["doc_id"])
     return padded.select("doc_id", "batch", F.size("padded").alias("size"), F.array_join("padded", ",").alias("ids"))
 
@@ -81,33 +80,69 @@ def bootstrap_with(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.bootstrap(readmitted, "n", BALANCED_SIZE)
 
 
-def balanced_train(spark: SparkSession, folder: str) -> DataFrame:
-    return sampling.balanced(train_rows(spark, folder), "n", "label", BALANCED_SIZE, fall_back=True)
+def balanced_train(spark: SparkSession, folder: str, class_size: int = BALANCED_SIZE) -> DataFrame:
+    """An error where class 0 has fewer than ``class_size`` training rows."""
+    return sampling.balanced(train_rows(spark, folder), "n", "label", class_size)
 
 
 def kfold(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.folds(views.labelled(spark, folder).select("n", "label"), "n", "label")
 
 
-def _code_positions(spark: SparkSession, folder: str) -> DataFrame:
-    codes = views.positioned_codes(spark, folder, 5)
-    return codes.select("n", "pos", F.coalesce("dx", F.lit("missing")).alias("code"))
+WIDTHS = {"dx": 34, "cpt": 100}
+
+
+def _column(kind: Column, pos: Column) -> Column:
+    return F.concat(kind, F.lpad(pos.cast("string"), 3, "0"))
+
+
+def _filled(spark: SparkSession, folder: str) -> DataFrame:
+    """``(n, col, code)``: the filled cells of all code columns, written once."""
+    lines = views.positioned_codes(spark, folder, max(WIDTHS.values()))
+    cells = [F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("code"), (F.col("pos") <= width).alias("used")) for kind, width in WIDTHS.items()]
+    both = lines.select("n", "pos", F.inline(F.array(*cells))).where("used AND code IS NOT NULL")
+    return materialize(both.select("n", _column(F.col("kind"), F.col("pos")).alias("col"), "code"))
+
+
+def _levels(filled: DataFrame, rows: int) -> DataFrame:
+    """Sorted levels of all code columns; a column that not all of the ``rows`` fill has the level "missing"."""
+    spark = filled.sparkSession
+    names = [(f"{kind}{i:03d}",) for kind, width in WIDTHS.items() for i in range(1, width + 1)]  # 134 columns
+    counted = spark.createDataFrame(names, "col string").join(filled.groupBy("col").count(), "col", "left")
+    missing = counted.where(F.coalesce("count", F.lit(0)) < rows).select("col", F.lit("missing").alias("code"))
+    return materialize(encode.level_table(filled.select("col", "code").unionByName(missing), "col", "code"))
 
 
 def ordinal_encode(spark: SparkSession, folder: str) -> DataFrame:
-    """Levels from the training rows of a random split; codes seen only in test rows get -1."""
-    codes = _code_positions(spark, folder)
-    train = sampling.fit_split(views.admissions(spark, folder), "n", []).mark(codes, "test").where("NOT test")
-    levels = materialize(encode.level_table(train, "pos", "code"))
-    return encode.ordinal_encode(codes, levels, "pos", "code", ["n"])
+    """All code columns of every encounter as ordinals, with levels from the training rows of a random split.
+
+    Empty cells are the level "missing"; levels seen only in test rows get -1. Only filled cells are joined; the ordinals of
+    "missing" are one number per column.
+    """
+    rows, filled = views.admissions(spark, folder).select("n"), _filled(spark, folder)
+    cut = sampling.fit_split(rows, "n", [])
+    train = cut.mark(filled, "test").where("NOT test")
+    levels = _levels(train, cut.mark(rows, "test").where("NOT test").count())
+    encoded = encode.ordinal_encode(filled, levels, "col", "code", ["n"])
+    grouped = encoded.groupBy("n").agg(F.map_from_entries(F.collect_list(F.struct("col", "ordinal"))).alias("cells"))
+    empty = {row["col"]: row["ordinal"] for row in levels.where("code = 'missing'").collect()}  # one row per column
+
+    def texts(kind: str) -> Column:
+        cells = [
+            F.coalesce(F.try_element_at("cells", F.lit(name)), F.lit(empty.get(name, encode.UNSEEN)))
+            for name in (f"{kind}{i:03d}" for i in range(1, WIDTHS[kind] + 1))
+        ]
+        return F.array_join(F.array(*cells).cast("array<string>"), ",").alias(kind)
+
+    return rows.join(grouped, "n", "left").select("n", texts("dx"), texts("cpt"))
 
 
 def category_map(spark: SparkSession, folder: str) -> DataFrame:
-    return encode.level_table(_code_positions(spark, folder), "pos", "code")
+    return _levels(_filled(spark, folder), views.admissions(spark, folder).count())
 
 
 def embedding_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    return encode.embedding_sizes(_code_positions(spark, folder).select("pos", "code").distinct(), "pos")
+    return encode.embedding_sizes(category_map(spark, folder), "col")
 
 
 def standardize(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,10 +154,11 @@ def standardize(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def target_encode(spark: SparkSession, folder: str) -> DataFrame:
-    first = views.positioned_codes(spark, folder, 1).select("n", "dx")
-    rows = materialize(kfold(spark, folder).join(first, "n", "left"))
-    means = encode.fit_fold_means(rows, ["dx"], "label", "fold", SMOOTHING)
-    return encode.apply_fold_means(rows, means, ["dx"], "fold", ["n"])
+    """Out-of-fold means for the filled cells of all code columns; priors come from the encounters."""
+    folded = materialize(kfold(spark, folder))
+    rows = materialize(_filled(spark, folder).join(folded, "n"))
+    means = encode.fit_fold_means(rows, ["col", "code"], "label", "fold", SMOOTHING, prior_rows=folded)
+    return encode.apply_fold_means(rows, means, ["col", "code"], "fold", ["n"])
 
 
 def scored_documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -68,18 +68,33 @@ def narratives(
 ) -> DataFrame:
     """``(prompt, label)`` per encounter; procedures are described through ``dictionary``."""
     enc.require_columns(clean, [enc.SCORE_COLUMN, label])
-    named = clean
-    names = [f"_name{i}" for i in range(1, tier + 1)]
-    for column, name in zip(enc.CPT_COLUMNS, names):
-        named = describe_codes(named, dictionary, column, [enc.ID_COLUMN], name, measured=clean)
-    codes = F.array(*[F.col(c) for c in enc.DX_COLUMNS[:tier]])
-    text = narrative(codes, F.col(enc.SCORE_COLUMN), F.array(*[F.col(n) for n in names]))
-    return named.select(F.col(enc.ID_COLUMN).alias("n"), text.alias("prompt"), F.col(label).cast("long").alias("label"))
-
-
-def tokenize(rows: DataFrame, size: int = tokens.MAX_VOCABULARY) -> DataFrame:
-    """Fixed-length ids and masks of the narratives, with a vocabulary fitted on them."""
-    return tokens.encode(rows, "prompt", tokens.fit_vocabulary(rows, "prompt", size))
+    dx = F.array(*[F.col(c) for c in enc.DX_COLUMNS[:tier]]).alias("dx")
+    cpt = F.array(*[F.col(c) for c in enc.CPT_COLUMNS[:tier]])
+    # A row of its own for every code, so that one lookup serves all positions; rows come together again by their number.
+    rows = clean.select(
+        F.monotonically_increasing_id().alias("row"), F.col(enc.ID_COLUMN).alias("n"), dx,
+        F.col(enc.SCORE_COLUMN).alias("score"), F.col(label).cast("long").alias("label"), F.posexplode(cpt).alias("pos", "cpt"),
+    )
+    named = describe_codes(materialize(rows), dictionary, "cpt", ["row", "pos"])
+    listed = F.array_sort(F.collect_list(F.struct("pos", "description"))).alias("done")
+    wide = named.groupBy("row", "n", "dx", "score", "label").agg(listed)
+    text = narrative(F.col("dx"), F.col("score"), F.transform("done", lambda d: d["description"]))
+    return wide.select("n", text.alias("prompt"), "label")
+
+
+def tokenize(rows: DataFrame, size: int | None = None) -> DataFrame:
+    """Fixed-length ids and masks of the narratives, with a vocabulary fitted on them: all words, or the chosen ``size``."""
+    if size is not None:
+        return tokens.encode(rows, "prompt", tokens.fit_vocabulary(rows, "prompt", size))
+    numbered = materialize(rows.withColumn("_row", F.monotonically_increasing_id()))
+    ids = tokens.table_ids(numbered, "_row", "prompt", materialize(tokens.vocabulary_frame(rows, "prompt")))
+    padded = numbered.join(ids, "_row").withColumns(
+        {
+            "input_ids": tokens.pad(F.col("ids"), F.lit(tokens.MAX_LENGTH), F.lit(tokens.PAD)),
+            "attention_mask": tokens.attention_mask(F.size("ids")),
+        }
+    )
+    return padded.select(*rows.columns, "input_ids", "attention_mask")
 
 
 def truncation(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

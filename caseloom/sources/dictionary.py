@@ -40,11 +40,3 @@ def describe_codes(
     names = dictionary.select(F.col("code").alias("_code"), F.col("description").alias(out))
     joined = lookup_join(keyed, names, ["_code"], spread_by, "left", broadcast_bytes, measured=measured)
     return joined.drop("_code")
-
-
-def disposition_name(code: Column, names: dict[str, str]) -> Column:
-    """Description of a disposition code from a small driver-side table."""
-    chosen = F.lit(None).cast("string")
-    for key, name in names.items():
-        chosen = F.when(strip(code) == key, F.lit(name)).otherwise(chosen)
-    return chosen

@@ -10,13 +10,23 @@ from pyspark.sql.streaming import StreamingQuery
 from caseloom.operators.models import score
 
 
-def read_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet") -> DataFrame:
-    """A stream of Parquet files that appear in a folder."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+def read_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stream of the Parquet files of a table, whether the table is one file or a folder that files are added to.
+
+    The path is given as a pattern that only the path itself matches, which lets the source list either kind.
+    """
+    path = path.rstrip("/")
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def first_arrivals(stream: DataFrame, key: str, event_time: str, delay: str = "1 day") -> DataFrame:
-    """Drop repeated messages of the same key; the state of a key is forgotten after ``delay``."""
+def first_arrivals(stream: DataFrame, key: str, event_time: str, delay: str | None = None) -> DataFrame:
+    """Drop repeated messages of the same key.
+
+    Without ``delay`` every key is remembered, on disk, and no message is too late. With it a key is forgotten after that
+    time, and messages older than that are dropped; the query's progress counts them as ``numRowsDroppedByWatermark``.
+    """
+    if delay is None:
+        return stream.dropDuplicates([key])
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 

@@ -12,7 +12,7 @@ DATA = Path(os.environ.get("TESTDATA", "/root/testdata"))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests",
         "local[*]",
@@ -21,6 +21,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "6g",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint")),
         },
     )
     session.sparkContext.setLogLevel("ERROR")

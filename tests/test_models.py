@@ -59,9 +59,9 @@ def test_text_choice(rows):
     assert auc(models.score(model, rows, ["prompt", "label"])) == 1.0
 
 
-def test_code_tokens_are_bounded(spark):
-    tokens = spark.range(5000).select(models.code_token(F.col("id").cast("string"), "dx", 64).alias("t"))
-    assert tokens.distinct().count() == 64
+def test_code_tokens_are_one_to_one(spark):
+    words = spark.range(5000).select(models.code_token(F.col("id").cast("string"), F.col("id") % 2).alias("t"))
+    assert words.distinct().count() == 5000
 
 
 def test_stream_drops_repeats_and_resumes(spark, tmp_path, rows):
@@ -80,3 +80,19 @@ def test_stream_drops_repeats_and_resumes(spark, tmp_path, rows):
     messages.where("n >= 90 AND n < 150").write.mode("append").parquet(source)
     again = run()
     assert again.count() == again.select("n").distinct().count() == 150
+
+
+def test_a_stream_reads_files_and_folders_and_keeps_late_rows(spark, tmp_path):
+    rows = spark.range(1000).select("id", (F.lit("2024-01-01").cast("timestamp") + F.expr("make_dt_interval(CAST(id AS INT) % 90)")).alias("at"))
+    rows.where("id < 500").orderBy(F.desc("at")).coalesce(1).write.parquet(str(tmp_path / "folder"))
+    rows.where("id >= 500").orderBy("at").coalesce(1).write.mode("append").parquet(str(tmp_path / "folder"))
+    (part,) = [p for p in (tmp_path / "folder").glob("part-*") if spark.read.parquet(str(p)).where("id < 500").count()]
+    part = part.rename(tmp_path / "one.parquet")
+    rows.where("id < 500").coalesce(1).write.mode("append").parquet(str(tmp_path / "folder"))
+    for name, expected in (("folder", 1000), ("one.parquet", 500)):
+        stream = admission.read_stream(spark, str(tmp_path / name), rows.schema).unionByName(
+            admission.read_stream(spark, str(tmp_path / name), rows.schema)
+        )
+        fresh = admission.first_arrivals(stream, "id", "at")
+        admission.start_sink(fresh, str(tmp_path / f"out-{name}"), str(tmp_path / f"progress-{name}")).awaitTermination()
+        assert spark.read.parquet(str(tmp_path / f"out-{name}")).count() == expected

@@ -1,27 +1,45 @@
-"""Every registered query against its SQL, on the smallest tables."""
+"""Every registered query against its SQL, on the smallest tables that hold its rows."""
 
 import pytest
 from oracle import connect, differences
 
 from __spark_entry__ import entry, oracle_sql, queries
+from caseloom.plans import training
 
 CHECKED = sorted(oracle_sql())
 ROWS_ONLY = sorted(set(queries()) - set(CHECKED))
+MODELS = {"rf_cv", "feature_importance", "gbt", "mlp"}
+#: Queries that balance classes to a size that the smallest tables don't have.
+LARGER = MODELS | {"balanced_train", "rf_rows", "gbt_rows", "mlp_rows", "text_rows", "text_classifier", "importance_check"}
 
 
 @pytest.fixture(scope="module")
-def connection(folder):
-    return connect(folder)
+def folder_of(folder):
+    return lambda name: folder.replace("sf0.001", "sf0.01") if name in LARGER else folder
+
+
+@pytest.fixture(scope="module")
+def connections():
+    return {}
 
 
 @pytest.mark.parametrize("name", CHECKED)
-def test_same_result_as_sql(spark, folder, connection, name):
+def test_same_result_as_sql(spark, folder_of, connections, name):
+    folder = folder_of(name)
+    connection = connections.setdefault(folder, None) or connect(folder)
+    connections[folder] = connection
     assert differences(queries()[name](spark, folder), connection, oracle_sql()[name]) == ""
 
 
+def test_balancing_needs_its_rows(spark, folder):
+    with pytest.raises(ValueError, match="cannot balance"):
+        queries()["balanced_train"](spark, folder)
+    assert training.balanced_train(spark, folder, 700).groupBy("label").count().where("count = 700").count() == 2
+
+
 @pytest.mark.parametrize("name", ROWS_ONLY)
-def test_model_queries_give_valid_rows(spark, folder, name):
-    rows = queries()[name](spark, folder).collect()
+def test_model_queries_give_valid_rows(spark, folder_of, name):
+    rows = queries()[name](spark, folder_of(name)).collect()
     assert rows
     for row in rows:
         if "predicted_probability" in row:
