@@ -55,7 +55,8 @@ def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return weak_rules.quality(table(spark, folder, "documents"))
+    judged = weak_rules.quality(table(spark, folder, "documents"))
+    return judged.withColumn("p_good", F.round("p_good", 6))
 
 
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from caseloom.llm.weak_rules import ACCURACY, HIGH, LOW, PRIOR, RULES
+from caseloom.llm.weak_rules import ROUNDS as EM_ROUNDS
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 EXACT = """
@@ -37,6 +40,52 @@ SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken
 """
 
 
+
+
+def quality() -> str:
+    """Counts by unnested windows, then every round of the estimation as a step of its own."""
+    votes = []
+    for name, (measure, direction, good, bad) in RULES.items():
+        value = measure.replace(" / ", "::DOUBLE / ")
+        first, second = ("<=", ">=") if direction == "up to" else (">=", "<=")
+        votes.append(
+            f"CASE WHEN n_words = 0 THEN 0 WHEN {value} {first} {good} THEN 1 WHEN {value} {second} {bad} THEN -1 ELSE 0 END AS {name}"
+        )
+    odds = " + ".join(f"{n} * ln(a_{n} / (1 - a_{n}))" for n in RULES)
+    good = f"1 / (1 + exp(-(ln(prior / (1 - prior)) + {odds})))"
+    start = ", ".join(f"{ACCURACY}::DOUBLE AS a_{n}" for n in RULES)
+
+    def accuracy(n: str) -> str:
+        right = f"sum(CASE WHEN {n} = 1 THEN g WHEN {n} = -1 THEN 1 - g END * rows)"
+        return f"coalesce(least({HIGH}, greatest({LOW}, {right} / sum(rows) FILTER ({n} <> 0))), {ACCURACY}) AS a_{n}"
+
+    rounds = "".join(
+        f"""
+m{i + 1} AS (SELECT least({HIGH}, greatest(1 - {HIGH}, sum(g * rows) / sum(rows))) AS prior, {', '.join(map(accuracy, RULES))}
+  FROM (SELECT patterns.*, {good} AS g FROM patterns, m{i})),"""
+        for i in range(EM_ROUNDS)
+    )
+    columns = "n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals, n_exclaims, n_distinct, n_lines"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t),
+x AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS n FROM i),
+r AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM x WHERE n > 1)
+    GROUP BY doc_id),
+c AS (SELECT doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars,
+    len(body) - len(translate(body, '#*$%&|<>', '')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, len(regexp_replace(body, '[^\\p{{Lu}}]', '', 'g')) AS n_capitals,
+    len(body) - len(translate(body, '!', '')) AS n_exclaims, len(list_distinct(w)) AS n_distinct, len(lines) AS n_lines
+    FROM t LEFT JOIN r USING (doc_id)),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {', '.join(votes)} FROM c),
+patterns AS (SELECT {', '.join(RULES)}, count(*) AS rows FROM v WHERE NOT base_failed GROUP BY ALL),
+m0 AS (SELECT {PRIOR}::DOUBLE AS prior, {start}),{rounds}
+p AS (SELECT v.*, {good} AS p FROM v, m{EM_ROUNDS})
+SELECT doc_id, {columns}, base_failed, {', '.join(RULES)}, round(p, 6) AS p_good, NOT base_failed AND p >= 0.5 AS kept FROM p
+"""
+
+
 WARC = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 g AS (SELECT body, max(page_id) AS keep, count(*) AS n FROM p WHERE octet_length(body) >= 1000 GROUP BY body)
@@ -46,4 +95,4 @@ SELECT page_id, octet_length(p.body)::BIGINT AS payload_bytes, sha1(p.body) AS p
 FROM p LEFT JOIN g ON p.body = g.body
 """
 
-ORACLES = {"op9_warc": WARC, "op4_exact_dedup": EXACT, "op10_mix": mix()}
+ORACLES = {"op6_quality_rules": quality(), "op9_warc": WARC, "op4_exact_dedup": EXACT, "op10_mix": mix()}

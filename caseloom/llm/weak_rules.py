@@ -27,7 +27,7 @@ RULES = {
     "distinct_words": ("n_distinct / n_words", "from", 0.3, 0.12),
     "exclaims": ("n_exclaims / n_words", "up to", 0.2, 0.5),
 }
-PRIOR, ACCURACY, LOW, HIGH, ROUNDS = 0.8, 0.8, 0.55, 0.995, 20
+PRIOR, ACCURACY, LOW, HIGH, ROUNDS = 0.8, 0.8, 0.55, 0.995, 15
 
 
 def measures(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -129,16 +129,12 @@ def fit(patterns: DataFrame, rounds: int = ROUNDS) -> dict:
         ).first()
         if not row["__rows"]:
             break
-        old = model
         model = {
             "prior": min(HIGH, max(1 - HIGH, row["__sum"] / row["__rows"])),
             "accuracies": {
                 n: min(HIGH, max(LOW, row[f"right_{n}"] / row[f"cast_{n}"])) if row[f"cast_{n}"] else ACCURACY for n in RULES
             },
         }
-        moved = [abs(model["accuracies"][n] - old["accuracies"][n]) for n in RULES]
-        if max(moved) < 1e-6 and abs(model["prior"] - old["prior"]) < 1e-6:
-            break
     return model
 
 
