@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import keyword_only
 from pyspark.ml.evaluation import Evaluator
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,13 +26,18 @@ def _cells(label: str, predicted: str) -> dict[str, Column]:
 def binary_metrics(df: DataFrame, label: str, predicted: str) -> DataFrame:
     """Accuracy, precision, recall and F1 of class 1 in one row; undefined ratios are 0."""
     counts = df.agg(*[column.alias(name) for name, column in _cells(label, predicted).items()])
+    return counts.select(*[ratio.alias(name) for name, ratio in _ratios().items()])
+
+
+def _ratios() -> dict[str, Column]:
+    """The metrics from the cells of the confusion matrix."""
     tp, fn, fp, tn = (F.col(c) for c in ("tp", "fn", "fp", "tn"))
-    return counts.select(
-        guarded_ratio(tp + tn, tp + fn + fp + tn).alias("accuracy"),
-        guarded_ratio(tp, tp + fp).alias("precision"),
-        guarded_ratio(tp, tp + fn).alias("recall"),
-        guarded_ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
-    )
+    return {
+        "accuracy": guarded_ratio(tp + tn, tp + fn + fp + tn),
+        "precision": guarded_ratio(tp, tp + fp),
+        "recall": guarded_ratio(tp, tp + fn),
+        "f1": guarded_ratio(2 * tp, 2 * tp + fp + fn),
+    }
 
 
 def confusion_matrix(df: DataFrame, label: str, predicted: str, names: dict[int, str] = CLASS_NAMES) -> DataFrame:
@@ -78,22 +85,25 @@ def roc_curve(df: DataFrame, label: str, score: str, rows_per_bucket: int = ROWS
     )
 
 
-def metric_rows(metrics: DataFrame, section: str) -> DataFrame:
-    """A one-row frame as ``(section, key, value)`` rows."""
-    cells = [F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for c in metrics.columns]
-    return metrics.select(F.inline(F.array(*cells))).select(F.lit(section).alias("section"), "key", "value")
+def metric_rows(metrics: DataFrame, sections: dict[str, str]) -> DataFrame:
+    """A one-row frame as ``(section, key, value)`` rows; ``sections`` has the section of every column."""
+    cells = [
+        F.struct(F.lit(section).alias("section"), F.lit(c).alias("key"), F.col(c).cast("double").alias("value"))
+        for c, section in sections.items()
+    ]
+    return metrics.select(F.inline(F.array(*cells)))
+
+
+def _sizes(label: str) -> dict[str, Column]:
+    return {
+        "rows": F.count("*"), "class_0": F.count_if(F.col(label) == 0), "class_1": F.count_if(F.col(label) == 1)
+    }
 
 
 def class_sizes(df: DataFrame, label: str, section: str) -> DataFrame:
     """Rows in total and per class as ``(section, key, value)``."""
-    return metric_rows(
-        df.agg(
-            F.count("*").alias("rows"),
-            F.count_if(F.col(label) == 0).alias("class_0"),
-            F.count_if(F.col(label) == 1).alias("class_1"),
-        ),
-        section,
-    )
+    sizes = _sizes(label)
+    return metric_rows(df.agg(*[c.alias(n) for n, c in sizes.items()]), dict.fromkeys(sizes, section))
 
 
 def parameter_rows(spark: SparkSession, parameters: dict[str, float], section: str = "parameters") -> DataFrame:
@@ -104,20 +114,21 @@ def parameter_rows(spark: SparkSession, parameters: dict[str, float], section: s
 def evaluation_summary(
     scored: DataFrame, label: str, predicted: str, score: str, train: DataFrame, original: DataFrame, parameters: dict
 ) -> DataFrame:
-    """Report of a run: data sizes and class counts, parameters, metrics."""
-    spark = scored.sparkSession
+    """Report of a run: data sizes and class counts, parameters, metrics.
+
+    One aggregate over the scored rows gives their sizes and all cells; only the AUC needs their order.
+    """
+    sizes, cells, ratios = _sizes(label), _cells(label, predicted), _ratios()
+    counted = scored.agg(*[c.alias(n) for n, c in {**sizes, **cells}.items()])
+    counted = counted.select(*sizes, *[c.alias(n) for n, c in ratios.items()])
     parts = [
         class_sizes(original, label, "original_train"),
         class_sizes(train, label, "train"),
-        class_sizes(scored, label, "test"),
-        parameter_rows(spark, parameters),
-        metric_rows(binary_metrics(scored, label, predicted), "metrics"),
-        metric_rows(roc_auc(scored, label, score), "metrics"),
+        parameter_rows(scored.sparkSession, parameters),
+        metric_rows(counted, {**dict.fromkeys(sizes, "test"), **dict.fromkeys(ratios, "metrics")}),
+        metric_rows(roc_auc(scored, label, score), {"auc": "metrics"}),
     ]
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report
+    return reduce(DataFrame.unionByName, parts)
 
 
 def display(report: DataFrame, decimals: int = 4) -> DataFrame:

@@ -6,10 +6,9 @@ feature positions from 1. Rows for training are chosen before their features are
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.ml import Model
+from pyspark.ml import Model, Pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,15 +165,14 @@ def text(
     class_size: int,
     penalties: tuple[float, ...] = (0.0, 0.01),
     fall_back: bool = True,
-    pipeline: Callable[[float], object] | None = None,
+    pipeline: Pipeline | None = None,
 ) -> Run:
     """Classifier on ``prompt`` with a plain random split; a slice of the training encounters picks the penalty by F1."""
-    make = pipeline or (lambda penalty: models.text_pipeline("prompt", penalty=penalty))
     split = marked(rows, [])
     original, test = split.where("NOT test"), split.where("test")
     sliced = held_back(original, [], class_size, fall_back)
     train = sliced.where("NOT validation")
-    candidates = {str(p): make(p) for p in penalties}
-    best, model, f1 = models.fit_best(candidates, train, sliced.where("validation"))
+    stages = pipeline or models.text_pipeline("prompt")
+    best, model, f1 = models.fit_penalties(stages, penalties, train, sliced.where("validation"))
     result = scored(model, test, ("n", "prompt", "label"))
     return Run(model, result, original, train, {"penalty": float(best), "validation_f1": f1[best]})

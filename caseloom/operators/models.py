@@ -160,15 +160,21 @@ def text_pipeline(text: str, label: str = "label", penalty: float = 0.0, slots:
     )
 
 
-def fit_best(
-    pipelines: dict[str, Pipeline], train: DataFrame, validation: DataFrame, label: str = "label"
-) -> tuple[str, PipelineModel, dict[str, float]]:
-    """Fit every candidate on ``train`` and keep the one with the highest F1 on ``validation``."""
-    evaluator = f1_evaluator(label)
-    fitted = {name: pipeline.fit(train) for name, pipeline in pipelines.items()}
-    scores = {name: evaluator.evaluate(model.transform(validation)) for name, model in fitted.items()}
+def fit_penalties(
+    pipeline: Pipeline, penalties: tuple[float, ...], train: DataFrame, validation: DataFrame, label: str = "label"
+) -> tuple[float, PipelineModel, dict[float, float]]:
+    """The penalty of the pipeline's last stage with the highest F1 on ``validation``.
+
+    The stages before it are fitted and applied once; their vectors are written and read by every candidate.
+    """
+    *features, last = pipeline.getStages()
+    fitted = Pipeline(stages=features).fit(train)
+    column, evaluator = last.getFeaturesCol(), f1_evaluator(label)
+    rows, held = (materialize(fitted.transform(df).select(label, column)) for df in (train, validation))
+    models = {p: last.copy({last.regParam: p}).fit(rows) for p in penalties}
+    scores = {p: evaluator.evaluate(model.transform(held)) for p, model in models.items()}
     best = max(scores, key=scores.get)
-    return best, fitted[best], scores
+    return best, PipelineModel(stages=[*fitted.stages, models[best]]), scores
 
 
 def score(model: Model, df: DataFrame, keep: list[str], threshold: float = 0.5) -> DataFrame:

@@ -385,3 +385,26 @@ codes AS (SELECT n, dx FROM named UNION ALL SELECT n, second FROM named), {RULES
 scores AS (SELECT n, {_SUM} {_LESS} AS score FROM flags)
 SELECT n, {_chapter('dx')} AS title, score, label, true AS valid FROM named JOIN scores USING (n)""",
 }
+
+_REPORT = TRAINING["eval_summary"]
+
+DATASETS = {
+    "narrative_csv": f"WITH {NARRATIVES} SELECT prompt, label, count(*) AS encounters FROM narratives GROUP BY ALL",
+    "encounter_csv": f"""WITH {ADMISSIONS}, {CODES}
+SELECT CAST(n AS VARCHAR) AS n, 'dx' AS kind, pos, trim(dx) AS code FROM codes WHERE pos <= 20 AND dx IS NOT NULL
+UNION ALL SELECT CAST(n AS VARCHAR), 'cpt', pos, cpt FROM codes WHERE pos <= 100
+UNION ALL SELECT CAST(n AS VARCHAR), 'age', 0, CAST(CAST(age AS DOUBLE) AS VARCHAR) FROM admissions""",
+    "token_dataset": f"""WITH {IDS}
+SELECT doc_id, ids || repeat(',0', CAST(512 - size AS INTEGER)) AS ids, size AS real_tokens FROM ids""",
+    "summary_log": f"""WITH report AS ({_REPORT})
+SELECT run_id, section, key, value, true AS timed FROM report, (VALUES ('first'), ('second')) runs(run_id)""",
+    "shuffled_preview": f"WITH {ADMISSIONS} SELECT n, age FROM admissions ORDER BY {_ORDER.format('n')}, n LIMIT 100",
+    "decoded_levels": f"WITH {FILLED} SELECT n, col, code FROM filled",
+    "level_sizes": f"WITH {FILLED} SELECT col, count(DISTINCT code) AS levels FROM filled GROUP BY col",
+    "best_threshold": f"""WITH {SCORED_DOCUMENTS}, runs AS (
+  SELECT cut, count(*) FILTER (score > cut / 10.0::DOUBLE AND label = 1) AS tp,
+         count(*) FILTER ((score > cut / 10.0::DOUBLE) <> (label = 1)) AS wrong
+  FROM scored, range(10) cuts(cut) GROUP BY cut)
+SELECT CAST(cut AS INTEGER) AS cut, 2.0::DOUBLE * tp / (2 * tp + wrong) AS f1 FROM runs ORDER BY f1 DESC, cut DESC LIMIT 1""",
+    "mapped_batches": "SELECT doc_id, length(coalesce(text, '')) AS characters FROM documents",
+}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.plans import cohort, models, oracles, streams, training
+from caseloom.plans import cohort, datasets, models, oracles, streams, training
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,15 @@ QUERIES: dict[str, Query] = {
     "eval_summary": training.eval_summary,
     "softmax_argmax": training.softmax_argmax,
     "sigmoid_threshold": training.sigmoid_threshold,
+    "narrative_csv": datasets.narrative_csv,
+    "encounter_csv": datasets.encounter_csv,
+    "token_dataset": datasets.token_dataset,
+    "summary_log": datasets.summary_log,
+    "shuffled_preview": datasets.shuffled_preview,
+    "decoded_levels": datasets.decoded_levels,
+    "level_sizes": datasets.level_sizes,
+    "best_threshold": datasets.best_threshold,
+    "mapped_batches": datasets.mapped_batches,
     "rf_cv": models.rf_cv,
     "feature_importance": models.feature_importance,
     "gbt": models.gbt,
@@ -69,4 +78,4 @@ QUERIES: dict[str, Query] = {
     "stream_rows": streams.stream_rows,
 }
 
-ORACLES: dict[str, str] = {**oracles.COHORT, **oracles.TRAINING, **oracles.MODELS}
+ORACLES: dict[str, str] = {**oracles.COHORT, **oracles.TRAINING, **oracles.MODELS, **oracles.DATASETS}

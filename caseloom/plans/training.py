@@ -20,7 +20,7 @@ def vocab(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.vocabulary_frame(views.table(spark, folder, "documents"), "text")
 
 
-def _ids(spark: SparkSession, folder: str) -> DataFrame:
+def document_ids(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, ids)`` from the whole vocabulary of the documents."""
     documents = views.table(spark, folder, "documents").select("doc_id", "text")
     return tokens.table_ids(documents, "doc_id", "text", materialize(tokens.vocabulary_frame(documents, "text")))
@@ -28,7 +28,7 @@ def _ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def encode_pad(spark: SparkSession, folder: str) -> DataFrame:
     padded = tokens.pad(F.col("ids"), F.lit(tokens.MAX_LENGTH), F.lit(tokens.PAD))
-    padded = _ids(spark, folder).select("doc_id", padded.alias("ids"))
+    padded = document_ids(spark, folder).select("doc_id", padded.alias("ids"))
     return padded.select("doc_id", F.size("ids").alias("size"), F.array_join("ids", ",").alias("ids"))
 
 
@@ -41,7 +41,7 @@ def attention_mask(spark: SparkSession, folder: str) -> DataFrame:
 
 def batch_pad(spark: SparkSession, folder: str) -> DataFrame:
     """Batches of four documents over the stored ids."""
-    stored = materialize(_ids(spark, folder).withColumn("batch", F.floor(F.col("doc_id") / 4)))
+    stored = materialize(document_ids(spark, folder).withColumn("batch", F.floor(F.col("doc_id") / 4)))
     padded = tokens.pad_batches(stored, "ids", "batch", ["doc_id"])
     return padded.select("doc_id", "batch", F.size("padded").alias("size"), F.array_join("padded", ",").alias("ids"))
 
@@ -96,7 +96,7 @@ def _column(kind: Column, pos: Column) -> Column:
     return F.concat(kind, F.lpad(pos.cast("string"), 3, "0"))
 
 
-def _filled(spark: SparkSession, folder: str) -> DataFrame:
+def filled_cells(spark: SparkSession, folder: str) -> DataFrame:
     """``(n, col, code)``: the filled cells of all code columns, written once."""
     lines = views.positioned_codes(spark, folder, max(WIDTHS.values()))
     cells = [F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("code"), (F.col("pos") <= width).alias("used")) for kind, width in WIDTHS.items()]
@@ -119,7 +119,7 @@ def ordinal_encode(spark: SparkSession, folder: str) -> DataFrame:
     Empty cells are the level "missing"; levels seen only in test rows get -1. Only filled cells are joined; the ordinals of
     "missing" are one number per column.
     """
-    rows, filled = views.admissions(spark, folder).select("n"), _filled(spark, folder)
+    rows, filled = views.admissions(spark, folder).select("n"), filled_cells(spark, folder)
     cut = sampling.fit_split(rows, "n", [])
     train = cut.mark(filled, "test").where("NOT test")
     levels = _levels(train, cut.mark(rows, "test").where("NOT test").count())
@@ -138,7 +138,7 @@ def ordinal_encode(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def category_map(spark: SparkSession, folder: str) -> DataFrame:
-    return _levels(_filled(spark, folder), views.admissions(spark, folder).count())
+    return _levels(filled_cells(spark, folder), views.admissions(spark, folder).count())
 
 
 def embedding_sizes(spark: SparkSession, folder: str) -> DataFrame:
@@ -156,7 +156,7 @@ def standardize(spark: SparkSession, folder: str) -> DataFrame:
 def target_encode(spark: SparkSession, folder: str) -> DataFrame:
     """Out-of-fold means for the filled cells of all code columns; priors come from the encounters."""
     folded = materialize(kfold(spark, folder))
-    rows = materialize(_filled(spark, folder).join(folded, "n"))
+    rows = materialize(filled_cells(spark, folder).join(folded, "n"))
     means = encode.fit_fold_means(rows, ["col", "code"], "label", "fold", SMOOTHING, prior_rows=folded)
     return encode.apply_fold_means(rows, means, ["col", "code"], "fold", ["n"])
 
@@ -186,7 +186,7 @@ def roc_curve(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def eval_summary(spark: SparkSession, folder: str) -> DataFrame:
-    rows = sampling.split(scored_documents(spark, folder), "doc_id", ["label"])
+    rows = materialize(sampling.split(scored_documents(spark, folder), "doc_id", ["label"]))
     test, train = rows.where("part = 'test'"), rows.where("part = 'train'")
     return evaluate.evaluation_summary(
         test, "label", "predicted", "score", train, rows, {"threshold": 0.5, "test_share": sampling.TEST_SHARE}

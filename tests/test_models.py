@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from caseloom.operators import evaluate, models
+from caseloom.operators import evaluate, experiments, models
 from caseloom.streaming import admission
 
 
@@ -53,12 +53,20 @@ def test_network(rows):
 
 
 def test_text_choice(rows):
-    pipelines = {str(p): models.text_pipeline("prompt", penalty=p, slots=1024) for p in (0.0, 5.0)}
-    best, model, scores = models.fit_best(pipelines, rows.where("n % 3 > 0"), rows.where("n % 3 = 0"))
-    assert scores[best] == max(scores.values()) == 1.0
+    pipeline = models.text_pipeline("prompt", slots=1024)
+    best, model, scores = models.fit_penalties(pipeline, (0.0, 5.0), rows.where("n % 3 > 0"), rows.where("n % 3 = 0"))
+    assert scores[best] == max(scores.values()) == 1.0 and set(scores) == {0.0, 5.0}
     assert auc(models.score(model, rows, ["prompt", "label"])) == 1.0
 
 
+def test_held_back_encounters_are_on_one_side(spark):
+    rows = spark.range(2000).select(F.col("id").alias("n"), (F.col("id") % 8 == 0).cast("int").alias("label"), F.lit(1).alias("score"))
+    marked = experiments.held_back(rows, ["label"], 500, False)
+    sides = marked.groupBy("n").agg(F.count_distinct("validation").alias("sides"))
+    assert sides.where("sides > 1").isEmpty()
+    assert marked.where("validation").count() == 400 and marked.where("NOT validation AND label = 1").count() == 500
+
+
 def test_code_tokens_are_one_to_one(spark):
     words = spark.range(5000).select(models.code_token(F.col("id").cast("string"), F.col("id") % 2).alias("t"))
     assert words.distinct().count() == 5000
