@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from caseloom.llm import quotes
 from caseloom.llm.weak_rules import ACCURACY, HIGH, LOW, PRIOR, RULES
 from caseloom.llm.weak_rules import ROUNDS as EM_ROUNDS
 
@@ -95,4 +96,41 @@ SELECT page_id, octet_length(p.body)::BIGINT AS payload_bytes, sha1(p.body) AS p
 FROM p LEFT JOIN g ON p.body = g.body
 """
 
-ORACLES = {"op6_quality_rules": quality(), "op9_warc": WARC, "op4_exact_dedup": EXACT, "op10_mix": mix()}
+#: White space as the operator sees it, and a text normalised for comparison.
+_BLANK = r"[\t\n\x0B\f\r ]"
+_NORM = f"lower(trim(regexp_replace({{0}}, '{_BLANK}+', ' ', 'g'), ' '))"
+
+QUOTES = rf"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, string_split_regex(coalesce(text, ''), '\r?\n') AS lines
+    FROM conversations),
+l AS (SELECT rid, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM m),
+lv AS (SELECT rid, i, len(regexp_replace(regexp_extract(line, '{{QUOTED}}'), '[ \t]', '', 'g')) AS level,
+    regexp_replace(line, '{{QUOTED}} ?', '') AS bare FROM l),
+ch AS (SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY rid ORDER BY i) THEN 1 ELSE 0 END AS new FROM lv),
+bl AS (SELECT *, sum(new) OVER (PARTITION BY rid ORDER BY i) AS blk FROM ch),
+p AS (SELECT rid, blk, level, string_agg(bare, chr(10) ORDER BY i) AS text, count(*) AS n FROM bl GROUP BY rid, blk, level),
+own AS (SELECT rid, blk, regexp_replace(CASE WHEN lead(blk) OVER (PARTITION BY rid ORDER BY blk) IS NULL THEN text
+    ELSE regexp_replace(text, '{{INTRODUCED}}', '', 'g') END, '^{_BLANK}+|{_BLANK}+$', '', 'g') AS text, level FROM p),
+c AS (SELECT m.*, coalesce(b.content, '') AS content, coalesce(q.n, 0) AS n_quotes FROM m
+    LEFT JOIN (SELECT rid, string_agg(text, chr(10) ORDER BY blk) AS content FROM own WHERE level = 0 AND text <> '' GROUP BY rid) b USING (rid)
+    LEFT JOIN (SELECT rid, count(*) AS n FROM p WHERE level > 0 GROUP BY rid) q USING (rid)),
+u AS (SELECT conv_id, turn, unnest([content] || string_split_regex(content, '\n[ \t]*\n') || string_split(content, chr(10))) AS unit FROM c),
+f AS (SELECT conv_id, {_NORM.format('unit')} AS norm, min(turn) AS source FROM u WHERE {_NORM.format('unit')} <> '' GROUP BY ALL),
+k AS (SELECT rid, blk, level, true AS whole, {_NORM.format('text')} AS norm FROM p WHERE level > 0
+    UNION ALL SELECT rid, blk, level, false, {_NORM.format('bare')} FROM bl WHERE level > 0),
+links AS (SELECT m.conv_id, m.turn, level, blk, max(struct_pack(w := whole, c := len(k.norm), s := source)).s AS source
+    FROM k JOIN m USING (rid) JOIN f ON f.conv_id IS NOT DISTINCT FROM m.conv_id AND f.norm = k.norm
+    WHERE k.norm <> '' AND source < m.turn GROUP BY ALL),
+par AS (SELECT conv_id, turn, min(struct_pack(l := level, b := blk, s := source)).s AS parent FROM links GROUP BY ALL),
+walk AS (SELECT conv_id, turn, parent AS root, 1 AS depth FROM par
+    UNION ALL SELECT w.conv_id, w.turn, par.parent, w.depth + 1 FROM walk w
+    JOIN par ON par.conv_id IS NOT DISTINCT FROM w.conv_id AND par.turn = w.root),
+far AS (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM walk GROUP BY ALL)
+SELECT c.conv_id, c.turn, c.role, par.parent AS parent_turn, coalesce(far.root, c.turn) AS thread, coalesce(far.depth, 0) AS depth,
+    n_quotes, content, row_number() OVER (PARTITION BY c.conv_id
+        ORDER BY coalesce(far.root, c.turn) NULLS LAST, c.turn NULLS LAST, c.role NULLS FIRST, content) - 1 AS position
+FROM c LEFT JOIN par ON par.conv_id IS NOT DISTINCT FROM c.conv_id AND par.turn = c.turn
+LEFT JOIN far ON far.conv_id IS NOT DISTINCT FROM c.conv_id AND far.turn = c.turn
+""".replace("{QUOTED}", quotes.QUOTED).replace("{INTRODUCED}", quotes.INTRODUCED)
+
+ORACLES = {"op2_quotation_linking": QUOTES, "op6_quality_rules": quality(), "op9_warc": WARC, "op4_exact_dedup": EXACT, "op10_mix": mix()}

@@ -14,7 +14,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote, unquote
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +30,8 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:page-record")
 CHUNK = 1 << 20
+#: Characters that a target URI keeps; a URL with others is also stored as it was.
+PLAIN = "/:?#[]@!$&'()*+,;=~%"
 
 
 def digest(data: bytes) -> str:
@@ -56,7 +58,8 @@ def record(page: int | None, url: str | None, payload: bytes, place: int, revisi
             ("WARC-Type", "revisit" if revisits else "response"),
             ("WARC-Record-ID", record_id(page, sha, place)),
             ("WARC-Date", DATE),
-            ("WARC-Target-URI", None if url is None else quote(url, safe="/:?#[]@!$&'()*+,;=~%")),
+            ("WARC-Target-URI", None if url is None else quote(url, safe=PLAIN)),
+            ("WARC-Source-URL", None if url is None or quote(url, safe=PLAIN) == url else base64.b64encode(url.encode()).decode()),
             ("WARC-Page-ID", page),
             ("WARC-Profile", PROFILE if revisits else None),
             ("WARC-Refers-To", record_id(revisits[0], sha, 0) if revisits else None),
@@ -184,9 +187,11 @@ def parse(data: bytes) -> tuple:
     length = int(dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])["Content-Length"])
     number = {k: None if fields.get(k) in (None, "None") else int(fields[k]) for k in ("WARC-Page-ID", "WARC-Refers-To-Page-ID")}
     address = fields.get("WARC-Target-URI")
+    if "WARC-Source-URL" in fields:
+        address = base64.b64decode(fields["WARC-Source-URL"]).decode()
     return (
         number["WARC-Page-ID"],
-        None if address is None else unquote(address),
+        address,
         length,
         base64.b32decode(sha.removeprefix("sha1:")).hex(),
         kind,

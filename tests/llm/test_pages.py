@@ -70,8 +70,7 @@ def test_warc_payloads_and_urls(spark, odd_pages, tmp_path):
         record = found.get((r.page_id, hashlib.sha1(body).hexdigest()))
         if record:
             assert record.payload == body
-            if r.url != "http://de.com/de/x" and "%" not in (r.url or ""):
-                assert record.url in (r.url, "http://de.com/de/x")
+            assert record.url == r.url or record.page_id == 9  # 9 has two urls for one payload
 
 
 def test_warc_of_nothing(spark, odd_pages, tmp_path):

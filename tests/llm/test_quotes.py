@@ -1,9 +1,12 @@
 import random
 import re
 
+import duckdb
+import pyarrow as pa
+from oracle import differences
 from test_copies import assert_same
 
-from caseloom.llm import quotes
+from caseloom.llm import quotes, sql
 
 COLUMNS = ["conv_id", "position", "turn", "role", "parent_turn", "thread", "depth", "n_quotes", "content"]
 
@@ -82,6 +85,10 @@ def test_odd_messages(spark):
     ]
     found = quotes.reply_order(frame(spark, rows))
     assert_same(found.select(*COLUMNS).collect(), brute(rows))
+    connection = duckdb.connect()
+    data = pa.table({c: [r[i] for r in rows] for i, c in enumerate(["conv_id", "turn", "role", "text"])})
+    connection.register("conversations", data)
+    assert not differences(found, connection, sql.QUOTES)
     assert quotes.reply_order(frame(spark, rows).where("false")).count() == 0
 
 
