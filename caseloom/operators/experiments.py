@@ -132,7 +132,7 @@ def boosting(
     applied = encode.apply_target_means(only(codes, test), fitted, level, ["n"])
     test = assembled(test, applied, "encoded", positions, prior)
     parameters = {**models.BOOSTING, **(settings or {}), "trees": model.getNumTrees}
-    return Run(model, scored(model, test), original, train, parameters)
+    return Run(model, scored(model, test), original, train.where("NOT validation"), parameters)
 
 
 def network(

@@ -69,13 +69,14 @@ def narratives(
     """``(prompt, label)`` per encounter; procedures are described through ``dictionary``."""
     enc.require_columns(clean, [enc.SCORE_COLUMN, label])
     dx = F.array(*[F.col(c) for c in enc.DX_COLUMNS[:tier]]).alias("dx")
-    cpt = F.array(*[F.col(c) for c in enc.CPT_COLUMNS[:tier]])
+    cpt = F.array(*[F.col(c) for c in enc.CPT_COLUMNS[:tier]]).alias("cpts")
     # A row of its own for every code, so that one lookup serves all positions; rows come together again by their number.
     rows = clean.select(
         F.monotonically_increasing_id().alias("row"), F.col(enc.ID_COLUMN).alias("n"), dx,
-        F.col(enc.SCORE_COLUMN).alias("score"), F.col(label).cast("long").alias("label"), F.posexplode(cpt).alias("pos", "cpt"),
+        F.col(enc.SCORE_COLUMN).alias("score"), F.col(label).cast("long").alias("label"), cpt,
     )
-    named = describe_codes(materialize(rows), dictionary, "cpt", ["row", "pos"])
+    exploded = rows.select("row", "n", "dx", "score", "label", F.posexplode("cpts").alias("pos", "cpt"))
+    named = describe_codes(materialize(exploded), dictionary, "cpt", ["row", "pos"])
     listed = F.array_sort(F.collect_list(F.struct("pos", "description"))).alias("done")
     wide = named.groupBy("row", "n", "dx", "score", "label").agg(listed)
     text = narrative(F.col("dx"), F.col("score"), F.transform("done", lambda d: d["description"]))
