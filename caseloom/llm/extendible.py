@@ -264,6 +264,7 @@ def drop_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     index = build_index(docs, id, text)
     stays = look_up(docs, index, id, text).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     stays = materialize(stays.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct())
+    stays = stays.hint("merge")  # the same plan at every size
     sha = fresh(docs.columns, "sha")
     hashed = docs.withColumn(sha, F.sha2(lower_ascii(F.col(text)), 256))
     if not index.where("n_top > 1").isEmpty():

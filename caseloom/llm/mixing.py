@@ -82,7 +82,7 @@ def emit(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     sized = docs.withColumn(size, F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long"))
     if not taken.where("rows > 1").isEmpty():
         sized = sized.dropDuplicates([id, source, size])
-    chosen = taken.where("copies > 0").toDF("__id", "__source", "__size", "__copies", "__rows")
+    chosen = taken.where("copies > 0").toDF("__id", "__source", "__size", "__copies", "__rows").hint("merge")
     met = sized.join(chosen, same(sized, chosen, {id: "__id", source: "__source", size: "__size"}))
     times = F.explode(F.sequence(F.lit(1).cast("long"), chosen["__copies"])).alias(copy)
     return met.select(*columns(sized)[: len(docs.columns)], times).drop(copy)

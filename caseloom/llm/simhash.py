@@ -175,5 +175,6 @@ def one_per_group(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     """The rows of ``docs`` that have the smallest id of their component; of rows with the same id, one."""
     stays = near_copies(docs, id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stays = materialize(stays.groupBy("doc_id").agg(F.count("*").alias("rows")).toDF("__id", "__rows"))
+    stays = stays.hint("merge")  # the same plan at every size
     kept = docs.join(stays, same(docs, stays, {id: "__id"}), "left_semi")
     return kept if stays.where("__rows > 1").isEmpty() else kept.dropDuplicates([id])
