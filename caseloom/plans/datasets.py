@@ -29,7 +29,7 @@ def narrative_csv(spark: SparkSession, folder: str) -> DataFrame:
 
 def encounter_csv(spark: SparkSession, folder: str) -> DataFrame:
     """Wide encounters with raw codes written as CSV, scanned with the lenient schema, stored, scanned again, in long form."""
-    names = {name: ("dx", i) for i, name in enumerate(enc.DX_COLUMNS[:20], 1)}
+    names = {name: ("dx", i) for i, name in enumerate(enc.DX_COLUMNS, 1)}
     names |= {name: ("cpt", i) for i, name in enumerate(enc.CPT_COLUMNS, 1)}
     wide = enc.widen(views.positioned_codes(spark, folder, len(enc.CPT_COLUMNS)), "n", names)
     padded = [F.concat(F.lit(" "), F.col(c), F.lit(" ")).alias(c) for c in names]
