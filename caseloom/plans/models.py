@@ -16,9 +16,6 @@ from caseloom.session import materialize
 
 RICH = (34, 100)
 LIMITED = (5, 5)
-SMALL_GRID = {"numTrees": [10, 20], "maxDepth": [5]}
-SMALL_BOOSTING = {"maxIter": 10}
-SMALL_NETWORK = {"hidden": [16, 8], "epochs": 15, "embedding": 16}
 
 
 def model_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,9 +34,19 @@ def code_features(spark: SparkSession, folder: str, tier: tuple[int, int]) -> Da
     return materialize(codes.select("n", F.inline(both)).where("used AND code IS NOT NULL").drop("used"))
 
 
-def _forest(spark: SparkSession, folder: str, tier: tuple[int, int], grid: dict) -> experiments.Run:
-    rows, codes = model_rows(spark, folder), code_features(spark, folder, tier)
-    return experiments.forest(rows, codes, sum(tier), BALANCED_SIZE, grid)
+def _forest(spark: SparkSession, folder: str, tier: tuple[int, int]) -> experiments.Run:
+    """The forest of a tier, searched once per application and folder: predictions and importances share it."""
+    key = (spark.sparkContext.applicationId, tier, folder)
+    if key not in _FORESTS:
+        rows, codes = model_rows(spark, folder), code_features(spark, folder, tier)
+        _FORESTS[key] = experiments.forest(rows, codes, sum(tier), BALANCED_SIZE)
+    return _FORESTS[key]
+
+
+def _importances(spark: SparkSession, folder: str, tier: tuple[int, int]) -> DataFrame:
+    dx, cpt = tier
+    names = ["score", *[f"dx{i}" for i in range(1, dx + 1)], *[f"cpt{i}" for i in range(1, cpt + 1)]]
+    return models.importances(_forest(spark, folder, tier).model, names)
 
 
 def _stored(name: str, run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -56,26 +63,25 @@ def _stored(name: str, run: Callable[[SparkSession, str], DataFrame]) -> Callabl
 
 
 _TABLES: dict[tuple[str, str, str], DataFrame] = {}
+_FORESTS: dict[tuple[str, tuple[int, int], str], experiments.Run] = {}
 
 
 def _rf_cv(spark: SparkSession, folder: str) -> DataFrame:
-    return _forest(spark, folder, RICH, SMALL_GRID).scored
+    return _forest(spark, folder, RICH).scored
 
 
 def _feature_importance(spark: SparkSession, folder: str) -> DataFrame:
-    run = _forest(spark, folder, LIMITED, {"numTrees": [10], "maxDepth": [5]})
-    names = ["score", *[f"dx{i}" for i in range(1, 6)], *[f"cpt{i}" for i in range(1, 6)]]
-    return models.importances(run.model, names)
+    return _importances(spark, folder, RICH)
 
 
 def _gbt(spark: SparkSession, folder: str) -> DataFrame:
     rows, codes = model_rows(spark, folder), code_features(spark, folder, RICH)
-    return experiments.boosting(rows, codes, sum(RICH), BALANCED_SIZE, SMALL_BOOSTING).scored
+    return experiments.boosting(rows, codes, sum(RICH), BALANCED_SIZE).scored
 
 
 def _mlp(spark: SparkSession, folder: str) -> DataFrame:
     rows, codes = model_rows(spark, folder), code_features(spark, folder, LIMITED)
-    return experiments.network(rows, codes, BALANCED_SIZE, SMALL_NETWORK).scored
+    return experiments.network(rows, codes, BALANCED_SIZE).scored
 
 
 def _text_classifier(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,8 +108,8 @@ def checked(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 def importance_check(spark: SparkSession, folder: str) -> DataFrame:
-    """Features with an importance, and whether all of them are at least 0 and add up to 1."""
-    found = feature_importance(spark, folder).agg(
+    """Features with an importance in the limited tier, and whether all of them are at least 0 and add up to 1."""
+    found = _importances(spark, folder, LIMITED).agg(
         F.count("*").alias("features"), F.sum("importance").alias("total"), F.min("importance").alias("least")
     )
     return found.select("features", ((F.abs(F.col("total") - 1) < 1e-6) & (F.col("least") >= 0)).alias("valid"))
