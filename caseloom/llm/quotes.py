@@ -1,8 +1,8 @@
 """Quotation linking: which message a quote comes from, and conversations in reply order without the quotes.
 
-Lines that begin with ``>`` are quoted, once per sign. Adjacent lines of one level form a passage. Passages, and their lines,
-are normalised and hashed, and joined to the first message of the conversation that has them as own text: its whole body, a
-paragraph or a line. The message that the outermost passage comes from is the one replied to. DataFrame functions only.
+Lines that begin with ``>`` are quoted, once per sign. Adjacent lines of one level form a passage. Passages, their paragraphs
+and their lines are normalised and hashed, and joined to the first message of the conversation that has them as own text: its
+whole body, a paragraph or a line. The message that the outermost passage comes from is the one replied to. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from caseloom.llm.common import positions, same
 from caseloom.session import materialize
 
+PARAGRAPHS = r"\n[ \t]*\n"
 QUOTED = r"^(?:[ \t]*>)+"
 #: A line that introduces a quote and is none of the author's text.
 INTRODUCED = r"(?:^|\n)[^\n]*\b(?:wrote|writes|schrieb|a écrit|escribió)[ \t]*:\s*$"
@@ -74,24 +75,29 @@ def parse(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 def link(parsed: DataFrame) -> DataFrame:
     """``conv_id, turn, passage, level, source_turn``: the earlier message that each quoted passage comes from.
 
-    Of what is found, the whole passage goes before a line, a longer line before a shorter one, a later message before an
-    earlier one. Texts that are said again and again count for the message that said them first, so the right side of the
+    Of what is found, the whole passage goes before a paragraph and that before a line, a longer one before a shorter one, a
+    later message before an earlier one. Texts that are said again and again count for the message that said them first, so the right side of the
     join has one row per text and no group of equal lines is multiplied.
     """
     content = F.col("content")
     units = F.array_distinct(
-        F.concat(F.array(content), F.split(content, r"\n[ \t]*\n"), F.split(content, "\n"))
+        F.concat(F.array(content), F.split(content, PARAGRAPHS), F.split(content, "\n"))
     )
     said = parsed.select("conv_id", "turn", F.explode(hashes(units)).alias("unit"))
     first = said.groupBy("conv_id", F.col("unit.hash").alias("hash")).agg(F.min("turn").alias("source_turn"))
     first = first.toDF("__conv", "__hash", "source_turn")
     quotes = parsed.select("conv_id", "turn", F.posexplode("passages").alias("passage", "p"))
-    whole = F.transform(hashes(F.array("p.text")), lambda u: F.struct(F.lit(True).alias("whole"), u.alias("unit")))
-    lines = F.transform(hashes(F.split("p.text", "\n")), lambda u: F.struct(F.lit(False).alias("whole"), u.alias("unit")))
-    asked = quotes.select("conv_id", "turn", "passage", F.col("p.level").alias("level"), F.inline(F.concat(whole, lines)))
-    asked = asked.select("conv_id", "turn", "passage", "level", "whole", F.col("unit.chars").alias("chars"), F.col("unit.hash").alias("hash"))
+    paragraphs = F.split("p.text", PARAGRAPHS)
+
+    def ranked(rank: int, units: Column) -> Column:
+        return F.transform(hashes(units), lambda h: F.struct(F.lit(rank).alias("rank"), h.alias("unit")))
+
+    several = F.when(F.size(paragraphs) > 1, paragraphs).otherwise(F.array().cast("array<string>"))  # one is the whole passage
+    looked = F.concat(ranked(2, F.array("p.text")), ranked(1, several), ranked(0, F.split("p.text", "\n")))
+    asked = quotes.select("conv_id", "turn", "passage", F.col("p.level").alias("level"), F.inline(looked))
+    asked = asked.select("conv_id", "turn", "passage", "level", "rank", F.col("unit.chars").alias("chars"), F.col("unit.hash").alias("hash"))
     met = asked.join(first, same(asked, first, {"conv_id": "__conv", "hash": "__hash"})).where("source_turn < turn")
-    best = F.max(F.struct("whole", "chars", "source_turn")).getField("source_turn")
+    best = F.max(F.struct("rank", "chars", "source_turn")).getField("source_turn")
     return met.groupBy("conv_id", "turn", "passage", "level").agg(best.alias("source_turn"))
 
 
