@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 10_000
 MAX_TEXT_BUCKETS = 1_000
 
 
@@ -52,7 +51,7 @@ def value_bucket(
     df: DataFrame, value: str, out: str = "_bucket", rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Add an order-preserving bucket of a numeric column, about ``rows_per_bucket`` rows each."""
-    buckets = min(MAX_BUCKETS, df.count() // rows_per_bucket)
+    buckets = df.count() // rows_per_bucket
     if buckets < 2:
         return df.withColumn(out, F.lit(0.0))
     shares = [i / buckets for i in range(1, buckets)]
