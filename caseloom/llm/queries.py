@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from caseloom.llm import (
     bit_planes,
     extendible,
+    filter_audit,
+    forced_bpe,
     mixing,
     piece_viterbi,
     quotes,
@@ -79,6 +81,19 @@ def op10_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op11_forced_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    found = forced_bpe.encode(table(spark, folder, "documents"), decoded=True)
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quotation_linking": op2_quotation_linking,
@@ -90,4 +105,6 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
     "op10_mix": op10_mix,
+    "op11_forced_bpe": op11_forced_bpe,
+    "op12_filter_audit": op12_filter_audit,
 }

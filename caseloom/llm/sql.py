@@ -133,4 +133,35 @@ FROM c LEFT JOIN par ON par.conv_id IS NOT DISTINCT FROM c.conv_id AND par.turn
 LEFT JOIN far ON far.conv_id IS NOT DISTINCT FROM c.conv_id AND far.turn = c.turn
 """.replace("{QUOTED}", quotes.QUOTED).replace("{INTRODUCED}", quotes.INTRODUCED)
 
-ORACLES = {"op2_quotation_linking": QUOTES, "op6_quality_rules": quality(), "op9_warc": WARC, "op4_exact_dedup": EXACT, "op10_mix": mix()}
+#: Filters row by row and order by order, without masks or counts of masks.
+AUDIT = f"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body,
+    regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+l AS (SELECT doc_id, bool_or(quality IS NOT DISTINCT FROM 1) AS good, bool_or(toxic IS NOT DISTINCT FROM 1) AS toxic
+    FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (SELECT t.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    [x.f FOR x IN [{{'f': 'A', 'b': len(w) < 200}}, {{'f': 'B', 'b': 100 * len(list_distinct(w)) < 50 * len(w)}},
+        {{'f': 'C', 'b': 100 * len(regexp_replace(body, '[^A-Z]', '', 'g')) > 3 * length(body)}},
+        {{'f': 'D', 'b': regexp_matches(body, '[#$%&*|]')}},
+        {{'f': 'E', 'b': coalesce(min(t.doc_id) OVER (PARTITION BY body) < t.doc_id, t.doc_id IS NULL
+            AND min(t.doc_id) OVER (PARTITION BY body) IS NOT NULL)}}] IF x.b] AS fails
+    FROM t LEFT JOIN l ON l.doc_id = t.doc_id),
+c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM c a, c b, c, c d, c e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS own, string_split(substr(filter_order, 1, step - 1), '') AS earlier
+    FROM o, (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS step)),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY ALL),
+r AS (SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (NOT list_contains(fails, own) AND NOT list_has_any(fails, earlier)), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (list_contains(fails, own) AND NOT list_has_any(fails, earlier)), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (list_contains(fails, own) AND list_has_any(fails, earlier)), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails = [own]), 0)::BIGINT AS unique_fails,
+    coalesce(sum(g) FILTER (list_contains(fails, own) AND NOT list_has_any(fails, earlier)), 0)::BIGINT AS good_lost,
+    coalesce(sum(x) FILTER (list_contains(fails, own) AND NOT list_has_any(fails, earlier)), 0)::BIGINT AS toxic_lost
+    FROM g, s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM r
+"""
+
+ORACLES = {"op2_quotation_linking": QUOTES, "op6_quality_rules": quality(), "op9_warc": WARC, "op4_exact_dedup": EXACT, "op10_mix": mix(), "op12_filter_audit": AUDIT}

@@ -7,28 +7,41 @@ import os
 import re
 from collections.abc import Callable, Iterable
 from itertools import filterfalse
+from sys import getsizeof
 
 #: What Unicode calls white space, as tokenizers' patterns do; Python's own class has four more.
 SPACE = " \t\n\x0b\x0c\r\x85\xa0  -     　"
 #: White space and the run after it. Token patterns never join a character to white space that follows it.
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Units that a worker remembers; it starts anew beyond them.
-REMEMBERED = 1_500_000
+#: Bytes of units and values that a worker remembers, the dictionary's own included; it starts anew beyond them.
+REMEMBERED = 100 << 20
+#: Longer units are worked out each time: without white space a unit may be a whole text.
+LONGEST = 64
+#: Bytes of a dictionary entry beside its key and value.
+ENTRY = 100
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
+def entry_bytes(unit: str, value: object) -> int:
+    return ENTRY + getsizeof(unit) + getsizeof(value)
+
+
 class Memory(dict):
-    """A dictionary that makes missing values and forgets all of them beyond ``REMEMBERED``."""
+    """A dictionary that makes missing values, keeps those of short units, and forgets all beyond ``REMEMBERED`` bytes."""
 
     def __init__(self, make: Callable) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.held = make, 0
 
     def __missing__(self, unit: str):
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[unit] = self.make(unit)
+        value = self.make(unit)
+        if len(unit) <= LONGEST:
+            if self.held > REMEMBERED:
+                self.clear()
+                self.held = 0
+            self[unit] = value
+            self.held += entry_bytes(unit, value)
         return value
 
 
