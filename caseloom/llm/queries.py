@@ -17,6 +17,7 @@ from caseloom.llm import (
     quotes,
     simhash,
     token_counts,
+    turn_repair,
     url_filter,
     warc,
     weak_rules,
@@ -94,6 +95,10 @@ def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op13_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_repair.report(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quotation_linking": op2_quotation_linking,
@@ -107,4 +112,5 @@ QUERIES = {
     "op10_mix": op10_mix,
     "op11_forced_bpe": op11_forced_bpe,
     "op12_filter_audit": op12_filter_audit,
+    "op13_turn_repair": op13_turn_repair,
 }
