@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import pairwise
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,11 @@ from caseloom.llm.text_units import Memory, loaded
 TOKENIZER = "word_bpe_49k.json"
 #: The word pattern of the public tokenizer; nothing it keeps holds or looks at white space.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The same pattern over printable ASCII in lower case, without white space.
-ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Printable characters up to U+017F: none composes with another, lower case is one rule, and classes never changed.
+LATIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017e]+")
+_KINDS = {k: "".join(c for c in map(chr, range(0xA1, 0x180)) if category(c)[0] == k) for k in "LN"}
+#: The word pattern over these characters, in lower case.
+LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_KINDS['L']}]+|[0-9{_KINDS['N']}]|[^a-z0-9{_KINDS['L']}{_KINDS['N']}]+")
 SPACES = "\t\n\x0b\x0c\r "
 #: Symbols up to which the best pair of a fragment is searched by a scan.
 SHORT = 48
@@ -79,9 +84,12 @@ class ForcedBpe:
             left, right = merge if isinstance(merge, list) else merge.split(" ")
             key = self.vocabulary[left] << self.width | self.vocabulary[right]
             self.ranks.setdefault(key, rank << self.width | self.vocabulary[left + right])
+        self.none = len(self.ranks) + 1 << self.width
         self.by_unit = self.independent(parts)
-        self.kind = "<u2" if len(self.names) <= 1 << 16 else "<u4"
+        self.kind = "H" if len(self.names) <= 1 << 16 else "I"
         self.lowers = self.by_unit and "Lowercase" in json.dumps(parts["normalizer"])
+        spell = self.library.pre_tokenizer.pre_tokenize_str
+        self.spelled = {c: "".join(w for w, _ in spell(chr(c))) for c in range(0xA1, 0x180)} if self.lowers else {}
         self.memory, self.words = Memory(self.unit), Memory(self.word)
         self.listed = np.array(self.names, dtype=object)
 
@@ -111,32 +119,34 @@ class ForcedBpe:
             inside.update(found)
         return inside, final if self.end else inside
 
-    def fragments(self, word: str) -> Iterator[list[int]]:
+    def fragments(self, word: str) -> list[list[int]]:
         """The symbols of a word (its bytes as the vocabulary writes them), cut at the certain boundaries."""
-        ids, part, last = self.vocabulary, [], len(word) - 1
-        for i, symbol in enumerate(word):
-            if part and word[i - 1 : i + 1] not in (self.final if i == last else self.inside):
-                yield part
-                part = []
-            part.append(ids[symbol + self.end if i == last else symbol])
-        if part:
-            yield part
+        vocabulary, inside = self.vocabulary, self.inside
+        ids = [vocabulary[symbol] for symbol in word]
+        ids[-1] = vocabulary[word[-1] + self.end]
+        cuts = [i for i in range(1, len(word) - 1) if word[i - 1 : i + 1] not in inside]
+        if len(word) > 1 and word[-2:] not in self.final:
+            cuts.append(len(word) - 1)
+        return [ids[a:b] for a, b in pairwise([0, *cuts, len(word)])]
 
     def merged(self, ids: list[int]) -> list[int]:
         """Merge always the pair of the lowest rank, the leftmost among equals, until no pair has a rank."""
         if len(ids) > SHORT:
             return self.merged_by_heap(ids)
-        width, ranks = self.width, self.ranks
-        mask = (1 << width) - 1
-        while len(ids) > 1:
-            best, at = None, 0
-            for i in range(len(ids) - 1):
-                found = ranks.get(ids[i] << width | ids[i + 1])
-                if found is not None and (best is None or found < best):
-                    best, at = found, i
-            if best is None:
+        width, rank, none = self.width, self.ranks.get, self.none
+        found = [rank(a << width | b, none) for a, b in pairwise(ids)]
+        while found:
+            best = min(found)
+            if best == none:
                 break
-            ids[at : at + 2] = [best & mask]
+            at = found.index(best)
+            id = best & ((1 << width) - 1)
+            ids[at : at + 2] = [id]
+            del found[at]
+            if at:
+                found[at - 1] = rank(ids[at - 1] << width | id, none)
+            if at < len(found):
+                found[at] = rank(id << width | ids[at + 1], none)
         return ids
 
     def merged_by_heap(self, ids: list[int]) -> list[int]:
@@ -158,27 +168,27 @@ class ForcedBpe:
                     heappush(heap, (rank, a))
         return [id for id in ids if id >= 0]
 
-    def plain(self, text: str) -> list[int]:
-        """The ids of a text without added tokens; normaliser and word pattern are the library's own beyond ASCII."""
-        if self.lowers and text.isascii() and text.isprintable():
-            words = ASCII_WORDS.findall(text.lower())
+    def plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens; normaliser and word pattern are the library's own beyond Latin letters."""
+        if self.lowers and LATIN.fullmatch(text):
+            words = [w.translate(self.spelled) for w in LATIN_WORDS.findall(text.lower())]
         else:
             body = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
             words = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(body)] if body else []
         memory = self.words
-        return [id for word in words for id in memory[word]]
+        return b"".join([memory[word] for word in words])
+
+    def word(self, word: str) -> bytes:
+        return self.packed([id for part in self.fragments(word) for id in self.merged(part)])
 
-    def word(self, word: str) -> tuple[int, ...]:
-        return tuple([id for part in self.fragments(word) for id in self.merged(part)])
+    def packed(self, ids: list[int]) -> bytes:
+        return array(self.kind, ids).tobytes()
 
     def unit(self, text: str) -> bytes:
-        ids = []
-        for i, part in enumerate(self.specials.split(text) if self.specials else [text]):
-            if i % 2:
-                ids.append(self.added[part])
-            elif part:
-                ids += self.plain(part)
-        return np.array(ids, self.kind).tobytes()
+        if self.specials is None or not self.specials.search(text):
+            return self.plain(text)
+        parts = enumerate(self.specials.split(text))
+        return b"".join([self.packed([self.added[p]]) if i % 2 else self.plain(p) for i, p in parts])
 
     def encode(self, text: str) -> np.ndarray:
         if not self.by_unit:

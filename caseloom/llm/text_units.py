@@ -13,8 +13,8 @@ from sys import getsizeof
 SPACE = " \t\n\x0b\x0c\r\x85\xa0  -     　"
 #: White space and the run after it. Token patterns never join a character to white space that follows it.
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Bytes of units and values that a worker remembers, the dictionary's own included; it starts anew beyond them.
-REMEMBERED = 100 << 20
+#: Bytes of units and values that a worker remembers, the dictionary's own included; the least used are forgotten beyond them.
+REMEMBERED = 128 << 20
 #: Longer units are worked out each time: without white space a unit may be a whole text.
 LONGEST = 64
 #: Bytes of a dictionary entry beside its key and value.
@@ -28,16 +28,23 @@ def entry_bytes(unit: str, value: object) -> int:
 
 
 class Memory(dict):
-    """A dictionary that makes missing values, keeps those of short units, and forgets all beyond ``REMEMBERED`` bytes."""
+    """A dictionary that makes missing values and keeps those of short units, at most ``REMEMBERED`` bytes of them.
+
+    Half of the bytes belong to the units asked for since the last change of halves, half to those before; what is asked for
+    again moves over, the rest is forgotten.
+    """
 
     def __init__(self, make: Callable) -> None:
         super().__init__()
-        self.make, self.held = make, 0
+        self.make, self.older, self.held = make, {}, 0
 
     def __missing__(self, unit: str):
-        value = self.make(unit)
+        value = self.older.get(unit)
+        if value is None:
+            value = self.make(unit)
         if len(unit) <= LONGEST:
-            if self.held > REMEMBERED:
+            if 2 * self.held > REMEMBERED:
+                self.older = dict(self)
                 self.clear()
                 self.held = 0
             self[unit] = value

@@ -100,11 +100,13 @@ def test_query_and_odd_rows(spark, folder, documents, odd_documents, no_document
 def test_memory_is_bounded_by_bytes(bpe, monkeypatch):
     """Texts without white space are not remembered, and short units are forgotten beyond the bound."""
     bpe.memory.clear()
+    bpe.words.clear()
     for i in range(200):
         bpe.encode("".join(chr(0x4E00 + (i * 37 + k * k) % 20000) for k in range(3000)))
-    assert not bpe.memory
+    assert not bpe.memory and not bpe.words
     monkeypatch.setattr(text_units, "REMEMBERED", 100_000)
     bpe.memory.held = 0
+    bpe.memory.older = {}
     for i in range(5000):
         bpe.encode(f"w{i}")
-    assert bpe.memory.held < 101_000 and len(bpe.memory) < 1000
+    assert bpe.memory.held < 51_000 and len(bpe.memory) + len(bpe.memory.older) < 1000
