@@ -31,6 +31,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def text_digest(text: str) -> Column:
+    """SHA-256 of a text; NULL and the empty text, which are the same document, have the same."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+
+
 def fresh(taken: Iterable[str], name: str) -> str:
     """A column name that clashes with none of ``taken``, whatever its case."""
     used = {c.lower() for c in taken}
@@ -131,3 +136,14 @@ def positions(df: DataFrame, group: list[str], order: list[Column], out: str) ->
     heads = heads.toDF("__part", *[f"__group{i}" for i in range(len(group))], start)
     met = same(marked, heads, {part: "__part", **{c: f"__group{i}" for i, c in enumerate(group)}})
     return marked.join(heads, met).select(*columns(marked)[: len(df.columns)], (marked[place] + heads[start]).alias(out))
+
+
+def one_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of every key, NULL a key like others: of several the one whose columns have the least hash.
+
+    The choice depends on the rows alone, not on their order or partitions; a key with many rows is reduced in every task.
+    Maps have no hash and are left out of it.
+    """
+    hashed = [c for c, kind in zip(columns(rows), rows.dtypes, strict=True) if "map<" not in kind[1]]
+    least = F.min_by(F.struct(*columns(rows)), F.struct(F.xxhash64(*hashed), F.hash(*hashed))).alias("__row")
+    return rows.groupBy(*[rows[f"`{k}`"] for k in keys]).agg(least).select("__row.*")

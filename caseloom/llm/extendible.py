@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from caseloom.llm.common import arrow_map, columns, fresh, lower_ascii, same, shuffle_partitions
+from caseloom.llm.common import arrow_map, columns, fresh, lower_ascii, one_of_each, same, shuffle_partitions
 from caseloom.session import materialize
 
 #: Entries of a bucket before it splits.
@@ -260,16 +260,20 @@ def exact_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", capaci
 
 
 def drop_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one per distinct text, unchanged."""
+    """The rows of ``docs`` that stay, one per distinct text, unchanged.
+
+    Of rows that share the staying id and the text, ``one_of_each`` names the one.
+    """
     index = build_index(docs, id, text)
     stays = look_up(docs, index, id, text).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     stays = materialize(stays.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct())
     stays = stays.hint("merge")  # the same plan at every size
     sha = fresh(docs.columns, "sha")
     hashed = docs.withColumn(sha, F.sha2(lower_ascii(F.col(text)), 256))
-    if not index.where("n_top > 1").isEmpty():
-        hashed = hashed.dropDuplicates([id, sha])
-    elif index.agg(F.sum("group_size")).first()[0] == docs.select(id).distinct().count():
+    repeated = not index.where("n_top > 1").isEmpty()
+    if not repeated and index.agg(F.sum("group_size")).first()[0] == docs.select(id).distinct().count():
         return docs.join(stays, same(docs, stays, {id: "__id"}), "left_semi")  # ids name rows
     kept = hashed.join(stays, same(hashed, stays, {id: "__id", sha: "__sha"}), "left_semi")
+    if repeated:
+        kept = one_of_each(kept, [id, sha])
     return kept.select(*columns(kept)[: len(docs.columns)])

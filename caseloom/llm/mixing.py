@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import WORD, columns, fresh, positions, same
+from caseloom.llm.common import WORD, columns, fresh, one_of_each, positions, same, text_digest
 from caseloom.session import materialize
 
 #: Most copies of a document on average, and so the highest target of a source as a multiple of its size.
@@ -48,25 +48,30 @@ def source_targets(sources: DataFrame, most: int = MOST, cycle: int = CYCLE) ->
     return weighed.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 1) -> DataFrame:
+def mix(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 1, digest: bool = False
+) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, source, size, source_size, target, copies, taken``.
 
     Within a source documents stand by size, largest first, then by id. The copies before any point then differ from
     their expectation by less than one, so the words taken differ from the target by less than the longest document.
     ``copies`` is at most ``MOST``. NULL texts have size 0; NULL sources form one source; equal rows count one by one.
-    An empty table gives no rows. Other columns are not read.
+    An empty table gives no rows. Other columns are not read. With ``digest`` rows have ``sha``, the SHA-256 of their text,
+    which also orders rows of the same source, size and id.
     """
     size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-    rows = materialize(docs.select(F.col(id).alias("doc_id"), F.col(source).alias("source"), size.alias("size")))
+    sha = [text_digest(text).alias("sha")] if digest else []
+    rows = materialize(docs.select(F.col(id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), *sha))
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     targets = targets.withColumnRenamed("source", "__source")
-    placed = positions(rows, ["source"], [F.col("size").desc(), F.col("doc_id").asc()], "__place")
+    last = ["sha"] if digest else []
+    placed = positions(rows, ["source"], [F.col("size").desc(), F.col("doc_id").asc(), *map(F.col, last)], "__place")
     # One row per source on the right: hot sources are split by adaptive execution on the left.
     joined = placed.join(targets, placed["source"].eqNullSafe(targets["__source"]))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     shift = offset(F.col("source"), seed)
     copies = F.floor((F.col("__place") + 1) * each + shift) - F.floor(F.col("__place") * each + shift)
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies")).withColumn(
+    return joined.select("doc_id", "source", "size", "source_size", "target", *last, copies.alias("copies")).withColumn(
         "taken", F.col("copies") * F.col("size")
     )
 
@@ -74,15 +79,16 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
 def emit(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 1) -> DataFrame:
     """The mixed table: the rows of ``docs``, each as often as ``mix`` takes it.
 
-    Rows that share id, source and size are one document: one of them is emitted as often as all of them together.
+    Rows that share id, source and text are one document: the one that ``one_of_each`` names is emitted as often as all of
+    them together. Other texts of the same id are documents of their own.
     """
-    taken = mix(docs, id, text, source, seed).groupBy("doc_id", "source", "size")
+    taken = mix(docs, id, text, source, seed, digest=True).groupBy("doc_id", "source", "sha")
     taken = materialize(taken.agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")))
-    size, copy = fresh(docs.columns, "size"), fresh(docs.columns, "copy")
-    sized = docs.withColumn(size, F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long"))
+    sha, copy = fresh(docs.columns, "sha"), fresh(docs.columns, "copy")
+    hashed = docs.withColumn(sha, text_digest(text))
     if not taken.where("rows > 1").isEmpty():
-        sized = sized.dropDuplicates([id, source, size])
-    chosen = taken.where("copies > 0").toDF("__id", "__source", "__size", "__copies", "__rows").hint("merge")
-    met = sized.join(chosen, same(sized, chosen, {id: "__id", source: "__source", size: "__size"}))
+        hashed = one_of_each(hashed, [id, source, sha])
+    chosen = taken.where("copies > 0").toDF("__id", "__source", "__sha", "__copies", "__rows").hint("merge")
+    met = hashed.join(chosen, same(hashed, chosen, {id: "__id", source: "__source", sha: "__sha"}))
     times = F.explode(F.sequence(F.lit(1).cast("long"), chosen["__copies"])).alias(copy)
-    return met.select(*columns(sized)[: len(docs.columns)], times).drop(copy)
+    return met.select(*columns(hashed)[: len(docs.columns)], times).drop(copy)

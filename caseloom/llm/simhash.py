@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import arrow_map, same
+from caseloom.llm.common import arrow_map, columns, fresh, one_of_each, same, text_digest
 from caseloom.llm.graph import components
 from caseloom.session import materialize
 
@@ -58,18 +58,21 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` per row, computed from whole texts; NULL counts as empty."""
+def fingerprints(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, digest: bool = False
+) -> DataFrame:
+    """``doc_id, fp`` per row, computed from whole texts; NULL counts as empty. With ``digest`` also ``sha`` of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies = batch.column(1).cast(pa.binary()).to_pylist()
             found = pa.array([fingerprint(b or b"", shingle) for b in bodies], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["doc_id", "fp"])
+            kept = batch.columns[2:]
+            yield pa.RecordBatch.from_arrays([batch.column(0), found, *kept], names=["doc_id", "fp", "sha"][: 2 + len(kept)])
 
     kind = docs.schema[id].dataType.simpleString()
-    texts = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    return arrow_map(texts, run, f"doc_id {kind}, fp long")
+    texts = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), *([text_digest(text).alias("sha")] if digest else []))
+    return arrow_map(texts, run, f"doc_id {kind}, fp long" + (", sha binary" if digest else ""))
 
 
 def cut(rows: DataFrame, width: int) -> DataFrame:
@@ -162,19 +165,37 @@ def near_copies(
     are linked like any other. NULL ids name no component while another id is there. An empty table gives no rows.
     """
     rows = materialize(fingerprints(docs, id, text, shingle))
+    names = groups(rows, distance, group).select(F.col("fp").alias("__fp"), "component_id")
+    return rows.join(names, rows["fp"] == names["__fp"]).select("doc_id", "fp", "component_id")
+
+
+def groups(rows: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
+    """``fp, root, component_id`` of every distinct fingerprint: the group's smallest fingerprint, and its smallest id."""
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(prints, distance, group)).toDF("__fp", "__root")
     rooted = prints.join(roots, prints["fp"] == roots["__fp"], "left")
     rooted = rooted.select("fp", "least", F.coalesce("__root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = materialize(rooted.join(named, "root").select(F.col("fp").alias("__fp"), "component_id"))
-    return rows.join(names, rows["fp"] == names["__fp"]).select("doc_id", "fp", "component_id")
+    return materialize(rooted.join(named, "root").select("fp", "root", "component_id"))
 
 
 def one_per_group(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that have the smallest id of their component; of rows with the same id, one."""
-    stays = near_copies(docs, id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = materialize(stays.groupBy("doc_id").agg(F.count("*").alias("rows")).toDF("__id", "__rows"))
-    stays = stays.hint("merge")  # the same plan at every size
-    kept = docs.join(stays, same(docs, stays, {id: "__id"}), "left_semi")
-    return kept if stays.where("__rows > 1").isEmpty() else kept.dropDuplicates([id])
+    """The rows of ``docs`` that stay, unchanged: one of each group, whatever ids repeat.
+
+    The smallest id of a group stays, NULL last; of rows with that id the one whose text has the least digest; of rows that
+    share id and text the one that ``one_of_each`` names.
+    """
+    rows = materialize(fingerprints(docs, id, text, digest=True))
+    names = groups(rows).select(F.col("fp").alias("__fp"), "root")
+    rooted = rows.join(names, rows["fp"] == names["__fp"]).select("root", "doc_id", "sha")
+    # Rows that repeat a document are counted per task first; the least document of each group is then one row.
+    listed = rooted.groupBy("root", "doc_id", "sha").agg(F.count("*").alias("rows"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha", "rows")).alias("least")
+    stays = materialize(listed.groupBy("root").agg(least).select("least.doc_id", "least.sha", "least.rows"))
+    chosen = stays.toDF("__id", "__sha", "__rows").hint("merge")  # the same plan at every size
+    sha = fresh(docs.columns, "sha")
+    hashed = docs.withColumn(sha, text_digest(text))
+    kept = hashed.join(chosen, same(hashed, chosen, {id: "__id", sha: "__sha"}), "left_semi")
+    if not stays.where("rows > 1").isEmpty():
+        kept = one_of_each(kept, [id, sha])
+    return kept.select(*columns(kept)[: len(docs.columns)])
