@@ -12,7 +12,7 @@ from pyspark.ml import Model, Pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.operators import encode, evaluate, models, sampling
+from caseloom.operators import boosted, encode, evaluate, models, sampling
 from caseloom.session import materialize
 
 NO_CODE = -2.0
@@ -113,7 +113,7 @@ def boosting(
 ) -> Run:
     """Boosted trees on target-encoded codes: out-of-fold means for training rows, all training rows for test rows.
 
-    A stratified slice of the training encounters decides when to stop; the test rows are not looked at.
+    A stratified slice of the training encounters decides how many trees score, by F1; the test rows are not looked at.
     """
     split = marked(rows, ["label"])
     original, test = split.where("NOT test"), split.where("test")
@@ -126,12 +126,13 @@ def boosting(
     chosen = held_back(original, ["label"], class_size, fall_back)
     encoded = encode.apply_fold_means(only(train_codes, chosen), means, level, "fold", ["n"])
     train = assembled(chosen, encoded, "encoded", positions, prior)
-    model = models.fit_boosting(train, "validation", settings=settings)
+    model = boosted.fit(train, "validation", settings=settings)
 
     fitted = encode.fit_target_means(train_codes, level, "label", prior=prior)
     applied = encode.apply_target_means(only(codes, test), fitted, level, ["n"])
     test = assembled(test, applied, "encoded", positions, prior)
-    parameters = {**models.BOOSTING, **(settings or {}), "trees": model.getNumTrees}
+    parameters = {**boosted.BOOSTING, **(settings or {}), "trees": model.getNumTrees, "penalty": boosted.PENALTY}
+    parameters["validation_f1"] = model.f1
     return Run(model, scored(model, test), original, train.where("NOT validation"), parameters)
 
 

@@ -1,12 +1,14 @@
 """Model search, scoring and streaming on small frames with a known signal."""
 
 import random
+from itertools import product
 
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from caseloom.operators import evaluate, experiments, models
+from caseloom.operators import boosted, evaluate, experiments, models, sampling
 from caseloom.streaming import admission
 
 
@@ -43,7 +45,7 @@ def test_balanced_weight(rows):
 
 def test_boosting(rows):
     marked = rows.withColumn("held", F.col("n") % 5 == 1)
-    model = models.fit_boosting(marked, "held", settings={"maxIter": 5, "maxDepth": 3})
+    model = boosted.fit(marked, "held", settings={"maxIter": 5, "maxDepth": 3})
     assert 1 <= model.getNumTrees <= 5 and auc(models.score(model, rows, ["n", "label"])) > 0.8
 
 
@@ -73,7 +75,7 @@ def test_code_tokens_are_one_to_one(spark):
 
 
 def test_stream_drops_repeats_and_resumes(spark, tmp_path, rows):
-    model = models.fit_boosting(rows.withColumn("held", F.col("n") % 5 == 1), "held", settings={"maxIter": 2})
+    model = boosted.fit(rows.withColumn("held", F.col("n") % 5 == 1), "held", settings={"maxIter": 2})
     source, sink, progress = (str(tmp_path / name) for name in ("in", "out", "progress"))
     messages = rows.select("n", "label", "features", F.lit("2024-01-01").cast("timestamp").alias("arrived"))
 
@@ -104,3 +106,60 @@ def test_a_stream_reads_files_and_folders_and_keeps_late_rows(spark, tmp_path):
         fresh = admission.first_arrivals(stream, "id", "at")
         admission.start_sink(fresh, str(tmp_path / f"out-{name}"), str(tmp_path / f"progress-{name}")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / f"out-{name}")).count() == expected
+
+
+def test_nested_forests_score_as_their_trees_vote(rows):
+    """F1 of 3 trees and of these with 5 more, against votes counted tree by tree on the driver."""
+    held = rows.where("n % 3 = 0")
+    parts = [
+        RandomForestClassifier(seed=part, numTrees=trees, maxDepth=3).fit(rows.where("n % 3 <> 0"))
+        for part, trees in enumerate((3, 5))
+    ]
+    votes, expected = {r.n: [r.label, 0.0, 0.0] for r in held.collect()}, []
+    for part in parts:
+        for tree in part.trees:
+            for r in held.collect():
+                raw = tree.predictRaw(r.features)
+                votes[r.n][1] += raw[0] / (raw[0] + raw[1])
+                votes[r.n][2] += raw[1] / (raw[0] + raw[1])
+        said = [(y, b > a) for y, a, b in votes.values()]
+        tp = sum(y == 1 and s for y, s in said)
+        expected.append(2 * tp / (sum(y == 1 for y, _ in said) + sum(s for _, s in said)))
+    assert models.forest_scores(parts, held, "label") == pytest.approx(expected)
+    assert models.grown_sizes([300, 200, 300]) == [(200, 200), (300, 100)]
+
+
+def test_search_takes_the_best_point_of_the_whole_grid(rows):
+    search = models.search_forest(rows, "n", grid={"numTrees": [2, 6], "maxDepth": [1, 3], "minInstancesPerNode": [2, 4]})
+    assert [tuple(p.values()) for p, _ in search.points] == list(product((2, 6), (1, 3), (2, 4)))
+    best = max(search.points, key=lambda p: p[1])[0]
+    model = search.bestModel
+    assert best == {"numTrees": model.getNumTrees, "maxDepth": model.getMaxDepth(), "minInstancesPerNode": model.getMinInstancesPerNode()}
+
+
+def pairs(spark, count, seed):
+    """Two words a row; the label says whether they go together, which neither word tells alone."""
+    pick = random.Random(seed)
+    rows = [(n, a, b) for n in range(count) for a, b in [(pick.randrange(4), pick.randrange(4))]]
+    data = [(n, int((a + b) % 2 == 0), [f"dx:{a}", f"cpt:{b}"], pick.random()) for n, a, b in rows]
+    return spark.createDataFrame(data, "n int, label int, words array<string>, amount double").cache()
+
+
+def test_network_finds_a_planted_pair(spark):
+    settings = {"hidden": [8], "epochs": 60, "embedding": 4, "slots": 256, "rounds": 200}
+    model = models.network_pipeline("words", ["amount"], settings=settings).fit(pairs(spark, 1500, 1))
+    assert auc(models.score(model, pairs(spark, 500, 2), ["n", "label"])) > 0.95
+    none = spark.createDataFrame([(1, 0, [], 0.5)], "n int, label int, words array<string>, amount double")
+    assert models.score(model, none, ["n"]).count() == 1
+
+
+def test_pooled_interactions_are_sums_over_pairs(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    factors, linear = np.arange(12.0).reshape(4, 3) - 5, np.array([1.0, -2.0, 0.5, 3.0])
+    found = models.LevelEmbeddings("v", factors, linear, 0.25)
+    rows = spark.createDataFrame([(Vectors.sparse(4, [0, 2, 3], [1.0, 1.0, 1.0]),), (Vectors.sparse(4, [], []),)], ["v"])
+    first, second = [r._embedded.toArray().tolist() for r in found.transform(rows).collect()]
+    expected = sum(factors[i] * factors[j] for i, j in ((0, 2), (0, 3), (2, 3)))
+    assert first == pytest.approx([*expected, 4.75]) and second == pytest.approx([0, 0, 0, 0.25])
