@@ -27,6 +27,7 @@ class Run:
     original: DataFrame
     train: DataFrame
     parameters: dict[str, float]
+    search: models.ForestSearch | None = None
 
     def report(self) -> DataFrame:
         return evaluate.evaluation_summary(
@@ -100,7 +101,7 @@ def forest(
         "minInstancesPerNode": best.getMinInstancesPerNode(),
         "cv_f1": max(search.avgMetrics),
     }
-    return Run(best, scored(best, featured(test)), original, train, chosen)
+    return Run(best, scored(best, featured(test)), original, train, chosen, search)
 
 
 def boosting(

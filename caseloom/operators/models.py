@@ -199,8 +199,9 @@ class NetworkModel:
 class NetworkPipeline:
     """Embeddings of code words learned from the label, pooled per row, with numeric columns into a feed-forward network.
 
-    A factorisation machine over the one-hot levels is fitted first; its factors are the embeddings. Levels are hashed to
-    ``slots`` positions, which bounds the factors that the driver and the tasks hold.
+    A factorisation machine over the one-hot levels is fitted first; its factors are the embeddings. It sees one half of the
+    rows and the network the other, as on its own rows the machine would give the class of rare levels away; equal rows are
+    in the same half. Levels are hashed to ``slots`` positions, which bounds the factors that the driver and the tasks hold.
     """
 
     codes: str
@@ -213,11 +214,12 @@ class NetworkPipeline:
         chosen = {**NETWORK, **self.settings}
         width, slots = chosen["embedding"], chosen["slots"]
         hashing = HashingTF(inputCol=self.codes, outputCol="_levels", numFeatures=slots, binary=True)
-        rows = materialize(hashing.transform(train))
+        half = F.pmod(F.xxhash64(self.codes, *self.numbers), F.lit(2)) == 0
+        rows = materialize(hashing.transform(train).withColumn("_half", half))
         machine = FMClassifier(
             labelCol=self.label, featuresCol="_levels", factorSize=width, maxIter=chosen["rounds"], stepSize=0.05,
             regParam=chosen["penalty"], initStd=0.1, seed=self.seed,
-        ).fit(rows)
+        ).fit(rows.where("_half"))
         embeddings = LevelEmbeddings("_levels", machine.factors.toArray(), machine.linear.toArray(), machine.intercept)
         network = Pipeline(
             stages=[
@@ -233,7 +235,7 @@ class NetworkPipeline:
                 ),
             ]
         )
-        return NetworkModel(hashing, embeddings, network.fit(materialize(embeddings.transform(rows))))
+        return NetworkModel(hashing, embeddings, network.fit(materialize(embeddings.transform(rows.where("NOT _half")))))
 
 
 def network_pipeline(

@@ -363,15 +363,60 @@ SELECT event_id, round(p, 6) AS probability, CASE WHEN p > 0.5 THEN 1 ELSE 0 END
   CASE WHEN p > 0.5 THEN 'READMITTED' ELSE 'NOT_READMITTED' END AS predicted_name FROM p""",
 }
 
-_TESTED = f"WITH {ENCOUNTERS}, {SPLIT} SELECT n, label, true AS valid FROM parts WHERE part = 'test'"
+_BALANCED = "CAST(5000 AS BIGINT) AS train_0, CAST(5000 AS BIGINT) AS train_1"
+_TESTED = f"WITH {ENCOUNTERS}, {SPLIT} SELECT n, label, true AS valid, {_BALANCED} FROM parts WHERE part = 'test'"
+
+#: Leaves of four fixed trees and a class, as the leaf queries place encounters.
+_LEAVES = (
+    "CASE WHEN age < 40 THEN 0 WHEN age < 65 THEN 1 ELSE 2 END",
+    "CASE WHEN los <= 4 THEN 0 WHEN los <= 10 THEN 1 ELSE 2 END",
+    "CASE disposition WHEN '1' THEN 0 WHEN '3' THEN 1 ELSE 2 END",
+    "CASE WHEN age >= 60 AND los > 7 THEN 1 ELSE 0 END",
+)
+_PLACED = "CASE WHEN age >= 60 OR los > 10 THEN 1 ELSE 0 END AS label"
+
+
+def _refit(rate: float = 0.5, penalty: float = 3.0) -> str:
+    """Tree after tree: sums per leaf at the margin so far, then the next margin."""
+    p = "1 / (1 + exp(-m{0}))"
+    steps = [f"{ADMISSIONS}, x0 AS (SELECT n, {_PLACED}, 0.0::DOUBLE AS m0, {', '.join(f'{c} AS l{i}' for i, c in enumerate(_LEAVES))} FROM admissions)"]
+    for i in range(len(_LEAVES)):
+        now = p.format(i)
+        steps.append(f"t{i} AS (SELECT l{i} AS leaf, sum(label - {now}) AS g, sum({now} * (1 - {now})) AS h FROM x{i} GROUP BY l{i})")
+        steps.append(f"x{i + 1} AS (SELECT x{i}.*, m{i} + {rate}::DOUBLE * g / (h + {penalty}) AS m{i + 1} FROM x{i} JOIN t{i} ON l{i} = leaf)")
+    return ", ".join(steps)
+
+
+_TREES = range(len(_LEAVES))
+_STAGES = " UNION ALL ".join(
+    f"""SELECT {i + 1} AS trees, count(*) FILTER (label = 1 AND m{i + 1} > 0) AS tp, count(*) FILTER (label = 0 AND m{i + 1} > 0) AS fp,
+  count(*) FILTER (label = 1 AND m{i + 1} <= 0) AS fn FROM x{len(_LEAVES)}"""
+    for i in _TREES
+)
 
 MODELS = {
     "rf_rows": _TESTED,
     "gbt_rows": _TESTED,
     "mlp_rows": _TESTED,
     "text_rows": f"""WITH {ENCOUNTERS}, {PLAIN_SPLIT}
-SELECT n, label, true AS valid FROM plain_parts JOIN encounters USING (n) WHERE part = 'test'""",
-    "importance_check": "SELECT 11 AS features, true AS valid",
+SELECT n, label, true AS valid, {_BALANCED} FROM plain_parts JOIN encounters USING (n) WHERE part = 'test'""",
+    "importance_check": "SELECT 135 AS features, true AS valid",
+    "grid_check": """SELECT "numTrees", "maxDepth", "minInstancesPerNode", true AS valid
+FROM (VALUES (200), (300)) t("numTrees"), (VALUES (20), (30)) d("maxDepth"), (VALUES (2), (4)) l("minInstancesPerNode")""",
+    "planted_models": f"""WITH {SCORED}, sized AS (SELECT score >= 2 AS planted, ceil(0.2 * count(*)) AS tested FROM scored GROUP BY 1)
+SELECT model, CAST(sum(tested) AS BIGINT) AS tested, true AS found
+FROM sized, (VALUES ('forest'), ('boosting'), ('network')) models(model) GROUP BY model""",
+    "leaf_refit": f"WITH {_refit()} "
+    + " UNION ALL ".join(
+        f"SELECT {i} AS tree, leaf, round(g, 6) AS gradient, round(h, 6) AS hessian, round(0.5::DOUBLE * g / (h + 3.0), 6) AS value FROM t{i}"
+        for i in _TREES
+    ),
+    "staged_f1": f"""WITH {_refit()}, stages AS ({_STAGES}),
+scored AS (SELECT *, CASE WHEN tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM stages)
+SELECT trees, tp, fp, fn, round(f1, 9) AS f1, trees = (SELECT trees FROM scored ORDER BY f1 DESC, trees LIMIT 1) AS chosen FROM scored""",
+    "positive_f1": f"""WITH {ADMISSIONS}, x AS (SELECT {_PLACED}, {_LEAVES[3]} AS said FROM admissions)
+SELECT round(2.0::DOUBLE * count(*) FILTER (label = 1 AND said = 1)
+  / (count(*) FILTER (label = 1) + count(*) FILTER (said = 1)), 9) AS f1 FROM x""",
     "stream_rows": f"""WITH cut AS (
   SELECT CAST(trunc(epoch_us(min(ts)) + (epoch_us(max(ts)) - epoch_us(min(ts))) * 0.8::DOUBLE) AS BIGINT) AS micros FROM events),
 later AS (
@@ -391,7 +436,7 @@ _REPORT = TRAINING["eval_summary"]
 DATASETS = {
     "narrative_csv": f"WITH {NARRATIVES} SELECT prompt, label, count(*) AS encounters FROM narratives GROUP BY ALL",
     "encounter_csv": f"""WITH {ADMISSIONS}, {CODES}
-SELECT CAST(n AS VARCHAR) AS n, 'dx' AS kind, pos, trim(dx) AS code FROM codes WHERE pos <= 20 AND dx IS NOT NULL
+SELECT CAST(n AS VARCHAR) AS n, 'dx' AS kind, pos, trim(dx) AS code FROM codes WHERE pos <= 34 AND dx IS NOT NULL
 UNION ALL SELECT CAST(n AS VARCHAR), 'cpt', pos, cpt FROM codes WHERE pos <= 100
 UNION ALL SELECT CAST(n AS VARCHAR), 'age', 0, CAST(CAST(age AS DOUBLE) AS VARCHAR) FROM admissions""",
     "token_dataset": f"""WITH {IDS}

@@ -70,11 +70,17 @@ QUERIES: dict[str, Query] = {
     "mlp": models.mlp,
     "text_classifier": models.text_classifier,
     "stream_score": streams.stream_score,
-    "rf_rows": models.checked(models.rf_cv),
+    "rf_rows": models.checked(models.forest),
+    "forest_grid": models.forest_grid,
+    "grid_check": models.grid_check,
     "importance_check": models.importance_check,
-    "gbt_rows": models.checked(models.gbt),
-    "mlp_rows": models.checked(models.mlp),
-    "text_rows": models.checked(models.text_classifier),
+    "gbt_rows": models.checked(models.boosting),
+    "mlp_rows": models.checked(models.network),
+    "text_rows": models.checked(models.text),
+    "planted_models": models.planted_models,
+    "leaf_refit": models.leaf_refit,
+    "staged_f1": models.staged_f1,
+    "positive_f1": models.positive_f1,
     "stream_rows": streams.stream_rows,
 }
 
