@@ -8,12 +8,14 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm.common import LOWER, UPPER
-from caseloom.operators.joins import BROADCAST_BYTES, table_bytes
+from caseloom.operators.joins import BROADCAST_BYTES, lookup_join, table_bytes
 from caseloom.session import materialize
 
 #: (verdict, host, path): the host and its subdomains, paths that start with the path.
@@ -25,7 +27,6 @@ GIVEN = (
     ("block", "com", "/de/"),
 )
 SUPPORT, LEAST, CONFIDENCE = 0.005, 8, 0.6
-BLOCKED = "=blocked"
 INDEX = "token string, given boolean, verdict string, host string, path string, items array<string>, confidence double, support double"
 
 
@@ -68,23 +69,64 @@ def mine(
 ) -> DataFrame:
     """Rules ``items, confidence, support`` whose tokens go with ``blocked``; NULL urls and labels are no evidence.
 
-    ``support`` is a share of the labelled rows, at least ``least`` rows. A rule whose tokens include those of a rule of at
-    least its confidence adds nothing and is pruned where the shorter rule is a single token.
+    ``support`` is a share of the labelled rows, at least ``least`` rows. Tokens of all rows tell nothing and are left out; of
+    tokens that stand in the same rows, as the words of a template do, the longest (and last by code point) speaks for all.
+    FP-growth runs over the blocked rows; how often its combinations occur in all rows is then counted. A rule is pruned if a
+    rule of fewer of its tokens has at least its confidence.
     """
     spark = labelled.sparkSession
     rows = labelled.where(F.col(url).isNotNull() & F.col(blocked).isNotNull())
-    label = F.when(F.col(blocked), F.array(F.lit(BLOCKED))).otherwise(F.array().cast("array<string>"))
-    baskets = materialize(rows.select(F.concat(tokens(F.col(url)), label).alias("items")).where("size(items) > 0"))
-    count = baskets.count()
-    if not count:
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), tokens(F.col(url)).alias("items"), F.col(blocked).alias("blocked"))
+    rows = materialize(rows.where("size(items) > 0"))
+    count, hits = rows.agg(F.count("*"), F.count_if("blocked")).first()
+    need = max(least, math.ceil(support * count), 1)
+    if hits < need:
         return spark.createDataFrame([], "items array<string>, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / count)), minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent")[0] == BLOCKED)
-    rules = materialize(rules.select(F.array_sort("antecedent").alias("items"), "confidence", "support"))
-    single = rules.where("size(items) = 1").select(F.col("items")[0].alias("token"), F.col("confidence").alias("alone"))
-    longer = rules.where("size(items) > 1").withColumn("token", F.explode("items")).join(single, "token")
-    pruned = longer.where("alone >= confidence").select("items").distinct()
-    return rules.join(pruned, "items", "left_anti")
+    each = rows.select("row", "blocked", F.explode("items").alias("token"))
+    spoken = materialize(speakers(each, count, need))
+    kept = materialize(
+        lookup_join(each, spoken.select("token", "seen"), ["token"], ["row"], "inner")
+        .groupBy("row", "blocked")
+        .agg(F.collect_list("token").alias("items"))  # at most the tokens of a URL
+    )
+    model = FPGrowth(itemsCol="items", minSupport=need / hits).fit(kept.where("blocked").select("items"))
+    sets = materialize(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq").where(F.col("freq") >= need))
+    found = occurrences(sets, kept, spoken).withColumn("confidence", F.col("freq") / F.col("rows"))
+    found = materialize(found.where(F.col("confidence") >= confidence))
+    rules = found.select("items", "confidence", (F.col("freq") / F.lit(count)).alias("support"))
+    return rules.join(pruned(rules), "items", "left_anti")
+
+
+def speakers(each: DataFrame, count: int, need: int) -> DataFrame:
+    """``token, seen``: tokens that are in ``need`` blocked rows but not in all rows, one for all that share their rows.
+
+    Tokens share their rows if number, sum and exclusive-or of the rows' hashes agree.
+    """
+    hash = F.xxhash64("row")
+    stats = each.groupBy("token").agg(
+        F.count("*").alias("seen"), F.count_if("blocked").alias("hits"), F.sum(hash.cast("decimal(38,0)")).alias("sum"),
+        F.bit_xor(hash).alias("xor"),
+    )
+    useful = stats.where((F.col("seen") < count) & (F.col("hits") >= need))
+    longest = F.max(F.struct(F.length("token").alias("n"), "token")).getField("token").alias("token")
+    return useful.groupBy("seen", "sum", "xor").agg(longest).select("token", "seen")
+
+
+def occurrences(sets: DataFrame, baskets: DataFrame, spoken: DataFrame) -> DataFrame:
+    """Add ``rows``, the number of ``baskets`` that hold all ``items`` of a set; sets are looked up by their rarest token."""
+    rarest = sets.withColumn("token", F.explode("items")).join(spoken, "token").groupBy("items", "freq")
+    keyed = rarest.agg(F.min(F.struct("seen", "token")).getField("token").alias("token"))
+    probes = baskets.select(F.col("items").alias("held"), F.explode("items").alias("token"))
+    met = probes.join(keyed, "token").where(F.size(F.array_except("items", "held")) == 0)
+    return met.groupBy("items", "freq").agg(F.count("*").alias("rows"))
+
+
+def pruned(rules: DataFrame) -> DataFrame:
+    """The ``items`` of rules for which a rule of some of their tokens has at least their confidence."""
+    shorter = rules.select(F.col("items").alias("some"), F.col("confidence").alias("theirs"), F.col("items")[0].alias("token"))
+    longer = rules.where("size(items) > 1").withColumn("token", F.explode("items")).join(shorter, "token")
+    held = (F.size("some") < F.size("items")) & (F.size(F.array_except("some", "items")) == 0)
+    return longer.where(held & (F.col("theirs") >= F.col("confidence"))).select("items").distinct()
 
 
 def index(spark: SparkSession, given: tuple, mined: DataFrame) -> DataFrame:
