@@ -37,7 +37,12 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_quotation_linking(spark: SparkSession, folder: str) -> DataFrame:
-    return quotes.reply_order(table(spark, folder, "conversations"))
+    """Formatted conversations in reply order, and the links of their messages."""
+    parts = quotes.conversations(quotes.reply_order(table(spark, folder, "conversations")))
+    messages = F.col("messages")
+    return parts.select(
+        "conv_id", "part", F.size(messages).cast("long").alias("n_messages"), "formatted", quotes.links_text(messages).alias("links")
+    )
 
 
 def op3_bit_planes(spark: SparkSession, folder: str) -> DataFrame:

@@ -149,7 +149,7 @@ def conversations(ordered: DataFrame, part: int = PART) -> DataFrame:
 
     Most conversations are one row; long ones go on in further parts, so no row and no task holds an unbounded one.
     """
-    message = F.struct("position", "role", "content")
+    message = F.struct("position", "role", "content", "turn", "parent_turn", "thread", "depth", "n_quotes")
     grouped = ordered.groupBy("conv_id", F.floor(F.col("position") / part).alias("part"))
     listed = grouped.agg(F.sort_array(F.collect_list(message)).alias("messages"))
     turns = F.transform(
@@ -157,3 +157,10 @@ def conversations(ordered: DataFrame, part: int = PART) -> DataFrame:
         lambda m: F.concat(F.lit("<|im_start|>"), F.coalesce(m["role"], F.lit("")), F.lit("\n"), m["content"], F.lit("<|im_end|>")),
     )
     return listed.withColumn("formatted", F.array_join(turns, "\n"))
+
+
+def links_text(messages: Column) -> Column:
+    """Turn, parent, thread, depth and number of quotes of every message, ``-`` for NULL, as one text."""
+    fields = ("turn", "parent_turn", "thread", "depth", "n_quotes")
+    each = F.transform(messages, lambda m: F.concat_ws("/", *[F.coalesce(m[f].cast("string"), F.lit("-")) for f in fields]))
+    return F.array_join(each, " ")

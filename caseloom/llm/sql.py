@@ -116,9 +116,11 @@ c AS (SELECT m.*, coalesce(b.content, '') AS content, coalesce(q.n, 0) AS n_quot
     LEFT JOIN (SELECT rid, count(*) AS n FROM p WHERE level > 0 GROUP BY rid) q USING (rid)),
 u AS (SELECT conv_id, turn, unnest([content] || string_split_regex(content, '\n[ \t]*\n') || string_split(content, chr(10))) AS unit FROM c),
 f AS (SELECT conv_id, {_NORM.format('unit')} AS norm, min(turn) AS source FROM u WHERE {_NORM.format('unit')} <> '' GROUP BY ALL),
-k AS (SELECT rid, blk, level, true AS whole, {_NORM.format('text')} AS norm FROM p WHERE level > 0
-    UNION ALL SELECT rid, blk, level, false, {_NORM.format('bare')} FROM bl WHERE level > 0),
-links AS (SELECT m.conv_id, m.turn, level, blk, max(struct_pack(w := whole, c := len(k.norm), s := source)).s AS source
+k AS (SELECT rid, blk, level, 2 AS rank, {_NORM.format('text')} AS norm FROM p WHERE level > 0
+    UNION ALL SELECT rid, blk, level, 1, {_NORM.format('paragraph')} FROM (SELECT rid, blk, level, unnest(paragraphs) AS paragraph
+        FROM (SELECT *, string_split_regex(text, '\n[ \t]*\n') AS paragraphs FROM p WHERE level > 0) WHERE len(paragraphs) > 1)
+    UNION ALL SELECT rid, blk, level, 0, {_NORM.format('bare')} FROM bl WHERE level > 0),
+links AS (SELECT m.conv_id, m.turn, level, blk, max(struct_pack(w := rank, c := len(k.norm), s := source)).s AS source
     FROM k JOIN m USING (rid) JOIN f ON f.conv_id IS NOT DISTINCT FROM m.conv_id AND f.norm = k.norm
     WHERE k.norm <> '' AND source < m.turn GROUP BY ALL),
 par AS (SELECT conv_id, turn, min(struct_pack(l := level, b := blk, s := source)).s AS parent FROM links GROUP BY ALL),
@@ -164,4 +166,14 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
     sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM r
 """
 
-ORACLES = {"op2_quotation_linking": QUOTES, "op6_quality_rules": quality(), "op9_warc": WARC, "op4_exact_dedup": EXACT, "op10_mix": mix(), "op12_filter_audit": AUDIT}
+#: Conversations in parts, formatted, with the links of their messages.
+CHAT = f"""
+WITH o AS ({QUOTES})
+SELECT conv_id, CAST(position // {quotes.PART} AS BIGINT) AS part, count(*) AS n_messages,
+    string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || content || '<|im_end|>', chr(10) ORDER BY position) AS formatted,
+    string_agg(concat_ws('/', coalesce(CAST(turn AS VARCHAR), '-'), coalesce(CAST(parent_turn AS VARCHAR), '-'),
+        coalesce(CAST(thread AS VARCHAR), '-'), depth, n_quotes), ' ' ORDER BY position) AS links
+FROM o GROUP BY ALL
+"""
+
+ORACLES = {"op2_quotation_linking": CHAT, "op6_quality_rules": quality(), "op9_warc": WARC, "op4_exact_dedup": EXACT, "op10_mix": mix(), "op12_filter_audit": AUDIT}

@@ -46,8 +46,9 @@ def brute(rows):
     parent = {}
     for conv, turn, _, _, found in parsed:
         for k, (level, text) in enumerate(found):
-            options = [(True, len(norm(text)), first.get((conv, norm(text))))] if norm(text) else []
-            options += [(False, len(norm(x)), first.get((conv, norm(x)))) for x in text.split("\n") if norm(x)]
+            paragraphs = re.split(r"\n[ \t]*\n", text)
+            units = [(2, text), *((1, p) for p in paragraphs if len(paragraphs) > 1), *((0, x) for x in text.split("\n"))]
+            options = [(rank, len(norm(x)), first.get((conv, norm(x)))) for rank, x in units if norm(x)]
             options = [o for o in options if o[2] is not None and turn is not None and o[2] < turn]
             if options:
                 link = (level, k, max(options)[2])
