@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.numbers import embedding_size
 from caseloom.operators.joins import BROADCAST_BYTES, lookup_join
-from caseloom.operators.ranks import ROWS_PER_BUCKET, prefix_sums, text_bucket
+from caseloom.operators.ranks import ROWS_PER_BUCKET, prefix_sums, random_order, text_bucket
+from caseloom.operators.sampling import SEED
 from caseloom.session import materialize
 
 UNSEEN = -1
@@ -148,6 +149,22 @@ def apply_target_means(
     return joined.withColumn("encoded", F.coalesce("encoded", F.lit(prior)))
 
 
+def ordered_means(
+    df: DataFrame, codes: list[str], label: str, key: str, prior: float, smoothing: float = 1.0, seed: int = SEED
+) -> DataFrame:
+    """Add ``encoded``: the mean label of the level's rows that come before the row in a random order, drawn to ``prior``.
+
+    No row's own label enters its value, so the column tells nothing about it. Rows of a level stand in the order of a hash
+    of ``key`` and the seed, then of the key itself, which must be unique in a level. The sums are prefix sums over hash
+    buckets: a level with a third of all rows is spread over 65,536 of them. A level with a NULL is a level.
+    """
+    ordered = df.withColumn("_order", random_order(key, seed)).withColumn("_bucket", F.substring("_order", 1, 4))
+    sums = {"_pos": F.coalesce(F.col(label), F.lit(0)).cast("long"), "_rows": F.col(label).isNotNull().cast("long")}
+    summed = prefix_sums(ordered, codes, "_bucket", ["_order", key], sums)
+    encoded = smoothed_mean(F.col("_pos"), F.col("_rows"), F.lit(prior), smoothing)
+    return summed.withColumn("encoded", encoded).drop("_order", "_bucket", "_pos", "_rows")
+
+
 def position_vector(
     rows: DataFrame, key: str, position: str, value: str, size: int, filler: float, out: str = "features"
 ) -> DataFrame:

@@ -112,21 +112,19 @@ def boosting(
     settings: dict | None = None,
     fall_back: bool = False,
 ) -> Run:
-    """Boosted trees on target-encoded codes: out-of-fold means for training rows, all training rows for test rows.
+    """Boosted trees on target-encoded codes: ordered means for training rows, all training rows for test rows.
 
+    The mean of a training row's code is taken over the rows before it in a random order, so its own label is not in it.
     A stratified slice of the training encounters decides how many trees score, by F1; the test rows are not looked at.
     """
     split = marked(rows, ["label"])
     original, test = split.where("NOT test"), split.where("test")
     level = ["pos", "code"]
-    folded = sampling.folds(original, "n", "label").select("n", "label", "fold")
-    train_codes = materialize(codes.join(folded, "n"))
+    train_codes = materialize(codes.join(original.select("n", "label"), "n"))
     prior = original.agg(F.avg("label")).first()[0] or 0.0
-
-    means = encode.fit_fold_means(train_codes, level, "label", "fold", prior_rows=folded)
+    ordered = materialize(encode.ordered_means(train_codes, level, "label", "n", prior))
     chosen = held_back(original, ["label"], class_size, fall_back)
-    encoded = encode.apply_fold_means(only(train_codes, chosen), means, level, "fold", ["n"])
-    train = assembled(chosen, encoded, "encoded", positions, prior)
+    train = assembled(chosen, only(ordered, chosen), "encoded", positions, prior)
     model = boosted.fit(train, "validation", settings=settings)
 
     fitted = encode.fit_target_means(train_codes, level, "label", prior=prior)

@@ -42,6 +42,29 @@ def encounter_csv(spark: SparkSession, folder: str) -> DataFrame:
     return enc.long_codes(stored).withColumnRenamed(enc.ID_COLUMN, "n").unionByName(ages)
 
 
+def rejected_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Encounters written as text lines, some damaged, and scanned with checks: every line by number, and what became of it.
+
+    By the number of the encounter modulo 20, a line lacks its last field (1), has one too many (2), has no id (3) or has text
+    as age (4). Good lines come back with their age.
+    """
+    path = _place(spark, "lines")
+    n, age, los = F.col("n"), F.col("age").cast("string"), F.col("los").cast("string")
+    harm = n % 20
+    line = (
+        F.when(harm == 1, F.concat_ws(",", n, age))
+        .when(harm == 2, F.concat_ws(",", n, age, los, F.lit("x")))
+        .when(harm == 3, F.concat_ws(",", F.lit(""), age, los))
+        .when(harm == 4, F.concat_ws(",", n, F.concat(F.lit("about "), age), los))
+        .otherwise(F.concat_ws(",", n, age, los))
+    )
+    columns = [enc.ID_COLUMN, "AGE", "LOS"]
+    views.admissions(spark, folder).select(line.alias("value")).write.text(path)
+    good, bad = enc.read_checked_csv(spark, path, columns, header=False)
+    kept = good.select(F.col(enc.ID_COLUMN).alias("line"), F.lit("kept").alias("outcome"), F.col("AGE").cast("string").alias("age"))
+    return kept.unionByName(bad.select("line", F.col("reason").alias("outcome"), F.lit(None).cast("string").alias("age")))
+
+
 def token_dataset(spark: SparkSession, folder: str) -> DataFrame:
     """Documents encoded, written with checked lengths, and read back as a typed dataset."""
     path = _place(spark, "tokens")

@@ -433,6 +433,31 @@ SELECT n, {_chapter('dx')} AS title, score, label, true AS valid FROM named JOIN
 
 _REPORT = TRAINING["eval_summary"]
 
+MORE = {
+    "ordered_target": f"""WITH {ENCOUNTERS}, {FILLED}, rows_in AS (SELECT n, label, col, code FROM encounters JOIN filled USING (n)),
+prior AS (SELECT avg(label) AS prior FROM encounters),
+earlier AS (SELECT n, col, code, coalesce(sum(label) OVER w, 0) AS p, count(*) OVER w AS k FROM rows_in
+  WINDOW w AS (PARTITION BY col, code ORDER BY {_ORDER.format('n')}, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT n, col, code, round((p + prior) / (k + 1.0::DOUBLE), 9) AS encoded FROM earlier, prior""",
+    "unbalanced_train": f"""WITH {ENCOUNTERS}, {SPLIT} SELECT n, label, CAST(-1 AS BIGINT) AS draw FROM parts WHERE part = 'train'""",
+    "sketched_lengths": """SELECT quantile, count(*) AS rows, true AS in_bounds
+FROM documents, (VALUES ('q25'), ('q50'), ('q75'), ('q95')) q(quantile) GROUP BY quantile""",
+    "sketched_levels": f"WITH {FILLED} SELECT col, count(DISTINCT code) AS levels, true AS in_bounds FROM filled GROUP BY col",
+    "rejected_rows": f"""WITH {ADMISSIONS} SELECT
+  CASE n % 20 WHEN 1 THEN concat_ws(',', n, age) WHEN 2 THEN concat_ws(',', n, age, los, 'x') WHEN 3 THEN concat_ws(',', '', age, los)
+    WHEN 4 THEN concat_ws(',', n, 'about ' || age, los) ELSE CAST(n AS VARCHAR) END AS line,
+  CASE n % 20 WHEN 1 THEN 'number of fields' WHEN 2 THEN 'number of fields' WHEN 3 THEN 'no encounter id'
+    WHEN 4 THEN 'no number in AGE' ELSE 'kept' END AS outcome,
+  CASE WHEN n % 20 IN (1, 2, 3, 4) THEN NULL ELSE CAST(CAST(age AS DOUBLE) AS VARCHAR) END AS age FROM admissions""",
+    "bucketed_score": f"""WITH {ENCOUNTERS}, {SCORES}
+SELECT n, coalesce(score, 0) AS score, label FROM encounters LEFT JOIN scores USING (n)""",
+    "monthly_admissions": f"""WITH {ADMISSIONS}
+SELECT strftime(admit, '%Y-%m') AS month, count(*) AS encounters, CAST(sum(los) AS BIGINT) AS days FROM admissions
+WHERE strftime(admit, '%Y-%m') BETWEEN '1995-01' AND '1995-06' GROUP BY 1""",
+    "streamed_labels": f"""WITH {ENCOUNTERS}
+SELECT n, label FROM encounters WHERE admit < (SELECT max(admit) FROM encounters) - INTERVAL 33 DAY""",
+}
+
 DATASETS = {
     "narrative_csv": f"WITH {NARRATIVES} SELECT prompt, label, count(*) AS encounters FROM narratives GROUP BY ALL",
     "encounter_csv": f"""WITH {ADMISSIONS}, {CODES}

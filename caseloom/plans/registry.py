@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.plans import cohort, datasets, models, oracles, streams, training
+from caseloom.plans import cohort, datasets, models, oracles, storage, streams, training
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,10 @@ QUERIES: dict[str, Query] = {
     "embedding_sizes": training.embedding_sizes,
     "standardize": training.standardize,
     "target_encode": training.target_encode,
+    "ordered_target": training.ordered_target,
+    "unbalanced_train": training.unbalanced_train,
+    "sketched_lengths": training.sketched_lengths,
+    "sketched_levels": training.sketched_levels,
     "confusion_matrix": training.confusion_matrix,
     "binary_metrics": training.binary_metrics,
     "roc_auc": training.roc_auc,
@@ -57,6 +61,9 @@ QUERIES: dict[str, Query] = {
     "sigmoid_threshold": training.sigmoid_threshold,
     "narrative_csv": datasets.narrative_csv,
     "encounter_csv": datasets.encounter_csv,
+    "rejected_rows": datasets.rejected_rows,
+    "bucketed_score": storage.bucketed_score,
+    "monthly_admissions": storage.monthly_admissions,
     "token_dataset": datasets.token_dataset,
     "summary_log": datasets.summary_log,
     "shuffled_preview": datasets.shuffled_preview,
@@ -82,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "staged_f1": models.staged_f1,
     "positive_f1": models.positive_f1,
     "stream_rows": streams.stream_rows,
+    "streamed_labels": streams.streamed_labels,
 }
 
-ORACLES: dict[str, str] = {**oracles.COHORT, **oracles.TRAINING, **oracles.MODELS, **oracles.DATASETS}
+ORACLES: dict[str, str] = {**oracles.COHORT, **oracles.TRAINING, **oracles.MODELS, **oracles.DATASETS, **oracles.MORE}

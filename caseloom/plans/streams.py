@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from caseloom.functions.codes import chapter
 from caseloom.functions.numbers import lenient_double
 from caseloom.operators.comorbidity import add_array_score
+from caseloom.operators.readmission import WINDOW_DAYS
 from caseloom.plans import views
-from caseloom.session import checkpoint_root
-from caseloom.streaming import admission
+from caseloom.session import checkpoint_root, materialize
+from caseloom.streaming import admission, readmission
 
 
 def arrivals(events: DataFrame) -> DataFrame:
@@ -67,3 +68,30 @@ def stream_rows(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(
         "n", "title", "score", "label", (agrees & F.col("predicted_probability").between(0, 1)).alias("valid")
     )
+
+
+#: Runs of the label stream: each finds the admissions of the next share of the time span, and goes on from the last.
+LABEL_RUNS = 3
+LABEL_DELAY_DAYS = 2
+
+
+def streamed_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The readmission label from a stream-stream join, for admissions whose window the watermark has passed.
+
+    The admissions arrive in order of time, in ``LABEL_RUNS`` portions; after each the query is stopped and started anew.
+    """
+    admissions = materialize(views.admissions(spark, folder).select("n", "patient_id", F.col("admit").cast("timestamp").alias("admit")))
+    first, last = admissions.agg(F.unix_seconds(F.min("admit")), F.unix_seconds(F.max("admit"))).first()
+    run = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    first, last = first or 0, last or 0
+    step = (last - first) // LABEL_RUNS + 1
+    sent = None
+    for i in range(LABEL_RUNS):
+        inside = F.unix_seconds("admit").between(first + i * step, first + (i + 1) * step - 1)
+        admissions.where(inside).write.mode("append").parquet(f"{run}/arrived")
+        streams = [admission.read_stream(spark, f"{run}/arrived", admissions.schema) for _ in range(2)]
+        sent = readmission.readmissions(*streams, delay=f"{LABEL_DELAY_DAYS} days")
+        admission.start_sink(sent, f"{run}/sent", f"{run}/progress").awaitTermination()
+    found = readmission.labels(spark.read.schema(sent.schema).parquet(f"{run}/sent"))
+    closed = F.timestamp_seconds(F.lit(last - (LABEL_DELAY_DAYS + WINDOW_DAYS + 1) * 86400))
+    return found.where(F.col("admit") < closed).select("n", "label")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.functions.numbers import CLASS_NAMES, above, argmax, relabel, sigmoid, softmax
-from caseloom.operators import encode, evaluate, profile, sampling, tokens
+from caseloom.operators import encode, evaluate, profile, sampling, sketches, tokens
 from caseloom.plans import views
 from caseloom.session import materialize
 
@@ -161,6 +161,64 @@ def target_encode(spark: SparkSession, folder: str) -> DataFrame:
     return encode.apply_fold_means(rows, means, ["col", "code"], "fold", ["n"])
 
 
+def ordered_target(spark: SparkSession, folder: str) -> DataFrame:
+    """Ordered means for the filled cells of all code columns, drawn to the mean label of the encounters."""
+    labelled = views.labelled(spark, folder).select("n", "label")
+    rows = materialize(filled_cells(spark, folder).join(labelled, "n"))
+    prior = labelled.agg(F.avg("label")).first()[0] or 0.0
+    found = encode.ordered_means(rows, ["col", "code"], "label", "n", prior)
+    return found.select("n", "col", "code", F.round("encoded", 9).alias("encoded"))
+
+
+def unbalanced_train(spark: SparkSession, folder: str) -> DataFrame:
+    """Balancing to more rows than a class has, with the fall-back: the training rows come back as they are."""
+    rows = materialize(sampling.split(views.labelled(spark, folder).select("n", "label"), "n", ["label"]))
+    train = rows.where("part = 'train'").select("n", "label")
+    return sampling.balanced(train, "n", "label", train.count() + 1, fall_back=True)
+
+
+def sketched_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantiles of the documents' token lengths from sketches stored per source and merged, and whether each is in bounds.
+
+    A quantile is in bounds if the share of lengths up to it is off by no more than the sketch's rank error.
+    """
+    lengths = views.table(spark, folder, "documents").select(
+        F.coalesce("source", F.lit("")).alias("batch"), tokens.token_count(F.col("text")).alias("length")
+    )
+    lengths = materialize(lengths)
+    stored = materialize(sketches.length_sketches(lengths, ["batch"], "length"))
+    names = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
+    found = materialize(sketches.merged_quantiles(stored, [], names))
+    listed = F.array(*[F.struct(F.lit(n).alias("quantile"), F.col(n).alias("value"), F.lit(q).alias("share")) for n, q in names.items()])
+    values = found.select("rows", F.inline(listed))
+    met = _counted_up_to(lengths, values)
+    error = sketches.rank_error()
+    inside = (F.col("below") / F.col("rows") <= F.col("share") + error) & (F.col("upto") / F.col("rows") >= F.col("share") - error)
+    return met.select("quantile", "rows", inside.alias("in_bounds"))
+
+
+def _counted_up_to(lengths: DataFrame, values: DataFrame) -> DataFrame:
+    """Add how many lengths are below each value, and how many up to it: one pass for the few values."""
+    listed = values.collect()  # one row per quantile
+    counts = [F.count_if(F.col("length") < r["value"]).alias(f"below_{r['quantile']}") for r in listed]
+    counts += [F.count_if(F.col("length") <= r["value"]).alias(f"upto_{r['quantile']}") for r in listed]
+    row = lengths.agg(*counts).first()
+    rows = [(*r, row[f"below_{r['quantile']}"], row[f"upto_{r['quantile']}"]) for r in listed]
+    return values.sparkSession.createDataFrame(rows, "rows long, quantile string, value long, share double, below long, upto long")
+
+
+def sketched_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Levels of every code column from sketches stored per batch of encounters and merged, and whether they are in bounds."""
+    cells = materialize(filled_cells(spark, folder))
+    batched = cells.withColumn("batch", F.pmod(F.xxhash64("n"), F.lit(8)))
+    stored = materialize(sketches.level_sketches(batched, ["batch", "col"], "code"))
+    found = sketches.merged_levels(stored, ["col"])
+    exact = encode.level_counts(cells, "col", "code").withColumnsRenamed({"col": "c", "levels": "exact"})
+    error = F.greatest(F.lit(1.0), F.col("exact") * F.lit(sketches.distinct_error()))
+    met = found.join(exact, F.col("col") == F.col("c"))
+    return met.select("col", F.col("exact").alias("levels"), (F.abs(F.col("levels") - F.col("exact")) <= error).alias("in_bounds"))
+
+
 def scored_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents with a number in [0, 1) as score and the class it predicts."""
     labels = views.table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))

@@ -52,6 +52,27 @@ def read_encounter_csv(spark: SparkSession, path: str) -> DataFrame:
     return conform(spark.read.option("header", True).option("enforceSchema", False).csv(path))
 
 
+def read_checked_csv(spark: SparkSession, path: str, columns: list[str], header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Good rows in the encounter schema, and rejected lines as ``(file, line, reason)``.
+
+    ``columns`` are the columns of the files in their order, with or without a ``header`` line. A line is rejected if it has more or fewer fields, or no
+    encounter id, or text in a number column; it is kept whole, with the first reason. Both tables come from one scan each;
+    cleaning is that of ``conform``.
+    """
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*columns, "_line")])
+    read = spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE")
+    raw = read.option("columnNameOfCorruptRecord", "_line").csv(path).withColumn("_file", F.col("_metadata.file_path"))
+    numbers = [F.col(c) for c in NUMBER_COLUMNS if c in columns]
+    wrong = [(F.trim(c) != "") & lenient_double(c).isNull() for c in numbers]
+    reason = F.when(F.col("_line").isNotNull(), "number of fields").when(F.col(ID_COLUMN).isNull(), "no encounter id")
+    for name, bad in zip([c for c in NUMBER_COLUMNS if c in columns], wrong, strict=True):
+        reason = reason.when(bad, f"no number in {name}")
+    judged = raw.withColumn("_reason", reason)
+    whole = F.coalesce("_line", F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in columns]))
+    rejected = judged.where(F.col("_reason").isNotNull()).select(F.col("_file").alias("file"), whole.alias("line"), F.col("_reason").alias("reason"))
+    return conform(judged.where(F.col("_reason").isNull()).drop("_line", "_file", "_reason")), rejected
+
+
 def read_encounters(spark: SparkSession, path: str) -> DataFrame:
     return conform(spark.read.parquet(path))
 

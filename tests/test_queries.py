@@ -8,9 +8,10 @@ from caseloom.plans import training
 
 CHECKED = sorted(oracle_sql())
 ROWS_ONLY = sorted(set(queries()) - set(CHECKED))
-MODELS = {"rf_cv", "feature_importance", "gbt", "mlp"}
+MODELS = {"rf_cv", "feature_importance", "forest_grid", "gbt", "mlp"}
 #: Queries that balance classes to a size that the smallest tables don't have.
 LARGER = MODELS | {"balanced_train", "rf_rows", "gbt_rows", "mlp_rows", "text_rows", "text_classifier", "importance_check"}
+LARGER |= {"grid_check", "planted_models"}
 
 
 @pytest.fixture(scope="module")
