@@ -28,6 +28,8 @@ RULES = {
     "exclaims": ("n_exclaims / n_words", "up to", 0.2, 0.5),
 }
 PRIOR, ACCURACY, LOW, HIGH, ROUNDS = 0.8, 0.8, 0.55, 0.995, 15
+#: Estimation ends before ``ROUNDS`` once no estimate moves by more.
+TOLERANCE = 1e-10
 
 
 def measures(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -39,10 +41,15 @@ def measures(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: tupl
     found = docs.select(F.col(id).alias("doc_id"), *keep, body.alias("__body"), words(F.col(text)).alias("__words"))
     lines = F.filter(F.split("__body", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     capitals = F.length(F.regexp_replace("__body", r"[^\p{Lu}]+", ""))
+    # Windows are sorted by a hash and, where hashes are equal, by their words; only references to the words are held.
     windows = F.transform(
         F.sequence(F.lit(0), F.size("__words") - 3),
         lambda i: F.struct(
-            F.concat_ws(" ", F.get("__words", i), F.get("__words", i + 1), F.get("__words", i + 2)).alias("w"), i.alias("i")
+            F.struct(
+                F.xxhash64(*[F.get("__words", i + k) for k in range(3)]).alias("h"),
+                *[F.get("__words", i + k).alias(f"w{k}") for k in range(3)],
+            ).alias("w"),
+            i.alias("i"),
         ),
     )
     listed = found.select(
@@ -55,7 +62,7 @@ def measures(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: tupl
         (F.length("__body") - F.length(F.translate("__body", "!", ""))).cast("long").alias("n_exclaims"),
         F.size(F.array_distinct("__words")).cast("long").alias("n_distinct"),
         lines.alias("__lines"),
-        F.when(F.size("__words") >= 3, F.array_sort(windows)).alias("__windows"),
+        F.when(F.size("__words") >= 3, F.sort_array(windows)).alias("__windows"),
     )
     ordered = F.col("__windows")
     equal = F.filter(
@@ -63,7 +70,7 @@ def measures(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: tupl
     )
     listed = listed.withColumn("__equal", F.when(F.size(ordered) >= 2, equal))
     both = F.flatten(F.transform("__equal", lambda k: F.array(F.get(ordered, k - 1)["i"], F.get(ordered, k)["i"])))
-    listed = listed.withColumn("__places", F.when(F.size("__equal") > 0, F.array_sort(F.array_distinct(both))))
+    listed = listed.withColumn("__places", F.when(F.size("__equal") > 0, F.sort_array(F.array_distinct(both))))
     places = F.col("__places")
     covered = F.aggregate(
         F.sequence(F.lit(1), F.size(places) - 1),
@@ -129,12 +136,16 @@ def fit(patterns: DataFrame, rounds: int = ROUNDS) -> dict:
         ).first()
         if not row["__rows"]:
             break
+        before = [model["prior"], *model["accuracies"].values()]
         model = {
             "prior": min(HIGH, max(1 - HIGH, row["__sum"] / row["__rows"])),
             "accuracies": {
                 n: min(HIGH, max(LOW, row[f"right_{n}"] / row[f"cast_{n}"])) if row[f"cast_{n}"] else ACCURACY for n in RULES
             },
         }
+        after = [model["prior"], *model["accuracies"].values()]
+        if max(abs(a - b) for a, b in zip(before, after, strict=True)) <= TOLERANCE:
+            break
     return model
 
 
@@ -164,10 +175,11 @@ def quality(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
 
 
 def accept(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps, unchanged; the verdict is a projection, so no text is shuffled."""
-    model = fit(materialize(patterns(measures(docs, id, text))))
+    """The rows of ``docs`` that ``quality`` keeps, unchanged.
+
+    The rows are written once with their counts, since estimation and verdict both read them; no text is shuffled.
+    """
     carried = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    judged = judge(measures(carried, id, text, ("__row",)), model)
-    # The generator keeps the filter from being copied below the projections, where it would repeat all their work.
-    judged = judged.select("__row", F.explode(F.array("kept")).alias("__kept")).where("__kept")
-    return judged.select("__row.*")
+    measured = materialize(measures(carried, id, text, ("__row",)))
+    judged = judge(measured, fit(materialize(patterns(measured))))
+    return judged.where("kept").select("__row.*")
