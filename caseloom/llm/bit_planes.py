@@ -11,15 +11,17 @@ from __future__ import annotations
 import json
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import Folder, arrow_map, range_cuts, range_shards, shuffle_partitions
+from caseloom.llm.common import Folder, arrow_map, range_cuts, range_shards, shuffle_partitions, slices
 from caseloom.llm.text_units import UnitEncoder, loaded
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -165,22 +167,28 @@ def encode(docs: DataFrame, id: str, text: str, tokenizer: str, end: int | None)
     from tokenizers import Tokenizer
 
     size = Tokenizer.from_file(tokenizer).get_vocab_size()
-    kind = "<u2" if max(size, end or 0) < 1 << 16 else "<u4"
-    last = b"" if end is None else np.array([end], kind).tobytes()
+    code = "H" if size <= 1 << 16 else "I"
+    kind = "<u2" if max(size, (end or 0) + 1) <= 1 << 16 else "<u4"
 
-    def kept(unit: str, found) -> bytes:
-        return np.array(found.ids, kind).tobytes()
+    def packed(ids: list[int]) -> bytes:
+        return array(code, ids).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(
-            ("ids", tokenizer, kind), lambda: UnitEncoder(tokenizer, kept, lambda unit, first, second: first + second)
+            ("ids", tokenizer),
+            lambda: UnitEncoder(tokenizer, lambda unit, found: packed(found.ids), lambda unit, first, second: first + second, packed),
         )
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = encoder.encode([t or "" for t in part.column(1).to_pylist()])
-                ids = pa.array([b"".join(known) + last for _, known in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
+            for part in slices(batch, 1):
+                ids, counts = encoder.packed(pc.fill_null(part.column(1), ""))
+                ends, ids = np.cumsum(counts), ids.astype(kind)
+                if end is not None:
+                    ids = np.insert(ids, ends, end)
+                    ends += np.arange(1, len(ends) + 1)
+                offsets = np.concatenate([[0], ends * ids.itemsize]).astype("<i4")
+                buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))]
+                out = pa.Array.from_buffers(pa.binary(), part.num_rows, buffers)
+                yield pa.RecordBatch.from_arrays([part.column(0), out], names=["doc_id", "ids"])
 
     texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return arrow_map(texts, run, "doc_id long, ids binary"), kind
@@ -237,6 +245,7 @@ def write(
     with files.write(temporary) as sink:
         sink.write(json.dumps({"tokens": start, "files": entries}).encode())
     files.commit(temporary, MANIFEST)
+    files.clear()
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +74,17 @@ def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, column: int, limit: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have up to ``limit`` bytes together; a longer text is a part of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        base = ends[at - 1] if at else 0
+        rows = max(1, int(np.searchsorted(ends[at:], base + limit, "right")))
+        yield batch.slice(at, rows)
+        at += rows
+
+
 def range_cuts(df: DataFrame, key: str, shards: int) -> list[float]:
     """Ascending cuts of a numeric key into about equal shards: approximate quantiles, from one scan of the key."""
     keys = df.select(F.col(key).cast("double").alias("key"))
@@ -80,6 +93,8 @@ def range_cuts(df: DataFrame, key: str, shards: int) -> list[float]:
 
 def range_shards(df: DataFrame, key: str, cuts: list[float], out: str) -> DataFrame:
     """Add the number of cuts at or below the key, 0 for NULL; a projection."""
+    from pyspark.ml.feature import Bucketizer  # for the driver alone: workers that import this module stay small
+
     if not cuts:
         return df.withColumn(out, F.lit(0))
     value = fresh(df.columns, "value")
@@ -108,6 +123,12 @@ class Folder:
         """Rename. Repeated attempts write the same bytes, so it does not matter which of them is last."""
         self.store.move(f"{self.path}/{temporary}", f"{self.path}/{name}")
 
+    def clear(self) -> None:
+        """Delete what failed attempts have left: names that begin with a point. For use once the manifest is there."""
+        for info in self.store.get_file_info(pyarrow.fs.FileSelector(self.path)):
+            if info.base_name.startswith(".") and info.type == pyarrow.fs.FileType.File and not info.base_name.endswith(".crc"):
+                self.store.delete_file(info.path)
+
 
 def positions(df: DataFrame, group: list[str], order: list[Column], out: str) -> DataFrame:
     """Number the rows of every group 0, 1, 2 … in ``order``; group and order columns may be NULL.

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm.common import arrow_map
-from caseloom.llm.text_units import REMEMBERED, Memory, loaded
+from caseloom.llm.text_units import ENTRY, REMEMBERED, Memory, loaded
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -121,7 +121,7 @@ class Pieces:
 
     def admission(self, before: int, id: int) -> bool:
         """``admits`` by ids, remembered; ``before`` is -1 at the start."""
-        if len(self.admitted) > REMEMBERED:
+        if len(self.admitted) * ENTRY > REMEMBERED:
             self.admitted.clear()
         found = self.admits(self.names.get(before, ""), self.names[id])
         self.admitted[(before + 1 << 32) + id] = found

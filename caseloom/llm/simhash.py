@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import arrow_map, columns, fresh, one_of_each, same, text_digest
+from caseloom.llm.common import arrow_map, columns, fresh, one_of_each, same, slices, text_digest
 from caseloom.llm.graph import components
 from caseloom.session import materialize
 
@@ -65,10 +65,11 @@ def fingerprints(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = batch.column(1).cast(pa.binary()).to_pylist()
-            found = pa.array([fingerprint(b or b"", shingle) for b in bodies], pa.int64())
-            kept = batch.columns[2:]
-            yield pa.RecordBatch.from_arrays([batch.column(0), found, *kept], names=["doc_id", "fp", "sha"][: 2 + len(kept)])
+            for part in slices(batch, 1, PIECE):
+                bodies = part.column(1).cast(pa.binary())
+                found = pa.array([fingerprint(b.as_py() or b"", shingle) for b in bodies], pa.int64())
+                kept = part.columns[2:]
+                yield pa.RecordBatch.from_arrays([part.column(0), found, *kept], names=["doc_id", "fp", "sha"][: 2 + len(kept)])
 
     kind = docs.schema[id].dataType.simpleString()
     texts = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), *([text_digest(text).alias("sha")] if digest else []))
