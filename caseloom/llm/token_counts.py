@@ -65,12 +65,23 @@ def attribute(spans: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: i
         at = np.sort(at)
         counts = np.searchsorted(at, ends, "left") - np.searchsorted(at, starts, "left")
     # A token that spans a whole section crosses both its ends and is one token.
-    around = np.array([np.count_nonzero((first < a) & (last > b)) for a, b in zip(starts, ends, strict=True)]) if (
-        len(starts) and (crossing(starts) & crossing(ends)).any()
-    ) else np.zeros(len(starts), np.int64)
+    around = spanning(first, last, starts, ends) if (crossing(starts) & crossing(ends)).any() else 0
     return counts, np.where(ends > starts, crossing(starts) + crossing(ends) - around, 0)
 
 
+def spanning(first: np.ndarray, last: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For every section the tokens that begin before it and end behind it.
+
+    Tokens in the order of the text end in that order too; the ones sought are then those between two places. Where a
+    tokenizer reports other spans, the sections are gone through one by one.
+    """
+    order = np.lexsort((last, first))
+    first, last = first[order], last[order]
+    if (np.diff(last) >= 0).all():
+        return np.maximum(0, np.searchsorted(first, starts, "left") - np.searchsorted(last, ends, "right"))
+    return np.array([np.count_nonzero((first < a) & (last > b)) for a, b in zip(starts, ends, strict=True)], np.int64)
+
+
 def lines(text: str) -> tuple[list[int], list[int]]:
     """The lines of a text as spans, each with its line feed."""
     starts, at = [0], text.find("\n")

@@ -155,6 +155,7 @@ def write(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url",
     with files.write(temporary) as sink:
         sink.write(json.dumps({"files": listed}).encode())
     files.commit(temporary, MANIFEST)
+    files.clear()
 
 
 def members(source) -> Iterator[bytes]:
