@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 # Streaming state on local disk instead of the executor heap.
@@ -50,12 +51,24 @@ def checkpoint_root(spark: SparkSession) -> str:
     return folder
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{checkpoint_root(spark)}/caseloom/{spark.sparkContext.applicationId}"
+
+
+def remove_intermediates(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; frames that read them are of no use afterwards."""
+    store, path = pyarrow.fs.FileSystem.from_uri(work_folder(spark))
+    if store.get_file_info(path).type != pyarrow.fs.FileType.NotFound:
+        store.delete_dir(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet under the checkpoint folder and read it back.
 
     Later jobs start from the files, so they neither repeat the work nor depend on executors that may be lost, read only
-    the columns they use, and know the table's size. The folder belongs to the cluster, which decides how long to keep it.
+    the columns they use, and know the table's size. ``remove_intermediates`` deletes them when a job is done.
     """
-    path = f"{checkpoint_root(df.sparkSession)}/caseloom/{uuid.uuid4().hex}"
+    path = f"{work_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ from oracle import connect
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
+from caseloom import session
 from caseloom.__main__ import main
 from caseloom.plans import oracles, workflow
 from caseloom.sources import encounters as enc
@@ -101,6 +102,31 @@ def test_training_from_the_command_line(spark, study, monkeypatch):
     predictions = spark.read.option("header", True).csv(f"{study}/run/forest_predictions")
     assert predictions.columns == ["n", "label", "predicted_label", "predicted_probability"]
     assert spark.read.option("header", True).csv(f"{study}/run/forest_confusion_matrix").count() == 4
+    tables = {"forest_probabilities": ["n", "true_label", "predicted_probability"], "forest_roc": ["threshold", "fpr", "tpr"]}
+    tables |= {"text_probabilities": ["n", "prompt", "true_label", "readmission_probability"], "forest_grid": ["parameters", "f1"]}
+    for name, columns in tables.items():
+        assert spark.read.option("header", True).csv(f"{study}/run/{name}").columns == columns
+    importances = spark.read.option("header", True).csv(f"{study}/run/forest_importances")
+    assert importances.count() == 11 and {r.feature for r in importances.collect()} >= {"CCI_Score", "I10_DX1", "CPT5"}
+
+
+def test_intermediate_tables_are_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "work_folder", lambda spark: str(tmp_path / "work"))
+    assert session.materialize(spark.range(5)).count() == 5 and (tmp_path / "work").exists()
+    session.remove_intermediates(spark)
+    assert not (tmp_path / "work").exists()
+    session.remove_intermediates(spark)
+
+
+def test_label_from_the_command_line(spark, tmp_path):
+    rows = [("1", 7, "2024-01-01", "1"), ("2", 7, "2024-01-20", "7"), ("3", 7, "2024-03-30", "1"), ("4", 8, "2024-01-01", "7")]
+    spark.createDataFrame(rows, "N string, patient_id int, day string, left_as string").selectExpr(
+        "N", "patient_id", "CAST(day AS TIMESTAMP) AS admit", "left_as"
+    ).write.parquet(str(tmp_path / "in"))
+    main(["label", str(tmp_path / "in"), str(tmp_path / "out")])
+    assert {(r.N, r.Readmitted30) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("1", 1), ("2", 0), ("3", 0), ("4", 0)}
+    main(["label", str(tmp_path / "in"), str(tmp_path / "some"), "--exclude", "left_as"])
+    assert {(r.N, r.Readmitted30) for r in spark.read.parquet(str(tmp_path / "some")).collect()} == {("1", 1), ("3", 0)}
 
 
 def test_unknown_model(spark, study):
