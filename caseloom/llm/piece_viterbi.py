@@ -28,6 +28,8 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 #: What an unknown character scores below the worst piece in a unigram model.
 PENALTY = 10.0
+#: Bytes of units and ids that a worker remembers.
+BOUND = 256 << 20
 
 
 def default_model() -> str:
@@ -98,7 +100,7 @@ class Pieces:
             raise ValueError("unigram models, and BPE models whose characters are all pieces, can be searched")
         self.foreign = re.compile(f"[^{re.escape(''.join(sorted(letters)))}]")
         self.names = {id: piece for piece, id in self.ids.items()}
-        self.memory = Memory(self.remembered)
+        self.memory = Memory(self.remembered, BOUND)
         self.admitted: dict[int, bool] = {}
 
     def merged(self, symbols: str) -> list[str]:

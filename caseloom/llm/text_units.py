@@ -36,22 +36,22 @@ def entry_bytes(unit: str, value: object) -> int:
 
 
 class Memory(dict):
-    """A dictionary that makes missing values and keeps those of short units, at most ``REMEMBERED`` bytes of them.
+    """A dictionary that makes missing values and keeps those of short units, at most ``bound`` bytes of them.
 
     Half of the bytes belong to the units asked for since the last change of halves, half to those before; what is asked for
     again moves over, the rest is forgotten.
     """
 
-    def __init__(self, make: Callable) -> None:
+    def __init__(self, make: Callable, bound: int = 0) -> None:
         super().__init__()
-        self.make, self.older, self.held = make, {}, 0
+        self.make, self.bound, self.older, self.held = make, bound, {}, 0
 
     def __missing__(self, unit: str):
         value = self.older.get(unit)
         if value is None:
             value = self.make(unit)
         if len(unit) <= LONGEST:
-            if 2 * self.held > REMEMBERED:
+            if 2 * self.held > (self.bound or REMEMBERED):
                 self.older = dict(self)
                 self.clear()
                 self.held = 0
@@ -91,15 +91,18 @@ class UnitEncoder:
 
     Units may be encoded alone if nothing looks over white space: byte-level pre-tokens, no normaliser, no template of
     special tokens, and added tokens that neither hold white space nor take it in. Other tokenizers get whole texts.
-    With ``of_ids``, which makes the same from ids alone, plain words go to the library's model without pre-tokenization.
+    With ``of_ids``, which makes the same from ids alone, plain words go to the library's model without pre-tokenization; with
+    ``of_names``, which makes it from the names of the tokens, they do as well.
     ``of_ids`` gives bytes of ``id_type`` where ``packed`` is used. Units up to ``LONGEST`` are remembered, ``REMEMBERED`` bytes of them in two halves, as ``Memory`` does.
     """
 
-    def __init__(self, path: str, of: Callable, join: Callable, of_ids: Callable | None = None) -> None:
+    def __init__(
+        self, path: str, of: Callable, join: Callable, of_ids: Callable | None = None, of_names: Callable | None = None, bound: int = 0
+    ) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.of, self.join, self.of_ids = of, join, of_ids
+        self.of, self.join, self.of_ids, self.of_names, self.bound = of, join, of_ids, of_names, bound
         self.known, self.older, self.held = {}, {}, 0
         self.id_type = np.dtype("u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "u4")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -144,7 +147,7 @@ class UnitEncoder:
         kept = {u: v for u, v in fresh.items() if len(u) <= LONGEST}
         self.known.update(kept)
         self.held += sum(map(getsizeof, kept)) + sum(map(getsizeof, kept.values())) + ENTRY * len(kept)
-        if 2 * self.held > REMEMBERED:
+        if 2 * self.held > (self.bound or REMEMBERED):
             self.known, self.older, self.held = {}, self.known, 0
         return found
 
@@ -253,6 +256,12 @@ class UnitEncoder:
             for unit in plain:
                 made[unit] = of_ids([t.id for t in tokenize(unit.translate(spelled))])
             missing.difference_update(plain)
+        if self.of_names:
+            tokenize, of_names = self.tokenizer.model.tokenize, self.of_names
+            plain, table = list(filter(WORD.fullmatch, missing)), self.alphabet
+            for unit in plain:
+                made[unit] = of_names(unit, [t.value for t in tokenize(charmap_decode(unit.encode(), "strict", table)[0])])
+            missing.difference_update(plain)
         listed = list(missing)
         for unit, found in zip(listed, self.tokenizer.encode_batch(listed, add_special_tokens=False), strict=True):
             made[unit] = self.of(unit, found)

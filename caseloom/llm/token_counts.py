@@ -7,7 +7,9 @@ join assigns tokens to sections. A token that crosses a boundary goes by one rul
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,26 +22,36 @@ from caseloom.llm.common import arrow_map, fresh
 from caseloom.llm.text_units import UnitEncoder, loaded
 
 RULES = ("first", "middle", "last", "share")
+#: Bytes of words and spans that a worker remembers.
+BOUND = 384 << 20
 
 
-def spans_of(unit: str, found) -> tuple[int, bytes]:
-    """Token count and spans, relative to the unit, as bytes."""
-    spans = np.array(found.offsets, "<i4").reshape(-1, 2)
-    return len(spans), spans.tobytes()
+def spans_of(unit: str, found) -> bytes:
+    """The spans of a unit's tokens, relative to the unit: start and end as 32-bit integers."""
+    return array("i", chain.from_iterable(found.offsets)).tobytes()
 
 
-def joined_spans(unit: str, first: tuple[int, bytes], second: tuple[int, bytes]) -> tuple[int, bytes]:
-    moved = np.frombuffer(second[1], "<i4") + len(unit)
-    return first[0] + second[0], first[1] + moved.astype("<i4").tobytes()
+def spans_of_names(unit: str, names: list[str]) -> bytes:
+    """The same for a word of letters up to U+017F from the names of its tokens, which have a character for every byte."""
+    ends = list(accumulate(map(len, names)))
+    starts = [0, *ends[:-1]]
+    if not unit.isascii():
+        char = [i for i, c in enumerate(unit) for _ in range(1 if c < "\x80" else 2)]
+        starts, ends = [char[b] for b in starts], [char[b - 1] + 1 for b in ends]
+    return array("i", chain.from_iterable(zip(starts, ends, strict=True))).tobytes()
 
 
-def token_spans(units: list[str], known: list[tuple[int, bytes]]) -> np.ndarray:
+def joined_spans(unit: str, first: bytes, second: bytes) -> bytes:
+    return first + array("i", [x + len(unit) for x in array("i", second)]).tobytes()
+
+
+def token_spans(units: list[str], known: list[bytes]) -> np.ndarray:
     """The ``(start, end)`` of every token of a text, in characters of the text."""
     if not units:
         return np.empty((0, 2), np.int64)
-    counts = np.fromiter((k[0] for k in known), np.int64, len(known))
+    counts = np.fromiter(map(len, known), np.int64, len(known)) // 8
     lengths = np.fromiter(map(len, units), np.int64, len(units))
-    spans = np.frombuffer(b"".join([k[1] for k in known]), "<i4").reshape(-1, 2).astype(np.int64)
+    spans = np.frombuffer(b"".join(known), "<i4").reshape(-1, 2).astype(np.int64)
     return spans + np.repeat(np.cumsum(lengths) - lengths, counts)[:, None]
 
 
@@ -124,7 +136,7 @@ def section_tokens(
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = loaded(("spans", path), lambda: UnitEncoder(path, spans_of, joined_spans))
+        encoder = loaded(("spans", path), lambda: UnitEncoder(path, spans_of, joined_spans, of_names=spans_of_names, bound=BOUND))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

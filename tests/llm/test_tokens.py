@@ -81,13 +81,13 @@ def test_any_range_is_read_by_its_blocks(tmp_path):
 def test_units_encode_like_whole_texts(tokenizer, documents):
     texts = [r.text for r in documents.select("text").limit(150).collect()] + ODD
     encoder = bit_planes.UnitEncoder(
-        bit_planes.default_tokenizer(), lambda u, e: (list(e.ids), *token_counts.spans_of(u, e)), lambda u, a, b: (a[0] + b[0], *token_counts.joined_spans(u, a[1:], b[1:]))
+        bit_planes.default_tokenizer(), lambda u, e: (list(e.ids), token_counts.spans_of(u, e)), lambda u, a, b: (a[0] + b[0], token_counts.joined_spans(u, a[1], b[1]))
     )
     assert encoder.by_unit
     for text, (units, known) in zip(texts, encoder.encode(texts), strict=True):
         whole = tokenizer.encode(text, add_special_tokens=False)
         assert [i for k in known for i in k[0]] == whole.ids
-        assert token_counts.token_spans(units, [k[1:] for k in known]).tolist() == [list(o) for o in whole.offsets]
+        assert token_counts.token_spans(units, [k[1] for k in known]).tolist() == [list(o) for o in whole.offsets]
 
 
 def counted(spans, start, end, rule):
