@@ -94,7 +94,7 @@ def mine(
     found = occurrences(sets, kept, spoken).withColumn("confidence", F.col("freq") / F.col("rows"))
     found = materialize(found.where(F.col("confidence") >= confidence))
     rules = found.select("items", "confidence", (F.col("freq") / F.lit(count)).alias("support"))
-    return rules.join(pruned(rules), "items", "left_anti")
+    return rules.join(pruned(rules).hint("merge"), "items", "left_anti")
 
 
 def speakers(each: DataFrame, count: int, need: int) -> DataFrame:
@@ -113,18 +113,21 @@ def speakers(each: DataFrame, count: int, need: int) -> DataFrame:
 
 
 def occurrences(sets: DataFrame, baskets: DataFrame, spoken: DataFrame) -> DataFrame:
-    """Add ``rows``, the number of ``baskets`` that hold all ``items`` of a set; sets are looked up by their rarest token."""
-    rarest = sets.withColumn("token", F.explode("items")).join(spoken, "token").groupBy("items", "freq")
+    """Add ``rows``, the number of ``baskets`` that hold all ``items`` of a set; sets are looked up by their rarest token.
+
+    How many sets there are depends on the rows, so no table of sets is broadcast.
+    """
+    rarest = sets.withColumn("token", F.explode("items")).hint("merge").join(spoken, "token").groupBy("items", "freq")
     keyed = rarest.agg(F.min(F.struct("seen", "token")).getField("token").alias("token"))
     probes = baskets.select(F.col("items").alias("held"), F.explode("items").alias("token"))
-    met = probes.join(keyed, "token").where(F.size(F.array_except("items", "held")) == 0)
+    met = probes.join(keyed.hint("merge"), "token").where(F.size(F.array_except("items", "held")) == 0)
     return met.groupBy("items", "freq").agg(F.count("*").alias("rows"))
 
 
 def pruned(rules: DataFrame) -> DataFrame:
     """The ``items`` of rules for which a rule of some of their tokens has at least their confidence."""
     shorter = rules.select(F.col("items").alias("some"), F.col("confidence").alias("theirs"), F.col("items")[0].alias("token"))
-    longer = rules.where("size(items) > 1").withColumn("token", F.explode("items")).join(shorter, "token")
+    longer = rules.where("size(items) > 1").withColumn("token", F.explode("items")).join(shorter.hint("merge"), "token")
     held = (F.size("some") < F.size("items")) & (F.size(F.array_except("some", "items")) == 0)
     return longer.where(held & (F.col("theirs") >= F.col("confidence"))).select("items").distinct()
 
