@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.numbers import embedding_size
-from caseloom.operators.joins import BROADCAST_BYTES, lookup_join
+from caseloom.operators.joins import BROADCAST_BYTES, HOT_FLOOR, hot_keys, lookup_join, with_fan
 from caseloom.operators.ranks import ROWS_PER_BUCKET, prefix_sums, random_order, text_bucket
 from caseloom.operators.sampling import SEED
 from caseloom.session import materialize
@@ -150,19 +151,40 @@ def apply_target_means(
 
 
 def ordered_means(
-    df: DataFrame, codes: list[str], label: str, key: str, prior: float, smoothing: float = 1.0, seed: int = SEED
+    df: DataFrame,
+    codes: list[str],
+    label: str,
+    key: str,
+    prior: float,
+    smoothing: float = 1.0,
+    seed: int = SEED,
+    hot_floor: int = HOT_FLOOR,
 ) -> DataFrame:
     """Add ``encoded``: the mean label of the level's rows that come before the row in a random order, drawn to ``prior``.
 
     No row's own label enters its value, so the column tells nothing about it. Rows of a level stand in the order of a hash
-    of ``key`` and the seed, then of the key itself, which must be unique in a level. The sums are prefix sums over hash
-    buckets: a level with a third of all rows is spread over 65,536 of them. A level with a NULL is a level.
+    of ``key`` and the seed, then of the key itself, which must be unique in a level. A level is ranked in one
+    place; only a hot one is split into ranges of the hash, whose sums are joined. The hash is made again after the rows are
+    dealt out, so that it is not shuffled. A level with a NULL is a level.
     """
-    ordered = df.withColumn("_order", random_order(key, seed)).withColumn("_bucket", F.substring("_order", 1, 4))
-    sums = {"_pos": F.coalesce(F.col(label), F.lit(0)).cast("long"), "_rows": F.col(label).isNotNull().cast("long")}
-    summed = prefix_sums(ordered, codes, "_bucket", ["_order", key], sums)
+    order, sums = random_order(key, seed), {"_pos": F.coalesce(F.col(label), F.lit(0)).cast("long"), "_rows": F.col(label).isNotNull().cast("long")}
+    hot, parts, rows = hot_keys(df, codes, hot_floor=hot_floor), list(codes), df
+    if hot is not None:
+        place = F.conv(F.substring(order, 1, 4), 16, 10).cast("int")
+        bucket = F.floor(place * F.coalesce("_fan", F.lit(1)) / 65536).cast("int")
+        rows, parts = with_fan(df, hot, codes).withColumn("_bucket", bucket), [*codes, "_bucket"]
+        counted = rows.where("_fan IS NOT NULL").groupBy(*parts).agg(*[F.sum(value).alias(name) for name, value in sums.items()])
+        earlier = Window.partitionBy(*codes).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        before = counted.select(*[F.col(c).alias(f"_in_{c}") for c in parts], *[F.sum(s).over(earlier).alias(f"_before{s}") for s in sums])
+    level = Window.partitionBy(*parts).orderBy("_order", key).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = rows.repartition(*parts).withColumn("_order", order)
+    summed = dealt.withColumns({name: F.coalesce(F.sum(value).over(level), F.lit(0)) for name, value in sums.items()})
+    if hot is not None:  # a few ranges for each hot level
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_in_{c}")) for c in parts])
+        summed = summed.join(F.broadcast(before), same, "left")
+        summed = summed.withColumns({s: F.col(s) + F.coalesce(f"_before{s}", F.lit(0)) for s in sums})
     encoded = smoothed_mean(F.col("_pos"), F.col("_rows"), F.lit(prior), smoothing)
-    return summed.withColumn("encoded", encoded).drop("_order", "_bucket", "_pos", "_rows")
+    return summed.withColumn("encoded", encoded).select(*df.columns, "encoded")
 
 
 def position_vector(

@@ -22,6 +22,36 @@ def table_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(width.cast("long"))).first()[0] or 0
 
 
+def hot_keys(
+    measured: DataFrame, on: list[str], hot_share: float = HOT_SHARE, hot_floor: int = HOT_FLOOR
+) -> DataFrame | None:
+    """``(on…, _fan)``: the keys above ``max(hot_floor, hot_share * rows)`` rows and over how many tasks to split them.
+
+    They are recognised in a sample of the keys, which only decides a layout: at half the expected count, fewer than
+    ``2 / hot_share`` keys qualify. None where no key is hot.
+    """
+    rows = measured.count()
+    limit = max(hot_floor, int(rows * hot_share))
+    if rows <= limit:
+        return None
+    fraction = min(1.0, HOT_SAMPLE / rows)
+    keys = measured.select(*on)
+    if fraction < 1.0:
+        keys = keys.sample(fraction, seed=1)
+    counted = keys.groupBy(*on).agg(F.count("*").alias("_rows"))
+    fan = F.ceil(F.col("_rows") / (limit * fraction)).cast("int").alias("_fan")
+    hot = counted.where(F.col("_rows") > limit * fraction / 2).select(*on, fan)
+    found = hot.collect()  # fewer than 2 / hot_share rows by the threshold
+    return measured.sparkSession.createDataFrame(found, hot.schema) if found else None
+
+
+def with_fan(side: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
+    """Add ``_fan`` of the row's key, NULL where it is not hot; NULL keys are keys."""
+    renamed = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in on], "_fan")
+    same = reduce(lambda a, b: a & b, [side[k].eqNullSafe(renamed[f"_hot_{k}"]) for k in on])
+    return side.join(F.broadcast(renamed), same, "left").drop(*[f"_hot_{k}" for k in on])
+
+
 def lookup_join(
     facts: DataFrame,
     dim: DataFrame,
@@ -51,39 +81,18 @@ def spread_join(
 ) -> DataFrame:
     """Shuffle join that splits every hot key over as many tasks as its own row count asks for.
 
-    A key (NULL included) is hot above ``max(hot_floor, hot_share * rows)`` rows. Hot keys are recognised in a sample of
-    the fact keys, which only decides the layout: at half the expected count, fewer than ``2 / hot_share`` keys qualify.
+    A key (NULL included) is hot as ``hot_keys`` says.
     The salt comes from ``spread_by`` columns of the fact row, which keeps retried tasks deterministic; the matching
     lookup rows are repeated once per salt. No row is dropped and cold keys are joined as usual. Rows and keys are counted
     on ``measured``, a cheaper table with the same keys, where ``facts`` itself is expensive.
     """
     if how not in ("left", "inner"):
         raise ValueError("spread_join keeps the fact side: use 'left' or 'inner'")
-    measured = facts if measured is None else measured
-    rows = measured.count()
-    limit = max(hot_floor, int(rows * hot_share))
-    if rows <= limit:
-        return facts.join(dim, on, how)
-
-    fraction = min(1.0, HOT_SAMPLE / rows)
-    keys = measured.select(*on)
-    if fraction < 1.0:
-        keys = keys.sample(fraction, seed=1)
-    counted = keys.groupBy(*on).agg(F.count("*").alias("_rows"))
-    fan = F.ceil(F.col("_rows") / (limit * fraction)).cast("int").alias("_fan")
-    hot = counted.where(F.col("_rows") > limit * fraction / 2).select(*on, fan)
-    found = hot.collect()  # fewer than 2 / hot_share rows by the threshold
-    if not found:
+    hot = hot_keys(facts if measured is None else measured, on, hot_share, hot_floor)
+    if hot is None:
         return facts.join(dim, on, how)
-    hot = facts.sparkSession.createDataFrame(found, hot.schema)
-
-    def with_fan(side: DataFrame) -> DataFrame:
-        renamed = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in on], "_fan")
-        same = reduce(lambda a, b: a & b, [side[k].eqNullSafe(renamed[f"_hot_{k}"]) for k in on])
-        return side.join(F.broadcast(renamed), same, "left").drop(*[f"_hot_{k}" for k in on])
-
     salt = F.pmod(F.xxhash64(*spread_by), F.coalesce("_fan", F.lit(1))).cast("int")
-    salted = with_fan(facts).withColumn("_salt", salt).drop("_fan")
+    salted = with_fan(facts, hot, on).withColumn("_salt", salt).drop("_fan")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1))
-    repeated = with_fan(dim).withColumn("_salt", copies).drop("_fan")
+    repeated = with_fan(dim, hot, on).withColumn("_salt", copies).drop("_fan")
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")

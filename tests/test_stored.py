@@ -1,5 +1,6 @@
 """Stored layouts, rejected lines, sketches, ordered means and the label on a stream."""
 
+import hashlib
 import math
 import random
 from datetime import datetime, timedelta
@@ -110,3 +111,20 @@ def test_label_on_a_stream_equals_the_batch(spark, tmp_path):
     assert found == {(r.n, r.label) for r in batch.collect()} and len(found) > 400
     kept = [s["numRowsTotal"] for s in query.lastProgress["stateOperators"]] if query.lastProgress else [0]
     assert sum(kept) < 4 * 600 * math.ceil(33) / 400 + 200  # one window of both sides, not the whole stream
+
+
+def test_hot_levels_are_split_and_others_are_not_bucketed(spark):
+    """Ranges of the hash are made for the hot levels alone, and the means are those of the whole order."""
+    kinds = F.when(F.col("id") % 4 > 0, "hot").when(F.col("id") % 8 == 0, F.lit(None)).otherwise(F.concat(F.lit("c"), F.col("id")))
+    rows = spark.range(2000).select(F.col("id").alias("n"), kinds.alias("code"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    listed = rows.collect()
+    wanted, seen = {}, {}
+    for r in sorted(listed, key=lambda r: hashlib.md5(f"{r.n}:42".encode()).hexdigest()):
+        positives, count = seen.get(r.code, (0, 0))
+        wanted[r.n] = (positives + 0.25) / (count + 1)
+        seen[r.code] = (positives + r.label, count + 1)
+    for floor in (100, 10_000):
+        made = encode.ordered_means(rows, ["code"], "label", "n", prior=0.25, hot_floor=floor)
+        assert {r.n: r.encoded for r in made.collect()} == pytest.approx(wanted)
+    made = encode.ordered_means(rows, ["code"], "label", "n", prior=0.25)
+    assert plan(made).count("Exchange") == 1  # the rows are dealt out once, and no table of buckets is joined
