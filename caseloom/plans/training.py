@@ -124,15 +124,21 @@ def ordinal_encode(spark: SparkSession, folder: str) -> DataFrame:
     train = cut.mark(filled, "test").where("NOT test")
     levels = _levels(train, cut.mark(rows, "test").where("NOT test").count())
     encoded = encode.ordinal_encode(filled, levels, "col", "code", ["n"])
-    grouped = encoded.groupBy("n").agg(F.map_from_entries(F.collect_list(F.struct("col", "ordinal"))).alias("cells"))
+    cell = F.struct(F.right("col", F.lit(3)).cast("int").alias("pos"), "ordinal")
+    listed = [F.map_from_entries(F.collect_list(F.when(F.col("col").startswith(kind), cell))).alias(f"_{kind}") for kind in WIDTHS]
+    grouped = encoded.groupBy("n").agg(*listed)
     empty = {row["col"]: row["ordinal"] for row in levels.where("code = 'missing'").collect()}  # one row per column
 
     def texts(kind: str) -> Column:
-        cells = [
-            F.coalesce(F.try_element_at("cells", F.lit(name)), F.lit(empty.get(name, encode.UNSEEN)))
-            for name in (f"{kind}{i:03d}" for i in range(1, WIDTHS[kind] + 1))
-        ]
-        return F.array_join(F.array(*cells).cast("array<string>"), ",").alias(kind)
+        """The cells up to the last filled one are looked up by number; the text of all cells after it is a constant."""
+        fillers = [empty.get(f"{kind}{i:03d}", encode.UNSEEN) for i in range(1, WIDTHS[kind] + 1)]
+        last = F.coalesce(F.array_max(F.map_keys(f"_{kind}")), F.lit(0))
+        looked_up = F.transform(
+            F.slice(F.lit(fillers), 1, last), lambda filler, i: F.coalesce(F.try_element_at(f"_{kind}", i + 1), filler.cast("long"))
+        )
+        head = F.when(last > 0, F.array_join(looked_up.cast("array<string>"), ","))
+        tails = [",".join(map(str, fillers[i:])) or None for i in range(len(fillers) + 1)]
+        return F.concat_ws(",", head, F.get(F.array(*map(F.lit, tails)), last)).alias(kind)
 
     return rows.join(grouped, "n", "left").select("n", texts("dx"), texts("cpt"))
 
