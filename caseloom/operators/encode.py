@@ -95,8 +95,9 @@ def fit_fold_means(
     ``codes`` are the columns that name a level, for example the feature position and its code. The rows are combined
     map-side to one per level and fold.
     """
-    own = df.groupBy(*codes, fold).agg(F.sum(label).alias("_own_pos"), F.count(label).alias("_own_rows"))
-    every = own.groupBy(*codes).agg(F.sum("_own_pos").alias("_all_pos"), F.sum("_own_rows").alias("_all_rows"))
+    own = df.dropna(subset=codes).groupBy(*codes, fold).agg(F.sum(label).alias("_own_pos"), F.count(label).alias("_own_rows"))
+    level = Window.partitionBy(*codes)  # a row per fold
+    every = own.withColumns({f"_all_{c}": F.sum(f"_own_{c}").over(level) for c in ("pos", "rows")})
     base = df if prior_rows is None else prior_rows
     sizes = base.groupBy(fold).agg(F.sum(label).alias("pos"), F.count(label).alias("rows")).collect()  # one row per fold
     pos, rows = sum(s["pos"] or 0 for s in sizes), sum(s["rows"] for s in sizes)
@@ -111,7 +112,7 @@ def fit_fold_means(
         prior,
         smoothing,
     )
-    table = own.dropna(subset=codes).join(every, codes).select(*codes, fold, encoded.alias("encoded"))
+    table = every.select(*codes, fold, encoded.alias("encoded"))
     return FoldMeans(materialize(table), prior)
 
 
