@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions.slots import slot_lookup, slot_table
-from caseloom.operators.joins import lookup_join, spread_join
+from caseloom.operators.joins import BROADCAST_BYTES, lookup_join, spread_join, table_bytes
 from caseloom.operators.ranks import prefix_sums, running_totals, text_bucket
 from caseloom.session import materialize
 
@@ -84,18 +84,36 @@ def fit_vocabulary(df: DataFrame, text: str, size: int = MAX_VOCABULARY) -> Voca
     return Vocabulary({row.token: row.token_id for row in rows})
 
 
-def table_ids(df: DataFrame, key: str, text: str, vocabulary: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
+def looked_up(kept: DataFrame, vocabulary: DataFrame, spread_by: list[str], broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Add ``token_id`` to rows with a ``token``. The most frequent words, as many as may be broadcast, are found without a
+    shuffle; only the tokens that are left meet the other words in a shuffle join."""
+    size = table_bytes(vocabulary)
+    if size <= broadcast_bytes:
+        return kept.join(F.broadcast(vocabulary), "token", "left")
+    rare = F.col("token_id") >= FIRST_WORD + int(vocabulary.count() * broadcast_bytes / size)
+    tried = kept.join(F.broadcast(vocabulary.where(~rare)), "token", "left")
+    tried = materialize(tried.withColumn("token", F.when(F.col("token_id").isNull(), F.col("token"))))
+    left = tried.where("token IS NOT NULL").drop("token_id")
+    found = spread_join(left, vocabulary.where(rare), ["token"], spread_by)
+    return tried.where("token IS NULL").unionByName(found)
+
+
+def table_ids(
+    df: DataFrame, key: str, text: str, vocabulary: DataFrame, max_length: int = MAX_LENGTH, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """``(key, ids)`` with start and end marker, cut to ``max_length``, from a vocabulary table of any size.
 
-    The tokens that are kept, at most ``max_length`` a text, meet the vocabulary in a join that splits frequent tokens, and
-    go back to their text by its unique key. Tokens that the table does not hold become ``UNKNOWN``.
+    The tokens that are kept, at most ``max_length`` a text, meet the vocabulary, whose ids are those of
+    ``vocabulary_frame``, and go back to their text by its unique key, position and id in one number. Tokens that the table
+    does not hold become ``UNKNOWN``.
     """
     cut = F.slice(tokens(F.col(text)), 1, max_length - MARKERS)
-    kept = materialize(df.select(F.col(key), F.posexplode_outer(cut).alias("_pos", "token")))
-    found = lookup_join(kept, vocabulary.select("token", "token_id"), ["token"], [key, "_pos"])
-    known = F.when(F.col("token").isNotNull(), F.struct("_pos", F.coalesce("token_id", F.lit(UNKNOWN)).cast("int").alias("id")))
-    listed = found.groupBy(key).agg(F.array_sort(F.collect_list(known)).alias("_listed"))
-    inside = F.transform("_listed", lambda p: p["id"])
+    kept = df.select(F.col(key), F.posexplode_outer(cut).alias("_pos", "token"))
+    found = looked_up(kept, vocabulary.select("token", "token_id"), [key, "_pos"], broadcast_bytes)
+    token_id = F.coalesce("token_id", F.lit(UNKNOWN)).cast("int").cast("long")
+    placed = F.when(F.col("_pos").isNotNull(), F.shiftleft(F.col("_pos").cast("long"), 32) + token_id)
+    listed = found.groupBy(key).agg(F.sort_array(F.collect_list(placed)).alias("_listed"))
+    inside = F.transform("_listed", lambda p: p.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
     return listed.select(key, F.concat(F.array(F.lit(START)), inside, F.array(F.lit(END))).alias("ids"))
 
 
