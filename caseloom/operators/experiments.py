@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.operators import boosted, encode, evaluate, models, sampling
-from caseloom.session import materialize
+from caseloom.session import compact, materialize
 
 NO_CODE = -2.0
 
@@ -125,7 +125,7 @@ def boosting(
     ordered = materialize(encode.ordered_means(train_codes, level, "label", "n", prior))
     chosen = held_back(original, ["label"], class_size, fall_back)
     train = assembled(chosen, only(ordered, chosen), "encoded", positions, prior)
-    model = boosted.fit(train, "validation", settings=settings)
+    model = boosted.fit(train, "validation", settings=settings, key="row_id")
 
     fitted = encode.fit_target_means(train_codes, level, "label", prior=prior)
     applied = encode.apply_target_means(only(codes, test), fitted, level, ["n"])
@@ -150,7 +150,7 @@ def network(
         listed = listed.withColumn("words", F.transform("words", lambda w: w["word"]))  # one word per position
         return chosen.join(listed, "n", "left").withColumn("words", F.coalesce("words", empty))
 
-    train = materialize(worded(balanced_rows(original, class_size, fall_back)))
+    train = compact(worded(balanced_rows(original, class_size, fall_back)), "row_id")
     scaler = encode.fit_scaler(train, ["score"])
     pipeline = models.network_pipeline("words", ["score_z"], settings=settings)
     model = pipeline.fit(encode.standardize(train, scaler, "_z"))
@@ -171,7 +171,7 @@ def text(
     split = marked(rows, [])
     original, test = split.where("NOT test"), split.where("test")
     sliced = held_back(original, [], class_size, fall_back)
-    train = sliced.where("NOT validation")
+    train = compact(sliced.where("NOT validation"), "row_id")
     stages = pipeline or models.text_pipeline("prompt")
     best, model, f1 = models.fit_penalties(stages, penalties, train, sliced.where("validation"))
     result = scored(model, test, ("n", "prompt", "label"))

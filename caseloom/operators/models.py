@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.numbers import above
 from caseloom.operators.sampling import FOLDS, SEED, folds
-from caseloom.session import materialize
+from caseloom.session import compact, materialize
 
 # Search grid of the forest, network settings.
 FOREST_GRID = {"numTrees": [200, 300], "maxDepth": [20, 30], "minInstancesPerNode": [2, 4]}
 NETWORK = {"hidden": [256, 128], "epochs": 15, "batch": 256, "embedding": 50, "slots": 1 << 14, "rounds": 60, "penalty": 0.001}
 TEXT_SLOTS = 1 << 18
+#: Rows in a file of the forest's training table, at least; every file adds to the statistics that each node shuffles.
+FOREST_ROWS = 2_500
 
 
 def f1_evaluator(label: str) -> MulticlassClassificationEvaluator:
@@ -109,7 +111,7 @@ def search_forest(
     sizes = grown_sizes(grid.pop("numTrees", [20]))
     others = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
     weighed = with_balanced_weight(train, label)
-    rows = materialize(weighed.withColumn("fold", F.col(fold)) if fold else folds(weighed, key, label, fold_count, seed, "fold"))
+    rows = compact(weighed.withColumn("fold", F.col(fold)) if fold else folds(weighed, key, label, fold_count, seed, "fold"), key, FOREST_ROWS)
 
     def grown(trees: int, part: int, parameters: dict, chosen: DataFrame) -> Model:
         forest = RandomForestClassifier(
@@ -215,11 +217,11 @@ class NetworkPipeline:
         width, slots = chosen["embedding"], chosen["slots"]
         hashing = HashingTF(inputCol=self.codes, outputCol="_levels", numFeatures=slots, binary=True)
         half = F.pmod(F.xxhash64(self.codes, *self.numbers), F.lit(2)) == 0
-        rows = materialize(hashing.transform(train).withColumn("_half", half))
+        rows = hashing.transform(train).withColumn("_half", half)
         machine = FMClassifier(
             labelCol=self.label, featuresCol="_levels", factorSize=width, maxIter=chosen["rounds"], stepSize=0.05,
             regParam=chosen["penalty"], initStd=0.1, seed=self.seed,
-        ).fit(rows.where("_half"))
+        ).fit(compact(rows.where("_half")))
         embeddings = LevelEmbeddings("_levels", machine.factors.toArray(), machine.linear.toArray(), machine.intercept)
         network = Pipeline(
             stages=[
@@ -235,7 +237,7 @@ class NetworkPipeline:
                 ),
             ]
         )
-        return NetworkModel(hashing, embeddings, network.fit(materialize(embeddings.transform(rows.where("NOT _half")))))
+        return NetworkModel(hashing, embeddings, network.fit(compact(embeddings.transform(rows.where("NOT _half")))))
 
 
 def network_pipeline(
@@ -266,7 +268,7 @@ def fit_penalties(
     *features, last = pipeline.getStages()
     fitted = Pipeline(stages=features).fit(train)
     column, evaluator = last.getFeaturesCol(), f1_evaluator(label)
-    rows, held = (materialize(fitted.transform(df).select(label, column)) for df in (train, validation))
+    rows, held = (write(fitted.transform(df).select(label, column)) for write, df in ((compact, train), (materialize, validation)))
     models = {p: last.copy({last.regParam: p}).fit(rows) for p in penalties}
     scores = {p: evaluator.evaluate(model.transform(held)) for p, model in models.items()}
     best = max(scores, key=scores.get)
