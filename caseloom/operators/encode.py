@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,9 +38,10 @@ def ordinal_encode(
     code: str,
     spread_by: list[str],
     broadcast_bytes: int = BROADCAST_BYTES,
+    measured: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``ordinal`` from a fitted level table; values it does not hold get -1. Hot values are split."""
-    joined = lookup_join(codes, levels, [column, code], spread_by, "left", broadcast_bytes)
+    joined = lookup_join(codes, levels, [column, code], spread_by, "left", broadcast_bytes, measured=measured)
     return joined.withColumn("ordinal", F.coalesce("ordinal", F.lit(UNSEEN).cast("long")))
 
 
@@ -145,9 +148,10 @@ def apply_target_means(
     codes: list[str],
     spread_by: list[str],
     broadcast_bytes: int = BROADCAST_BYTES,
+    measured: DataFrame | None = None,
 ) -> DataFrame:
     table, prior = fitted
-    joined = lookup_join(df, table, codes, spread_by, "left", broadcast_bytes)
+    joined = lookup_join(df, table, codes, spread_by, "left", broadcast_bytes, measured=measured)
     return joined.withColumn("encoded", F.coalesce("encoded", F.lit(prior)))
 
 
@@ -193,13 +197,23 @@ def position_vector(
 ) -> DataFrame:
     """``(key, out)``: values at positions 1..size as a dense vector, ``filler`` where a position has no row.
 
-    A key has at most one row per position, which bounds the group.
+    A key has at most one row per position, which bounds the group; two are an error. The vectors of a batch of keys are filled
+    at once: an expression or a lambda per position takes Spark over half a millisecond per key at 135 positions.
     """
-    pairs = F.map_from_entries(F.collect_list(F.struct(F.col(position).cast("int"), F.col(value).cast("double"))))
-    grouped = rows.where(F.col(position).between(1, size)).groupBy(key).agg(pairs.alias("_pairs"))
-    place = F.sequence(F.lit(1), F.lit(size))
-    filled = F.transform(place, lambda i: F.coalesce(F.try_element_at("_pairs", i), F.lit(float(filler))))
-    return grouped.select(key, array_to_vector(filled).alias(out))
+
+    @F.pandas_udf("array<double>")
+    def placed(places: pd.Series, values: pd.Series) -> pd.Series:
+        filled = np.full((len(places), size), float(filler))
+        at = np.repeat(np.arange(len(places)), places.map(len).to_numpy()) * size + np.concatenate([[], *places]).astype(int) - 1
+        if len(np.unique(at)) < len(at):
+            raise ValueError("a key has two values at one position")
+        filled.ravel()[at] = np.concatenate([[], *values])
+        return pd.Series(list(filled))
+
+    given = F.coalesce(F.col(value).cast("double"), F.lit(float(filler)))  # a list would leave out a NULL
+    lists = [F.collect_list(c).alias(name) for name, c in (("_places", F.col(position).cast("int")), ("_values", given))]
+    grouped = rows.where(F.col(position).between(1, size)).groupBy(key).agg(*lists)
+    return grouped.select(key, array_to_vector(placed("_places", "_values")).alias(out))
 
 
 def constant_vector(size: int, filler: float) -> Column:

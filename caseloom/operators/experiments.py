@@ -88,7 +88,7 @@ def forest(
     levels = materialize(encode.level_table(only(codes, original), "pos", "code"))
 
     def featured(chosen: DataFrame) -> DataFrame:
-        ordinals = encode.ordinal_encode(only(codes, chosen), levels, "pos", "code", ["n"])
+        ordinals = encode.ordinal_encode(only(codes, chosen), levels, "pos", "code", ["n"], measured=codes)
         return assembled(chosen, ordinals, "ordinal", positions, NO_CODE)
 
     folded = sampling.folds(original, "n", "label").select("n", "fold")  # copies of an encounter share its fold
@@ -128,7 +128,7 @@ def boosting(
     model = boosted.fit(train, "validation", settings=settings, key="row_id")
 
     fitted = encode.fit_target_means(train_codes, level, "label", prior=prior)
-    applied = encode.apply_target_means(only(codes, test), fitted, level, ["n"])
+    applied = encode.apply_target_means(only(codes, test), fitted, level, ["n"], measured=codes)
     test = assembled(test, applied, "encoded", positions, prior)
     parameters = {**boosted.BOOSTING, **(settings or {}), "trees": model.getNumTrees, "penalty": boosted.PENALTY}
     parameters["validation_f1"] = model.f1

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.operators import encode, evaluate, profile, ranks, sampling
+from caseloom.operators import encode, evaluate, joins, profile, ranks, sampling
 
 
 @pytest.fixture(scope="module")
@@ -260,3 +260,28 @@ def test_position_vector(spark):
     rows = spark.createDataFrame([(1, 2, 5.0), (1, 3, 7.0), (2, 1, 1.0), (2, 9, 4.0)], "n int, pos int, v double")
     found = {r.n: list(r.features) for r in encode.position_vector(rows, "n", "pos", "v", 3, -2.0).collect()}
     assert found == {1: [-2.0, 5.0, 7.0], 2: [1.0, -2.0, -2.0]}
+
+
+def test_position_vector_is_filled_per_batch(spark):
+    """No map is built and searched for every position of every key."""
+    rows = spark.createDataFrame([(1, 1, 0.5), (1, 3, None), (2, 2, 7.0), (2, 4, 9.0), (None, 1, 4.0)], "n int, pos int, v double")
+    made = encode.position_vector(rows, "n", "pos", "v", 3, -2.0)
+    assert "map_from_entries" not in made._jdf.queryExecution().toString()
+    assert {r.n: list(r.features) for r in made.collect()} == {1: [0.5, -2.0, -2.0], 2: [-2.0, 7.0, -2.0], None: [4.0, -2.0, -2.0]}
+    assert encode.position_vector(rows.limit(0), "n", "pos", "v", 3, -2.0).count() == 0
+    with pytest.raises(Exception, match="two values at one position"):
+        encode.position_vector(rows.union(rows), "n", "pos", "v", 3, -2.0).collect()
+
+
+def test_hot_levels_are_counted_on_the_measured_table(spark, monkeypatch):
+    """The codes that are encoded may be dear to compute; their keys are counted on a stored table."""
+    counted = []
+    monkeypatch.setattr(joins, "hot_keys", lambda measured, *_: counted.append(measured))
+    codes = spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (3, 1, "z")], "n int, pos int, code string")
+    levels = spark.createDataFrame([(1, "a", 0), (1, "b", 1)], "pos int, code string, ordinal long")
+    found = encode.ordinal_encode(codes.where("n > 0"), levels, "pos", "code", ["n"], 0, measured=codes).collect()
+    assert {r.n: r.ordinal for r in found} == {1: 0, 2: 1, 3: -1}
+    means = (levels.selectExpr("pos", "code", "ordinal + 0.5D AS encoded"), 0.25)
+    found = encode.apply_target_means(codes.where("n > 0"), means, ["pos", "code"], ["n"], 0, measured=codes).collect()
+    assert {r.n: r.encoded for r in found} == {1: 0.5, 2: 1.5, 3: 0.25}
+    assert counted == [codes, codes]
