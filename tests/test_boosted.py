@@ -89,3 +89,25 @@ def test_leaves_follow_the_penalty(rows):
     light, heavy = (boosted.refit_leaves(placed, 1, penalty=p)[0] for p in (0.0, 50.0))
     assert all(abs(heavy[leaf][2]) < abs(light[leaf][2]) for leaf in light if abs(light[leaf][0]) > 1)
     assert placed.select(F.size("leaves")).distinct().count() == 1
+
+
+def test_cut_as_if_the_rounds_were_doubled():
+    f1s = [0.1, 0.5, 0.2, 0.2, 0.2, 0.2, 0.9, 0.1, 0.1, 0.1]
+    assert boosted.chosen_round(f1s[:2], 2, 10, 2) is None
+    assert boosted.chosen_round(f1s, 2, 10, 2) == (2, 0.5)  # 4 rounds end it, though later ones are better
+    assert boosted.chosen_round(f1s, 2, 10, 3) == (7, 0.9)
+    assert boosted.chosen_round([0.0] * 4, 4, 4, 50) == (1, 0.0)
+
+
+def test_trees_are_grown_twice_at_most(rows, monkeypatch):
+    """Where the first trees do not end growth, all rounds are grown at once, not again for every doubling."""
+    grown, fit = [], boosted.GBTClassifier.fit
+    monkeypatch.setattr(boosted.GBTClassifier, "fit", lambda self, df: grown.append(self.getMaxIter()) or fit(self, df))
+    monkeypatch.setattr(boosted, "FIRST", 1)
+    boosted.fit(rows, "held", settings={"maxIter": 8, "maxDepth": 2, "stepSize": 0.3}, patience=8)
+    assert grown == [1, 8]
+
+
+def test_values_are_one_literal(spark):
+    values = [0.1, -2.5e-17, 1 / 3, 0.0]
+    assert spark.range(1).select(boosted.doubles(values)).first()[0] == values
