@@ -163,3 +163,16 @@ def test_pooled_interactions_are_sums_over_pairs(spark):
     first, second = [r._embedded.toArray().tolist() for r in found.transform(rows).collect()]
     expected = sum(factors[i] * factors[j] for i, j in ((0, 2), (0, 3), (2, 3)))
     assert first == pytest.approx([*expected, 4.75]) and second == pytest.approx([0, 0, 0, 0.25])
+
+
+def test_validation_rows_are_not_written_again(spark, monkeypatch):
+    """They grow with the table; only the balanced rows, which do not, are written."""
+    rows = spark.range(400).selectExpr("id AS n", "CAST(id % 4 = 0 AS int) AS label", "concat('text ', id) AS prompt")
+    written = []
+    monkeypatch.setattr(experiments, "materialize", lambda df: written.append(df) or df)
+    sliced = experiments.held_back(rows, ["label"], 50, False)
+    assert len(written) == 1 and "validation" not in written[0].columns
+    sides = {r.validation: r["count"] for r in sliced.groupBy("validation").count().collect()}
+    assert sides == {True: 80, False: 100}
+    assert sliced.select("row_id").distinct().count() == 180
+    assert not set(sliced.where("validation").select("n").collect()) & set(sliced.where("NOT validation").select("n").collect())
