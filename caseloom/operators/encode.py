@@ -40,18 +40,22 @@ def ordinal_encode(
     broadcast_bytes: int = BROADCAST_BYTES,
     measured: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``ordinal`` from a fitted level table; values it does not hold get -1. Hot values are split."""
-    joined = lookup_join(codes, levels, [column, code], spread_by, "left", broadcast_bytes, measured=measured)
-    return joined.withColumn("ordinal", F.coalesce("ordinal", F.lit(UNSEEN).cast("long")))
+    """Add ``ordinal`` from a fitted level table; values it does not hold get -1. Hot values are split.
+
+    Only rows of columns with many levels are shuffled. They are joined by code first: rows are sorted by the first bytes of the
+    first key, and those of a column's name are alike.
+    """
+    joined = lookup_join(codes, levels, [code, column], spread_by, "left", broadcast_bytes, measured=measured, part=column)
+    kept = [c for c in codes.columns if c not in (column, code)]
+    return joined.select(column, code, *kept, F.coalesce("ordinal", F.lit(UNSEEN).cast("long")).alias("ordinal"))
 
 
 def decode_levels(
     coded: DataFrame, levels: DataFrame, column: str, code: str, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """The reverse mapping: add the code that an ``ordinal`` of a feature column stands for."""
-    return lookup_join(coded, levels, [column, "ordinal"], coded.columns, "left", broadcast_bytes).select(
-        *coded.columns, code
-    )
+    joined = lookup_join(coded, levels, ["ordinal", column], coded.columns, "left", broadcast_bytes, part=column)
+    return joined.select(*coded.columns, code)
 
 
 def embedding_sizes(levels: DataFrame, column: str) -> DataFrame:

@@ -92,16 +92,12 @@ def kfold(spark: SparkSession, folder: str) -> DataFrame:
 WIDTHS = {"dx": 34, "cpt": 100}
 
 
-def _column(kind: Column, pos: Column) -> Column:
-    return F.concat(kind, F.lpad(pos.cast("string"), 3, "0"))
-
-
 def filled_cells(spark: SparkSession, folder: str) -> DataFrame:
     """``(n, col, code)``: the filled cells of all code columns, written once."""
     lines = views.positioned_codes(spark, folder, max(WIDTHS.values()))
-    cells = [F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("code"), (F.col("pos") <= width).alias("used")) for kind, width in WIDTHS.items()]
-    both = lines.select("n", "pos", F.inline(F.array(*cells))).where("used AND code IS NOT NULL")
-    return materialize(both.select("n", _column(F.col("kind"), F.col("pos")).alias("col"), "code"))
+    names = {kind: F.array(*[F.lit(f"{kind}{i:03d}") for i in range(1, width + 1)]) for kind, width in WIDTHS.items()}
+    cells = [F.struct(F.get(columns, F.col("pos") - 1).alias("col"), F.col(kind).alias("code")) for kind, columns in names.items()]
+    return materialize(lines.select("n", F.inline(F.array(*cells))).where("col IS NOT NULL AND code IS NOT NULL"))
 
 
 def _levels(filled: DataFrame, rows: int) -> DataFrame:
